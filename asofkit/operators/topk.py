@@ -17,7 +17,6 @@ from asofkit.operators.order import top_per_group
 from asofkit.session import checkpointed
 
 BLOCK_ROWS = 2048
-RANK_ORDER = [F.desc("score"), F.asc("item_id")]
 _SCORED = "query_id long, item_id long, score double"
 
 
@@ -81,7 +80,7 @@ def block_top_k(
         .select("query_ids", "query_vecs", "item_ids", "item_vecs")
         .mapInPandas(_best_of_blocks(k), _SCORED)
     )
-    return top_per_group(partial, ["query_id"], RANK_ORDER, k, "rank")
+    return top_per_group(partial, ["query_id"], [F.desc("score"), F.asc("item_id")], k, "rank")
 
 
 def exact_top_k(

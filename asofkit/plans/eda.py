@@ -126,7 +126,7 @@ def daily_volume(events: DataFrame) -> DataFrame:
     return (
         events.groupBy(event_date(F.col("ts_ms")).alias("day"))
         .pivot("event", list(EVENT_TYPES))
-        .agg(F.count("*"))
+        .agg(F.count(F.lit(1)))
         .fillna(0, list(EVENT_TYPES))
     )
 

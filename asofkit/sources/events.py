@@ -2,27 +2,24 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from asofkit.functions.columns import checked_event
 from asofkit.schema import EVENT_COLUMNS, EVENT_SCHEMA, RAW_CSV_SCHEMA, RAW_TO_CANONICAL
 from asofkit.sources.paths import path_exists
 
-CANONICAL_ORDER = [
-    F.col("ts_ms"),
-    F.col("user_id"),
-    F.col("item_id"),
-    F.col("event"),
-    F.col("transaction_id").asc_nulls_first(),
-]
+
+def canonical_order() -> list[Column]:
+    """Total order of events: time first, then the remaining columns."""
+    return [F.col(c).asc_nulls_first() for c in EVENT_COLUMNS]
+
 
 
 def read_raw_csv(spark: SparkSession, path: str) -> DataFrame:
-    """Raw export with forced types; a malformed number fails the read."""
-    raw = (
-        spark.read.schema(RAW_CSV_SCHEMA).option("header", True).option("mode", "FAILFAST").csv(path)
-    )
+    """Raw export with forced types; a malformed number or a wrong header fails the read."""
+    options = {"header": True, "mode": "FAILFAST", "enforceSchema": False}
+    raw = spark.read.schema(RAW_CSV_SCHEMA).options(**options).csv(path)
     return clean(raw.withColumnsRenamed(RAW_TO_CANONICAL))
 
 
@@ -45,7 +42,7 @@ def clean(df: DataFrame) -> DataFrame:
 
 
 def in_order(events: DataFrame) -> DataFrame:
-    return events.orderBy(*CANONICAL_ORDER)
+    return events.orderBy(*canonical_order())
 
 
 def build_cache(spark: SparkSession, csv_path: str, out_path: str) -> DataFrame:
@@ -71,7 +68,7 @@ def from_date(events: DataFrame, iso_date: str) -> DataFrame:
 
 
 def first_n(events: DataFrame, n: int) -> DataFrame:
-    return events.orderBy(*CANONICAL_ORDER).limit(n)
+    return events.orderBy(*canonical_order()).limit(n)
 
 
 def order_violations(arrivals: DataFrame, sequence: str, block: int = 1_000_000) -> DataFrame:
