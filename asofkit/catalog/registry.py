@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-AREAS = ("features", "sources")
+AREAS = ("features", "sources", "evaluation")
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
