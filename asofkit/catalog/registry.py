@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-AREAS = ("features", "sources", "evaluation")
+AREAS = ("features", "sources", "evaluation", "retrieval", "streams")
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
