@@ -90,7 +90,7 @@ def i1_parse(spark, sf) -> DataFrame:
 
 
 def i2_stream_to_log(spark, sf) -> DataFrame:
-    return filled_store(spark, sf)._merged("users")
+    return filled_store(spark, sf).merged("users")
 
 
 def i3_rejected_messages(spark, sf) -> DataFrame:
@@ -111,7 +111,7 @@ def i7_history_tail(spark, sf) -> DataFrame:
 
 
 def i8_watermark(spark, sf) -> DataFrame:
-    return filled_store(spark, sf)._merged("users").agg(F.max("ts_ms").alias("watermark"))
+    return filled_store(spark, sf).merged("users").agg(F.max("ts_ms").alias("watermark"))
 
 
 def _user_points(spark, sf) -> DataFrame:

@@ -133,7 +133,8 @@ class OnlineStore:
 
     # retained events ---------------------------------------------------------
 
-    def _merged(self, table: str) -> DataFrame:
+    def merged(self, table: str) -> DataFrame:
+        """Snapshot ``table`` plus all newer batches, without duplicates and before trimming."""
         through = self._through()
         paths = [f"{self.root}/log/batch_id={b}" for b in self.batches() if through is None or b > through]
         if through is not None:
@@ -143,13 +144,13 @@ class OnlineStore:
         return self.spark.read.schema(EVENT_SCHEMA).parquet(*paths).dropDuplicates(EVENT_COLUMNS)
 
     def user_events(self) -> DataFrame:
-        return retain_users(self._merged("users"), self.features, self.hot_rows)
+        return retain_users(self.merged("users"), self.features, self.hot_rows)
 
     def item_events(self) -> DataFrame:
-        return retain_items(self._merged("items"), self.features)
+        return retain_items(self.merged("items"), self.features)
 
     def history_log(self) -> DataFrame:
-        return retain_history(self._merged("history"))
+        return retain_history(self.merged("history"))
 
     def rejected(self) -> DataFrame:
         names = child_names(self.spark, f"{self.root}/rejected")
@@ -161,7 +162,7 @@ class OnlineStore:
 
     def watermark(self) -> int | None:
         """Latest event time seen."""
-        return self._merged("users").agg(F.max("ts_ms")).first()[0]
+        return self.merged("users").agg(F.max("ts_ms")).first()[0]
 
     # reads -------------------------------------------------------------------
 
@@ -170,15 +171,15 @@ class OnlineStore:
 
     def user_features(self, queries: DataFrame) -> DataFrame:
         """``queries``: (user_id, as_of_ms)."""
-        events = self._wanted(self._merged("users"), queries, "user_id")
+        events = self._wanted(self.merged("users"), queries, "user_id")
         return user_features(events, queries, self.features, self.hot_rows)
 
     def user_histories(self, queries: DataFrame) -> DataFrame:
-        events = self._wanted(self._merged("history"), queries, "user_id")
+        events = self._wanted(self.merged("history"), queries, "user_id")
         return user_histories(retain_history(events), queries, hot_rows=self.hot_rows)
 
     def item_features(self, queries: DataFrame, names: list[str] | None = None) -> DataFrame:
         """``queries``: (item_id, as_of_ms); ``names`` limits the windows that are computed."""
         features = self.features if names is None else self.features.only_items(names)
-        events = self._wanted(self._merged("items"), queries, "item_id")
+        events = self._wanted(self.merged("items"), queries, "item_id")
         return item_features(events, queries, features, self.hot_rows)
