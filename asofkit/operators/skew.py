@@ -24,24 +24,30 @@ HOT_ROWS = 1_000_000
 MAX_BROADCAST_KEYS = 1_000_000
 
 
-def split_hot(
-    df: DataFrame,
-    key: str,
-    hot_rows: int | None = HOT_ROWS,
-    counted: DataFrame | None = None,
-) -> tuple[DataFrame, DataFrame | None]:
-    """(rows of ordinary keys, rows of hot keys or None). ``hot_rows=None`` skips the check.
-
-    ``counted`` names a cheaper frame with the same keys to count, such as the scan below ``df``.
-    At most ``rows / hot_rows`` keys can be hot; they are broadcast only while they are few.
+Hot = int | DataFrame | None
+
+
+def hot_keys(df: DataFrame, key: str, hot_rows: int) -> DataFrame | None:
+    """Values of ``key`` that hold more than ``hot_rows`` rows, or None.
+
+    One column is read and pre-aggregated before its shuffle. At most ``rows / hot_rows`` values
+    can be hot, so the result is small by construction.
     """
-    if hot_rows is None:
-        return df, None
-    heavy = (df if counted is None else counted).groupBy(key).count().where(F.col("count") > hot_rows).select(key)
-    if heavy.isEmpty():
+    heavy = df.groupBy(key).count().where(F.col("count") > hot_rows).select(key)
+    return None if heavy.isEmpty() else checkpointed(heavy)
+
+
+def split_hot(df: DataFrame, key: str, hot: Hot = HOT_ROWS) -> tuple[DataFrame, DataFrame | None]:
+    """(rows of ordinary keys, rows of hot keys or None).
+
+    ``hot`` is the row limit to check for, a frame of hot keys found earlier, or None for no hot
+    keys. The hot keys are broadcast only while they are few.
+    """
+    if isinstance(hot, int):
+        hot = hot_keys(df, key, hot)
+    if hot is None:
         return df, None
-    heavy = checkpointed(heavy)
-    keys = F.broadcast(heavy) if heavy.count() <= MAX_BROADCAST_KEYS else heavy
+    keys = F.broadcast(hot) if hot.count() <= MAX_BROADCAST_KEYS else hot
     return df.join(keys, key, "left_anti"), df.join(keys, key, "left_semi")
 
 

@@ -16,18 +16,11 @@ from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 from asofkit.definitions import FeatureSet, WindowCount
-from asofkit.operators.skew import HOT_ROWS, scan_before, split_hot, to_points, with_overlap
+from asofkit.operators.skew import HOT_ROWS, Hot, scan_before, split_hot, to_points, with_overlap
 from asofkit.schema import DAY_MS, HISTORY_LEN
 from asofkit.session import checkpointed
 
 SCAN_BUCKET_MS = DAY_MS
-_SESSION_COLUMNS = (
-    "session_events",
-    "session_carts",
-    "session_distinct_items",
-    "session_duration_ms",
-    "_prev_ts",
-)
 
 
 def _is_event() -> Column:
@@ -62,16 +55,15 @@ def window_counts(
     rows: DataFrame,
     key: str,
     windows: Sequence[WindowCount],
-    hot_rows: int | None = HOT_ROWS,
-    counted: DataFrame | None = None,
+    hot: Hot = HOT_ROWS,
 ) -> DataFrame:
     """``rows`` plus one count column per window, as of each row's own ``ts_ms``."""
     if not windows:
         return rows
-    cold, hot = split_hot(rows, key, hot_rows, counted)
+    cold, busy = split_hot(rows, key, hot)
     result = _counts_by_key(cold, key, windows)
-    if hot is not None:
-        result = result.unionByName(_counts_by_bucket(hot, key, windows))
+    if busy is not None:
+        result = result.unionByName(_counts_by_bucket(busy, key, windows))
     return result
 
 
@@ -96,18 +88,16 @@ def _counts_by_bucket(rows: DataFrame, key: str, windows: Sequence[WindowCount])
     return rows.join(counted, [key, "ts_ms"])
 
 
-def session_state(
-    rows: DataFrame, gap_ms: int, hot_rows: int | None = HOT_ROWS
-) -> DataFrame:
+def session_state(rows: DataFrame, gap_ms: int, hot: Hot = HOT_ROWS) -> DataFrame:
     """``rows`` plus ``session_start_ms`` and the session's content strictly before each row.
 
     A row whose previous event is more than ``gap_ms`` away starts a session of its own, so its
     session columns are zero without further conditions. ``_prev_ts`` is the previous event's time.
     """
-    cold, hot = split_hot(rows, "user_id", hot_rows)
+    cold, busy = split_hot(rows, "user_id", hot)
     result = _sessions_by_user(cold, gap_ms)
-    if hot is not None:
-        result = result.unionByName(_sessions_by_bucket(hot, gap_ms))
+    if busy is not None:
+        result = result.unionByName(_sessions_by_bucket(busy, gap_ms))
     return result
 
 
@@ -115,39 +105,49 @@ def _starts_session(gap_ms: int) -> Column:
     return F.col("_prev_ts").isNull() | (F.col("ts_ms") - F.col("_prev_ts") > gap_ms)
 
 
-def _sessions_by_user(rows: DataFrame, gap_ms: int) -> DataFrame:
-    user = Window.partitionBy("user_id").orderBy("ts_ms")
-    earlier = user.rangeBetween(Window.unboundedPreceding, -1)
-    up_to_now = user.rangeBetween(Window.unboundedPreceding, Window.currentRow)
-    per_item = Window.partitionBy("user_id", "session_start_ms", "item_id").orderBy("ts_ms", "event")
+def _is_cart() -> Column:
+    return F.coalesce(F.col("event") == "addtocart", F.lit(False))
+
+
+def _sessions_by_user(
+    rows: DataFrame, gap_ms: int, windows: Sequence[WindowCount] = ()
+) -> DataFrame:
+    """Sessions, and optionally window counts, of ordinary users: one exchange for everything."""
+    timeline = Window.partitionBy("user_id").orderBy("ts_ms")
+    earlier = timeline.rangeBetween(Window.unboundedPreceding, -1)
+    up_to_now = timeline.rangeBetween(Window.unboundedPreceding, Window.currentRow)
+    same_item = Window.partitionBy("user_id", "session_start_ms", "item_id").orderBy("ts_ms", "event")
     in_session = (
         Window.partitionBy("user_id", "session_start_ms")
         .orderBy("ts_ms")
         .rangeBetween(Window.unboundedPreceding, -1)
     )
     event_ts = F.when(_is_event(), F.col("ts_ms"))
-    cart = F.coalesce(F.col("event") == "addtocart", F.lit(False)).cast("long")
+    start = F.max(F.when(_starts_session(gap_ms), F.col("ts_ms"))).over(up_to_now)
     # probes carry no item, so they never take an item's first row
-    first_of_item = (_is_event() & (F.row_number().over(per_item) == 1)).cast("long")
+    first_of_item = _is_event() & (F.row_number().over(same_item) == 1)
     zero = F.lit(0).cast("long")
+
+    def so_far(measure: Column) -> Column:
+        return F.coalesce(F.sum(measure.cast("long")).over(in_session), zero)
+
     return (
-        rows.withColumn("_prev_ts", F.max(event_ts).over(earlier))
-        .withColumn(
-            "session_start_ms",
-            F.max(F.when(_starts_session(gap_ms), F.col("ts_ms"))).over(up_to_now),
+        rows.withColumns(_measures(windows))
+        .select(
+            *rows.columns,
+            *_count_columns(windows, timeline),
+            F.max(event_ts).over(earlier).alias("_prev_ts"),
         )
+        .withColumn("session_start_ms", start)
         .withColumn("_first_of_item", first_of_item)
         .select(
             *rows.columns,
+            *[w.name for w in windows],
             "session_start_ms",
             "_prev_ts",
-            F.coalesce(F.sum(_is_event().cast("long")).over(in_session), zero).alias(
-                "session_events"
-            ),
-            F.coalesce(F.sum(cart).over(in_session), zero).alias("session_carts"),
-            F.coalesce(F.sum("_first_of_item").over(in_session), zero).alias(
-                "session_distinct_items"
-            ),
+            so_far(_is_event()).alias("session_events"),
+            so_far(_is_cart()).alias("session_carts"),
+            so_far(F.col("_first_of_item")).alias("session_distinct_items"),
             F.coalesce(F.max(event_ts).over(in_session) - F.col("session_start_ms"), zero).alias(
                 "session_duration_ms"
             ),
@@ -157,8 +157,9 @@ def _sessions_by_user(rows: DataFrame, gap_ms: int) -> DataFrame:
 
 def _sessions_by_bucket(rows: DataFrame, gap_ms: int) -> DataFrame:
     """The same columns for hot users, from bucketed scans over one point per millisecond."""
-    cart = F.coalesce(F.col("event") == "addtocart", F.lit(False)).cast("long")
-    measured = rows.withColumns({"_n": _is_event().cast("long"), "_carts": cart})
+    measured = rows.withColumns(
+        {"_n": _is_event().cast("long"), "_carts": _is_cart().cast("long")}
+    )
     points = to_points(measured, ["user_id"], ["_n", "_carts"]).withColumn(
         "_event_ts", F.when(F.col("_n") > 0, F.col("ts_ms"))
     )
@@ -204,14 +205,12 @@ def _sessions_by_bucket(rows: DataFrame, gap_ms: int) -> DataFrame:
     return rows.join(content, ["user_id", "ts_ms"])
 
 
-def user_state(rows: DataFrame, features: FeatureSet, hot_rows: int | None = HOT_ROWS) -> DataFrame:
+def user_state(rows: DataFrame, features: FeatureSet, hot: Hot = HOT_ROWS) -> DataFrame:
     """``rows`` plus all user features. One hot-key check serves windows and sessions."""
-    cold, hot = split_hot(rows, "user_id", hot_rows)
-    result = _sessions_by_user(
-        _counts_by_key(cold, "user_id", features.user_windows), features.session_gap_ms
-    )
-    if hot is not None:
-        counted = _counts_by_bucket(hot, "user_id", features.user_windows)
+    cold, busy = split_hot(rows, "user_id", hot)
+    result = _sessions_by_user(cold, features.session_gap_ms, features.user_windows)
+    if busy is not None:
+        counted = _counts_by_bucket(busy, "user_id", features.user_windows)
         result = result.unionByName(_sessions_by_bucket(counted, features.session_gap_ms))
     cap = F.lit(features.last_event_cap_ms).cast("long")
     age = F.least(F.coalesce(F.col("ts_ms") - F.col("_prev_ts"), cap), cap)
@@ -220,14 +219,12 @@ def user_state(rows: DataFrame, features: FeatureSet, hot_rows: int | None = HOT
     )
 
 
-def ranked_positions(
-    rows: DataFrame, hot_rows: int | None = HOT_ROWS
-) -> DataFrame:
+def ranked_positions(rows: DataFrame, hot: Hot = HOT_ROWS) -> DataFrame:
     """``rows`` plus ``n_before`` (events strictly earlier) and, for events, 1-based ``pos``.
 
     Equal timestamps are ordered by (item_id, event, transaction_id).
     """
-    cold, hot = split_hot(rows, "user_id", hot_rows)
+    cold, busy = split_hot(rows, "user_id", hot)
     tie_order = ["item_id", "event", F.col("transaction_id").asc_nulls_first()]
     one = _is_event().cast("long")
     by_time = Window.partitionBy("user_id").orderBy("ts_ms")
@@ -241,8 +238,8 @@ def ranked_positions(
         .over(by_position.rowsBetween(Window.unboundedPreceding, Window.currentRow))
         .alias("pos"),
     )
-    if hot is not None:
-        points = to_points(hot.withColumn("_n", one), ["user_id"], ["_n"])
+    if busy is not None:
+        points = to_points(busy.withColumn("_n", one), ["user_id"], ["_n"])
         before = scan_before(points, ["user_id"], SCAN_BUCKET_MS, sums=["_n"]).select(
             "user_id", "ts_ms", F.col("before__n").alias("n_before")
         )
@@ -251,7 +248,7 @@ def ranked_positions(
             .orderBy(*tie_order)
             .rowsBetween(Window.unboundedPreceding, Window.currentRow)
         )
-        ranked = hot.join(before, ["user_id", "ts_ms"]).withColumn(
+        ranked = busy.join(before, ["user_id", "ts_ms"]).withColumn(
             "pos", F.col("n_before") + F.sum(one).over(in_tie)
         )
         result = result.unionByName(ranked)

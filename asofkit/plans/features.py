@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from asofkit.definitions import STANDARD, FeatureSet
 from asofkit.functions.columns import event_date
 from asofkit.operators.order import dense_index
-from asofkit.operators.skew import HOT_ROWS
+from asofkit.operators.skew import HOT_ROWS, hot_keys
 from asofkit.operators.timeline import (
     as_history,
     preceding_events,
@@ -26,10 +26,12 @@ def backfill(
 
     The events are their own probes: one exchange by user, one by item, no join.
     """
-    with_users = user_state(events, features, hot_rows)
-    counted = window_counts(
-        with_users, "item_id", features.item_windows, hot_rows, counted=events
-    )
+    busy = {
+        key: None if hot_rows is None else hot_keys(events, key, hot_rows)
+        for key in ("user_id", "item_id")
+    }
+    with_users = user_state(events, features, busy["user_id"])
+    counted = window_counts(with_users, "item_id", features.item_windows, busy["item_id"])
     return counted.withColumn("date", event_date(F.col("ts_ms")))
 
 
