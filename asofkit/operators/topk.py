@@ -17,6 +17,7 @@ from asofkit.operators.order import top_per_group
 from asofkit.session import checkpointed
 
 BLOCK_ROWS = 2048
+BROADCAST_FLOATS = 8_000_000  # item blocks up to 64 MB of doubles travel to the query blocks
 _SCORED = "query_id long, item_id long, score double"
 
 
@@ -58,10 +59,16 @@ def block_top_k(
     ``queries``: (query_id, cell, vec), one row per probed cell; ``items``: (item_id, cell, vec).
     Ties are broken by item id. Result: (query_id, item_id, score, rank).
     """
+    counted = items.groupBy("cell").agg(
+        F.count("*").alias("n_items"), F.max(F.size("vec")).alias("dim")
+    )
+    # one row per cell: bounded by the number of cells of the index
     sizes = checkpointed(
-        items.groupBy("cell").agg(F.ceil(F.count("*") / block_rows).alias("n_blocks"))
+        counted.withColumn("n_blocks", F.ceil(F.col("n_items") / block_rows).cast("long"))
     )
-    placed = items.join(sizes, "cell").withColumn(
+    floats = sizes.agg(F.sum(F.col("n_items") * F.col("dim"))).first()[0] or 0
+    blocks_of = F.broadcast(sizes.select("cell", "n_blocks"))
+    placed = items.join(blocks_of, "cell").withColumn(
         "block", F.pmod(F.xxhash64("item_id"), F.col("n_blocks"))
     )
     item_blocks = _blocks(placed, ["cell", "block"], "item_id", "item_ids", "item_vecs")
@@ -69,14 +76,16 @@ def block_top_k(
     chunked = queries.withColumn("chunk", F.pmod(F.xxhash64("query_id"), F.lit(n_chunks)))
     query_blocks = _blocks(chunked, ["cell", "chunk"], "query_id", "query_ids", "query_vecs")
     # every query block visits each block of its cell
-    visits = query_blocks.join(sizes, "cell").select(
+    visits = query_blocks.join(blocks_of, "cell").select(
         "cell",
         "query_ids",
         "query_vecs",
         F.explode(F.sequence(F.lit(0).cast("long"), F.col("n_blocks") - 1)).alias("block"),
     )
+    # few items make few join keys, so they are broadcast; many items spread over many blocks
+    side = F.broadcast(item_blocks) if floats <= BROADCAST_FLOATS else item_blocks
     partial = (
-        visits.join(item_blocks, ["cell", "block"])
+        visits.join(side, ["cell", "block"])
         .select("query_ids", "query_vecs", "item_ids", "item_vecs")
         .mapInPandas(_best_of_blocks(k), _SCORED)
     )

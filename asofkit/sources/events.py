@@ -89,15 +89,14 @@ def order_violations(arrivals: DataFrame, sequence: str, block: int = 1_000_000)
         ),
     )
     w = Window.partitionBy("_block").orderBy(sequence)
-    first = arrivals.agg(F.min_by("ts_ms", sequence).alias("first_ts"))
+    first_ts = arrivals.agg(F.min_by("ts_ms", sequence)).first()[0]
     return (
         spread.withColumn("prev_ts", F.lag("ts_ms").over(w))
         .where("_copy = 0")
-        .join(F.broadcast(first))  # one row
         .select(
             F.col(sequence),
             "ts_ms",
-            (F.col("ts_ms") < F.col("first_ts")).alias("before_first"),
+            (F.col("ts_ms") < F.lit(first_ts)).alias("before_first"),
             F.coalesce(F.col("ts_ms") < F.col("prev_ts"), F.lit(False)).alias("inversion"),
         )
         .where("before_first OR inversion")

@@ -11,17 +11,10 @@ from asofkit.sources.paths import path_exists
 VIEW = "event_features"
 
 
-def write_feature_log(df: DataFrame, root: str, files_per_date: int = 1) -> None:
-    """Overwrite the log. ``files_per_date`` splits a date over several tasks and files."""
-    slot = F.pmod(F.xxhash64("user_id", "item_id", "ts_ms"), F.lit(files_per_date))
-    (
-        df.withColumn("_slot", slot)
-        .repartition("date", "_slot")
-        .drop("_slot")
-        .write.mode("overwrite")
-        .partitionBy("date")
-        .parquet(root)
-    )
+def write_feature_log(df: DataFrame, root: str) -> None:
+    """Overwrite the log. Rows are gathered by date; adaptive execution splits a crowded date."""
+    balanced = df.hint("rebalance", F.col("date"))
+    balanced.write.mode("overwrite").partitionBy("date").parquet(root)
 
 
 class FeatureLog:

@@ -2,8 +2,8 @@
 
 Layout under ``root``:
 
-* ``log/batch_id=N``       accepted events of one micro-batch, overwritten when the batch is retried
-* ``rejected/batch_id=N``  raw values of rejected messages
+* ``log/batch_id=N``       one micro-batch, overwritten when it is retried: ``accepted=true`` holds
+  its events, ``accepted=false`` the raw values of rejected messages
 * ``snapshot/through=N``   compacted ``users``, ``items`` and ``history`` covering batches <= N
 
 Nothing is keyed in executor state, so one very busy user or item never sits in a single state
@@ -17,6 +17,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from asofkit.definitions import STANDARD, FeatureSet
 from asofkit.operators.order import top_per_group
@@ -28,6 +29,9 @@ from asofkit.sources.paths import child_names, delete_tree, path_exists
 
 _MARKER = "_SUCCESS"
 _TABLES = ("users", "items", "history")
+LOG_SCHEMA = T.StructType(
+    [*EVENT_SCHEMA, T.StructField("value", T.StringType()), T.StructField("accepted", T.BooleanType())]
+)
 
 
 def retain_users(events: DataFrame, features: FeatureSet = STANDARD, hot_rows: int | None = HOT_ROWS) -> DataFrame:
@@ -79,10 +83,11 @@ class OnlineStore:
 
     def write_batch(self, decoded: DataFrame, batch_id: int) -> None:
         """``foreachBatch`` sink: retrying a batch rewrites the same folders."""
-        accepted = decoded.where("accepted").select(*EVENT_COLUMNS).dropDuplicates(EVENT_COLUMNS)
-        accepted.write.mode("overwrite").parquet(f"{self.root}/log/batch_id={batch_id}")
-        rejected = decoded.where("NOT accepted").select("value")
-        rejected.write.mode("overwrite").parquet(f"{self.root}/rejected/batch_id={batch_id}")
+        raw = F.when(~F.col("accepted"), F.col("value")).cast("string")
+        # one pass without a shuffle; duplicates are dropped by readers and by compaction
+        decoded.select(*EVENT_COLUMNS, raw.alias("value"), "accepted").write.mode(
+            "overwrite"
+        ).partitionBy("accepted").parquet(f"{self.root}/log/batch_id={batch_id}")
 
     def append(self, events: DataFrame, batch_id: int) -> None:
         self.write_batch(events.withColumns({"accepted": F.lit(True), "value": F.lit(None)}), batch_id)
@@ -128,7 +133,7 @@ class OnlineStore:
 
     def clear(self) -> bool:
         """Remove this store's folders and nothing else."""
-        parts = ("log", "rejected", "snapshot")
+        parts = ("log", "snapshot")
         return any([delete_tree(self.spark, f"{self.root}/{part}") for part in parts])
 
     # retained events ---------------------------------------------------------
@@ -136,12 +141,21 @@ class OnlineStore:
     def merged(self, table: str) -> DataFrame:
         """Snapshot ``table`` plus all newer batches, without duplicates and before trimming."""
         through = self._through()
-        paths = [f"{self.root}/log/batch_id={b}" for b in self.batches() if through is None or b > through]
+        events = self._log([b for b in self.batches() if through is None or b > through], True)
         if through is not None:
-            paths.append(f"{self.root}/snapshot/through={through}/{table}")
-        if not paths:
-            return self.spark.createDataFrame([], EVENT_SCHEMA)
-        return self.spark.read.schema(EVENT_SCHEMA).parquet(*paths).dropDuplicates(EVENT_COLUMNS)
+            path = f"{self.root}/snapshot/through={through}/{table}"
+            events = events.unionByName(self.spark.read.schema(EVENT_SCHEMA).parquet(path))
+        return events.dropDuplicates(EVENT_COLUMNS)
+
+    def _log(self, batches: list[int], accepted: bool) -> DataFrame:
+        if not batches:
+            return self.spark.createDataFrame([], LOG_SCHEMA).select(
+                *(EVENT_COLUMNS if accepted else ["value"])
+            )
+        paths = [f"{self.root}/log/batch_id={b}" for b in batches]
+        reader = self.spark.read.schema(LOG_SCHEMA).option("basePath", f"{self.root}/log")
+        rows = reader.parquet(*paths).where(F.col("accepted") == accepted)
+        return rows.select(*(EVENT_COLUMNS if accepted else ["value"]))
 
     def user_events(self) -> DataFrame:
         return retain_users(self.merged("users"), self.features, self.hot_rows)
@@ -153,12 +167,8 @@ class OnlineStore:
         return retain_history(self.merged("history"))
 
     def rejected(self) -> DataFrame:
-        names = child_names(self.spark, f"{self.root}/rejected")
-        if not names:
-            return self.spark.createDataFrame([], "value string")
-        return self.spark.read.schema("value string").parquet(
-            *[f"{self.root}/rejected/{n}" for n in names]
-        )
+        """Raw values of rejected messages in batches that are not yet vacuumed."""
+        return self._log(self.batches(), False)
 
     def watermark(self) -> int | None:
         """Latest event time seen."""

@@ -76,7 +76,7 @@ def test_feature_log_round_trip_and_pruning(spark, tmp_path):
     root = str(tmp_path / "log")
     with pytest.raises(FileNotFoundError):
         FeatureLog(spark, root)
-    write_feature_log(table, root, files_per_date=2)
+    write_feature_log(table, root)
     log = FeatureLog(spark, root)
     lo, hi = DAY_MS // 2, DAY_MS
     got = log.between(lo, hi)
