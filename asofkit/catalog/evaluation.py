@@ -297,7 +297,8 @@ def t31_popular_export(spark, sf) -> DataFrame:
     path = scratch_path(spark, "popular")
     export_popular(weekly_split(spark, sf).train_val, path)
     saved = spark.read.schema("items array<bigint>").json(path)
-    return saved.select(F.posexplode("items").alias("rank", "item_id"))
+    ranked = saved.select(F.posexplode("items").alias("rank", "item_id"))
+    return ranked.withColumn("rank", F.col("rank").cast("long"))
 
 
 def _runs(spark, sf) -> DataFrame:

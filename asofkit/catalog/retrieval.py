@@ -162,9 +162,8 @@ def _user_vectors(spark, sf) -> DataFrame:
 
 
 def t18_user_vectors(spark, sf) -> DataFrame:
-    return _user_vectors(spark, sf).select("request_id", F.posexplode("vec").alias("d", "x")).withColumn(
-        "x", r6("x")
-    )
+    numbers = _user_vectors(spark, sf).select("request_id", F.posexplode("vec").alias("d", "x"))
+    return numbers.select("request_id", F.col("d").cast("long").alias("d"), r6("x").alias("x"))
 
 
 def t18_learned_vectors(spark, sf) -> DataFrame:

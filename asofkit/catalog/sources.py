@@ -240,8 +240,8 @@ def h5_explode_lists(spark, sf) -> DataFrame:
     zipped = F.posexplode(F.arrays_zip("hist_ts", "hist_items", "hist_events"))
     return (
         _request_lists(spark, sf)
-        .select("request_id", F.size("hist_items").alias("n"), zipped)
-        .select("request_id", "n", F.col("pos").alias("idx"), "col.hist_ts", "col.hist_items", "col.hist_events")
+        .select("request_id", F.size("hist_items").cast("long").alias("n"), zipped)
+        .select("request_id", "n", F.col("pos").cast("long").alias("idx"), "col.hist_ts", "col.hist_items", "col.hist_events")
     )
 
 

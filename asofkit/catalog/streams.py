@@ -217,13 +217,13 @@ _BAD = """SELECT CASE
     WHEN event_type = 'signup' THEN '{"ts_ms":' || event_id || ',"user_id":1,"item_id":2,"event":"view","transaction_id":"x"}'
     WHEN event_id % 3 = 0 THEN '{not json ' || event_id
     WHEN event_id % 3 = 1 THEN '{"ts_ms":' || event_id || ',"user_id":1,"event":"view"}'
-    ELSE '{"ts_ms":' || event_id || ',"user_id":1,"item_id":"two","event":"view"}' END AS value, 2 AS n
+    ELSE '{"ts_ms":' || event_id || ',"user_id":1,"item_id":"two","event":"view"}' END AS value, 2::BIGINT AS n
   FROM events WHERE event_type IN ('signup', 'error')"""
 
 
 def _n_values(users: int, items: int) -> str:
     return f"""SELECT {len(CHECK_OFFSETS_MS)} * ({users} * (SELECT count(DISTINCT user_id) FROM ev)
-  + {items} * (SELECT count(DISTINCT item_id) FROM ev)) AS values_compared, 0 AS mismatches"""
+  + {items} * (SELECT count(DISTINCT item_id) FROM ev)) AS values_compared, 0::BIGINT AS mismatches"""
 
 
 ORACLES = {

@@ -45,5 +45,5 @@ def top_per_group(df: DataFrame, group: Sequence[str], order: Sequence[Column],
     return (
         df.withColumn(rank, F.row_number().over(w))
         .where(F.col(rank) <= k)
-        .withColumn(rank, F.col(rank) - 1)
+        .withColumn(rank, F.col(rank).cast("long") - 1)
     )
