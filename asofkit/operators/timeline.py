@@ -255,50 +255,61 @@ def ranked_positions(rows: DataFrame, hot: Hot = HOT_ROWS) -> DataFrame:
     return result.withColumn("pos", F.when(_is_event(), F.col("pos")))
 
 
-def preceding_events(
+def preceding_arrays(
     positioned: DataFrame, ends: DataFrame, keys: Sequence[str], length: int = HISTORY_LEN
 ) -> DataFrame:
-    """The ``length`` events of a user at positions ``(end - length, end]``, one row per event.
+    """(user_id, *keys, end, hist): the events at positions ``(end - length, end]``, in order.
 
-    ``ends`` holds (user_id, end, *keys). The position range becomes an equi-join on blocks of
-    ``length`` positions: a range touches at most two blocks, and a block holds at most ``length``
-    events, so no join key gathers more than that on the event side.
+    ``ends`` holds (user_id, end, *keys). Positions are folded into blocks of ``length``, so an
+    array never holds more than that; a range touches one block and possibly the one before it,
+    which turns the range lookup into one equi-join on (user_id, block).
     """
-    blocks = positioned.select(
-        "user_id",
-        F.floor((F.col("pos") - 1) / length).cast("long").alias("_block"),
-        "pos",
-        "ts_ms",
-        "item_id",
-        "event",
-    )
-    last_block = F.floor((F.col("end") - 1) / length).cast("long")
-    wanted = (
-        ends.where(F.col("end") > 0)
-        .select(
-            "user_id",
-            "end",
-            *[k for k in keys if k != "user_id"],
-            F.explode(F.sequence(F.greatest(last_block - 1, F.lit(0)), last_block)).alias("_block"),
+
+    def block(position: Column) -> Column:
+        return F.floor((position - 1) / length).cast("long").alias("_block")
+
+    folded = (
+        positioned.select(
+            "user_id", block(F.col("pos")), F.struct("pos", "ts_ms", "item_id", "event").alias("_e")
         )
+        .groupBy("user_id", "_block")
+        .agg(F.array_sort(F.collect_list("_e")).alias("_here"))
     )
-    return (
-        wanted.join(blocks, ["user_id", "_block"])
-        .where((F.col("pos") <= F.col("end")) & (F.col("pos") > F.col("end") - length))
-        .drop("_block")
+    shifted = folded.select(
+        "user_id", (F.col("_block") + 1).alias("_block"), F.col("_here").alias("_before")
+    )
+    chained = folded.join(shifted, ["user_id", "_block"], "left")
+    extra = [k for k in keys if k != "user_id"]
+    wanted = ends.where(F.col("end") > 0).select("user_id", *extra, "end", block(F.col("end")))
+    candidates = F.when(F.col("_before").isNull(), F.col("_here")).otherwise(
+        F.concat("_before", "_here")
+    )
+    inside = F.filter(
+        candidates, lambda e: (e["pos"] <= F.col("end")) & (e["pos"] > F.col("end") - length)
+    )
+    return wanted.join(chained, ["user_id", "_block"]).select(
+        "user_id", *extra, "end", inside.alias("hist")
     )
 
 
+def preceding_events(
+    positioned: DataFrame, ends: DataFrame, keys: Sequence[str], length: int = HISTORY_LEN
+) -> DataFrame:
+    """The same in long form: one row (user_id, *keys, end, pos, ts_ms, item_id, event) per event."""
+    found = preceding_arrays(positioned, ends, keys, length)
+    return found.select(*[c for c in found.columns if c != "hist"], F.inline("hist"))
+
+
 def as_history(rows: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Fold ``preceding_events`` rows into hist_ts / hist_items / hist_events, oldest first."""
     ordered = F.array_sort(F.collect_list(F.struct("pos", "ts_ms", "item_id", "event")))
-    return (
-        rows.groupBy(*keys)
-        .agg(ordered.alias("_hist"))
-        .select(
-            *keys,
-            F.col("_hist.ts_ms").alias("hist_ts"),
-            F.col("_hist.item_id").alias("hist_items"),
-            F.col("_hist.event").alias("hist_events"),
-        )
+    return parallel_lists(rows.groupBy(*keys).agg(ordered.alias("hist")), keys)
+
+
+def parallel_lists(found: DataFrame, keys: Sequence[str]) -> DataFrame:
+    return found.select(
+        *keys,
+        F.col("hist.ts_ms").alias("hist_ts"),
+        F.col("hist.item_id").alias("hist_items"),
+        F.col("hist.event").alias("hist_events"),
     )

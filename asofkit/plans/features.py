@@ -10,8 +10,8 @@ from asofkit.functions.columns import event_date
 from asofkit.operators.order import dense_index
 from asofkit.operators.skew import HOT_ROWS, hot_keys
 from asofkit.operators.timeline import (
-    as_history,
-    preceding_events,
+    parallel_lists,
+    preceding_arrays,
     ranked_positions,
     user_state,
     window_counts,
@@ -82,21 +82,34 @@ def item_features(
     return queries.join(answers, ["item_id", "as_of_ms"])
 
 
-def history_events(
+def history_arrays(
     events: DataFrame,
     queries: DataFrame,
     length: int = HISTORY_LEN,
     hot_rows: int | None = HOT_ROWS,
 ) -> DataFrame:
-    """Long form of the histories: (user_id, as_of_ms, end, pos, ts_ms, item_id, event)."""
+    """(user_id, as_of_ms, end, hist) for the distinct query points that have a history."""
     rows = _with_probes(events, _distinct_probes(queries, "user_id"))
-    placed = ranked_positions(rows, hot_rows)
-    ends = placed.where(F.col("event").isNull()).select(
-        "user_id", F.col("ts_ms").alias("as_of_ms"), F.col("n_before").alias("end")
-    )
-    return preceding_events(
-        placed.where(F.col("event").isNotNull()), ends, ["user_id", "as_of_ms"], length
+    busy = None if hot_rows is None else hot_keys(rows, "user_id", hot_rows)
+    # events are numbered without the probes; the probes only need the count before them
+    placed = ranked_positions(events.select(*EVENT_COLUMNS), busy)
+    ends = (
+        ranked_positions(rows, busy)
+        .where(F.col("event").isNull())
+        .select("user_id", F.col("ts_ms").alias("as_of_ms"), F.col("n_before").alias("end"))
     )
+    return preceding_arrays(placed, ends, ["user_id", "as_of_ms"], length)
+
+
+def history_events(
+    events: DataFrame,
+    queries: DataFrame,
+    length: int = HISTORY_LEN,
+    hot_rows: int | None = HOT_ROWS,
+) -> DataFrame:
+    """Long form of the histories: (user_id, as_of_ms, end, pos, ts_ms, item_id, event)."""
+    found = history_arrays(events, queries, length, hot_rows)
+    return found.select("user_id", "as_of_ms", "end", F.inline("hist"))
 
 
 def user_histories(
@@ -107,7 +120,7 @@ def user_histories(
 ) -> DataFrame:
     """``queries`` plus the last ``length`` events strictly before ``as_of_ms``, oldest first."""
     keys = ["user_id", "as_of_ms"]
-    found = as_history(history_events(events, queries, length, hot_rows), keys)
+    found = parallel_lists(history_arrays(events, queries, length, hot_rows), keys)
     empty_long = F.array().cast("array<bigint>")
     return queries.join(found, keys, "left").withColumns(
         {
