@@ -8,7 +8,6 @@ from pyspark.sql import functions as F
 from asofkit.catalog.common import (
     EV,
     EVAL,
-    LABEL_HORIZON_MS,
     N_REQUESTS,
     ORD,
     REQ,

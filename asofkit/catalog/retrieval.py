@@ -30,7 +30,7 @@ from asofkit.catalog.common import (
 from asofkit.definitions import ITEM_FEATURES, RANKER_FEATURES, USER_FEATURES
 from asofkit.operators.topk import exact_top_k
 from asofkit.plans.baselines import Popularity
-from asofkit.plans.evaluation import list_recall, score_with_novel
+from asofkit.plans.evaluation import build_eval_set, list_recall, score, score_with_novel
 from asofkit.plans.experiments import run_ranking
 from asofkit.plans.ranking import (
     Ranker,
@@ -179,8 +179,6 @@ def t18_model_selection(spark, sf) -> DataFrame:
     split = weekly_split(spark, sf)
 
     def on_fit(config: VectorConfig, model: ItemVectors) -> float:
-        from asofkit.plans.evaluation import build_eval_set, score
-
         judged = build_eval_set(split.train, split.val)
         found = score(model.recommend(judged.users, 50), judged, (50,))
         return found.first()["recall_at_50"]
