@@ -44,7 +44,7 @@ HEADLINE = (
 def main() -> None:
     folder = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1")
     cpus = os.environ.get("BENCH_CPUS", str(min(8, os.cpu_count() or 1)))
-    runs = int(os.environ.get("BENCH_RUNS", "2"))
+    runs = int(os.environ.get("BENCH_RUNS", "3"))
     only = os.environ.get("BENCH_QUERIES", "").split()
     spark = build_session(
         "bench",
