@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from asofkit.llm import decontaminate, language, lm_scores, near_dedup, packing, quality_rules, secret_scan
+from asofkit.llm import decontaminate, html_text, language, lm_scores, near_dedup, packing, quality_rules, secret_scan
 from asofkit.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -81,3 +81,8 @@ def op4_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op1_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.near_duplicates(table(spark, sf_dir, "documents"))
+
+
+@query
+def op3_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_text.extracted(table(spark, sf_dir, "pages"))
