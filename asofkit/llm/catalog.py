@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from asofkit.llm import decontaminate, html_text, language, lm_scores, near_dedup, packing, quality_rules, secret_scan
+from asofkit.llm import decontaminate, html_text, importance, language, licenses, lm_scores, near_dedup, packing, quality_rules, secret_scan
 from asofkit.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -86,3 +86,13 @@ def op1_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op3_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_text.extracted(table(spark, sf_dir, "pages"))
+
+
+@query
+def op6_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scanned(table(spark, sf_dir, "documents"))
+
+
+@query
+def op10_importance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return importance.sampled(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
