@@ -1,7 +1,80 @@
-"""Placeholder order of the corpus stages; filled in with the operators."""
+"""From raw documents to packed training sequences, in five stages that each apply one corpus operator.
 
-STAGES: list = []
+Every stage takes what the one before kept, written as Parquet in the shared folder and read again. All but
+the last return the columns of ``documents``. Ids are expected to be distinct; of rows that repeat an id the
+near-duplicate stage keeps one, and a decision about an id holds for all of its rows. Rows without an id are
+never dropped, as no decision can be joined to them. Columns beyond those used pass through unchanged. An
+empty table passes every stage and gives no sequence.
+"""
 
+from __future__ import annotations
 
-def run(spark, sf_dir):
-    return spark.read.parquet(f"{sf_dir}/documents.parquet")
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from asofkit.llm import decontaminate, language, near_dedup, packing, secret_scan
+from asofkit.llm.common import materialised, row_key, table
+
+
+def without(docs: DataFrame, dropped: DataFrame) -> DataFrame:
+    return docs.join(dropped.select("doc_id").distinct(), "doc_id", "left_anti").select(docs.columns)
+
+
+def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents in no language that the labelled ones have go: no letters, or hardly any common substring."""
+    return without(docs, materialised(language.languages(docs), "languages").filter(language.rejected()))
+
+
+def dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each near-duplicate group the document with the smallest id stays."""
+    groups = materialised(near_dedup.near_duplicates(docs), "groups")
+    once = without(docs, groups.filter(~F.col("kept")))
+    repeated = groups.filter(F.col("doc_id").isNotNull()).groupBy("doc_id").count().filter("count > 1").select("doc_id")
+    if repeated.isEmpty():
+        return once
+    single = once.join(repeated, "doc_id", "left_semi").dropDuplicates(["doc_id"]).select(docs.columns)
+    return without(once, repeated).unionByName(single)
+
+
+def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents with at least a twentieth of their words in benchmark passages go."""
+    judged = materialised(decontaminate.contamination(docs, table(spark, sf_dir, "benchmark")), "contaminated")
+    return without(docs, judged.filter("contaminated"))
+
+
+def secrets_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Every secret is replaced by a mark and ``n_chars`` follows; all documents stay."""
+    found = secret_scan.secrets(docs).filter(F.size("all_spans") > 0)
+    found = found.select(F.col("doc_id").alias("hit_id"), F.col("row_key").alias("hit_key"), "all_spans").dropDuplicates(
+        ["hit_id", "hit_key"]
+    )
+    found = materialised(found, "secrets")
+    same = F.col("doc_id").eqNullSafe(F.col("hit_id")) & (row_key() == F.col("hit_key"))
+    text = F.when(F.col("all_spans").isNull(), F.col("text")).otherwise(
+        secret_scan.redacted(F.col("text"), F.col("all_spans"))
+    )
+    size = F.when(F.col("all_spans").isNull(), F.col("n_chars")).otherwise(F.length("text").cast("long"))
+    replaced = docs.join(found, same, "left").withColumn("text", text)
+    return replaced.withColumn("n_chars", size).select(docs.columns)
+
+
+def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Tokens packed into sequences of 4096."""
+    return packing.pack(docs)
+
+
+STAGES = [
+    ("language", language_stage),
+    ("near_dedup", dedup_stage),
+    ("decontamination", decontamination_stage),
+    ("secrets", secrets_stage),
+    ("packing", packing_stage),
+]
+ORACLE_SQL = None  # SQL can express neither the language model nor the packing
+
+
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    for name, stage in STAGES:
+        docs = materialised(stage(spark, docs, sf_dir), name)
+    return docs
