@@ -72,9 +72,9 @@ def symbols(text: str, codes: np.ndarray) -> np.ndarray:
 
 
 def parser(sequence: np.ndarray, width: int) -> np.ndarray:
-    """The suffix automaton of the sequence as a flat table: 2 * next state + (1 if a phrase ends before the symbol).
+    """The suffix automaton of the sequence as a flat table: 4 * next state + phrases ended.
 
-    Column ``width - 1`` is padding and changes nothing.
+    A symbol that no phrase of the sample contains ends the phrase before it and is one itself. Column ``width - 1`` is padding and changes nothing.
     """
     follow: list[dict[int, int]] = [{}]
     link, length, last = [-1], [0], 0
@@ -101,16 +101,16 @@ def parser(sequence: np.ndarray, width: int) -> np.ndarray:
                     p = link[p]
                 link[q] = link[new] = copy
         last = new
-    start = np.ones(width, np.int32)
+    start = np.full(width, 2, np.int32)
     for c, state in follow[0].items():
-        start[c] = 2 * state + 1
+        start[c] = 4 * state + 1
     table = np.tile(start, (len(follow), 1))
     for state, edges in enumerate(follow):
         if edges:
-            table[state, list(edges)] = 2 * np.fromiter(edges.values(), np.int32, len(edges))
+            table[state, list(edges)] = 4 * np.fromiter(edges.values(), np.int32, len(edges))
     unknown = np.setdiff1d(np.arange(width - 1), list(follow[0]))
-    table[0, unknown] = 1  # such a symbol is a phrase of its own
-    table[:, width - 1] = 2 * np.arange(len(follow))
+    table[0, unknown] = 1
+    table[:, width - 1] = 4 * np.arange(len(follow))
     return table.ravel()
 
 
@@ -147,9 +147,8 @@ def phrase_counts(texts: list[np.ndarray], model: dict) -> np.ndarray:
         state, count = np.zeros(lanes.shape[1], np.int32), np.zeros(lanes.shape[1], np.int32)
         for column in lanes:
             value = table[state * width + column]
-            count += value & 1
-            state = value >> 1
-        # A block that begins in the root counts a break only for unknown symbols; its open phrase counts one.
+            count += value & 3
+            state = value >> 2
         result[:, k] = np.bincount(owner, count + (state != 0), len(texts))
     return result
 
