@@ -65,7 +65,7 @@ def weekly_split(spark: SparkSession, sf: str) -> TimeSplit:
 def requests(spark: SparkSession, sf: str) -> RequestSet:
     split = weekly_split(spark, sf)
     found = sample_requests(
-        split.events, split.test_start_ms, split.end_ms, N_REQUESTS, SEED, LABEL_HORIZON_MS
+        split.events, split.test_start_ms, split.end_ms, None, SEED, LABEL_HORIZON_MS
     )
     return RequestSet(
         found.frame, checkpointed(found.history), found.relevant, found.seen
@@ -89,9 +89,10 @@ def r6(column: str | Column) -> Column:
 
 EV = """ev AS (
   SELECT epoch_us(ts) // 1000 AS ts_ms, user_id, CAST(regexp_extract(props, '[0-9]+') AS BIGINT) AS item_id,
-         CASE event_type WHEN 'view' THEN 'view' WHEN 'click' THEN 'addtocart' ELSE 'transaction' END AS event,
+         CASE WHEN event_type IN ('view', 'error') THEN 'view' WHEN event_type IN ('click', 'signup') THEN 'addtocart'
+           ELSE 'transaction' END AS event,
          CASE WHEN event_type = 'purchase' THEN event_id END AS transaction_id
-  FROM events WHERE event_type IN ('view', 'click', 'purchase'))"""
+  FROM events)"""
 
 ORD = """ev AS (
   SELECT epoch_ms(l_shipdate) AS ts_ms, o_custkey AS user_id, l_partkey AS item_id,
@@ -117,31 +118,37 @@ drawn AS (SELECT user_id, as_of_ms FROM (
     SELECT *, row_number() OVER (PARTITION BY user_id
       ORDER BY md5(concat_ws(':', '{SEED}', CAST(user_id AS VARCHAR), CAST(as_of_ms AS VARCHAR))), as_of_ms) AS r
     FROM elig) WHERE r = 1),
-chosen AS (SELECT * FROM drawn ORDER BY md5(concat_ws(':', '{SEED}', CAST(user_id AS VARCHAR))), user_id LIMIT {N_REQUESTS}),
-req AS (SELECT row_number() OVER (ORDER BY as_of_ms, user_id) - 1 AS request_id, user_id, as_of_ms FROM chosen),
+req AS MATERIALIZED (SELECT row_number() OVER (ORDER BY as_of_ms, user_id) - 1 AS request_id, user_id, as_of_ms FROM drawn),
 rrel AS (SELECT DISTINCT request_id, item_id FROM req JOIN ev USING (user_id), b
          WHERE ts_ms >= as_of_ms AND ts_ms < least(as_of_ms + {LABEL_HORIZON_MS}, end_ms)),
 rseen AS (SELECT DISTINCT request_id, item_id FROM req JOIN ev USING (user_id) WHERE ts_ms < as_of_ms),
-hist AS (SELECT * FROM (
+hist AS MATERIALIZED (SELECT * FROM (
     SELECT r.request_id, r.as_of_ms, e.ts_ms, e.item_id, e.event,
            row_number() OVER (PARTITION BY r.request_id ORDER BY e.ts_ms DESC, e.item_id DESC, e.event DESC,
                               e.transaction_id DESC NULLS LAST) - 1 AS back
     FROM req r JOIN ev e ON e.user_id = r.user_id AND e.ts_ms < r.as_of_ms) WHERE back < 50)"""
 
+def sampled_requests(n: int) -> str:
+    """CTE ``sampled``: ``n`` requests, the smallest user digests, numbered among themselves."""
+    digest = f"md5(concat_ws(':', '{SEED}', CAST(user_id AS VARCHAR)))"
+    return f"""sampled AS (SELECT row_number() OVER (ORDER BY as_of_ms, user_id) - 1 AS request_id, user_id, as_of_ms
+  FROM (SELECT * FROM drawn ORDER BY {digest}, user_id LIMIT {n}))"""
+
+
 WEIGHT = "CASE event WHEN 'view' THEN 1.0::DOUBLE WHEN 'addtocart' THEN 3.0::DOUBLE ELSE 5.0::DOUBLE END"
 
 # user vector: recency- and type-weighted mean of history vectors, L2-normalised
 CAND = f"""parts AS (SELECT request_id, unnest(range(1, 65)) AS d, unnest(embedding)::DOUBLE AS x,
            {WEIGHT} * pow(0.9, back) AS w FROM hist JOIN embeddings ON vec_id = item_id),
-pooled AS (SELECT request_id, d, sum(w * x) AS x FROM parts GROUP BY 1, 2),
+pooled AS MATERIALIZED (SELECT request_id, d, sum(w * x) AS x FROM parts GROUP BY 1, 2),
 lens AS (SELECT request_id, sqrt(sum(x * x)) AS n FROM pooled GROUP BY 1),
-uvec AS (SELECT request_id, list(x / n ORDER BY d) AS v FROM pooled JOIN lens USING (request_id) GROUP BY 1),
-sims AS (SELECT request_id, vec_id AS item_id, list_dot_product(v, embedding::DOUBLE[]) AS s FROM uvec, embeddings),
+uvec AS MATERIALIZED (SELECT request_id, list(x / n ORDER BY d) AS v FROM pooled JOIN lens USING (request_id) GROUP BY 1),
+sims AS MATERIALIZED (SELECT request_id, vec_id AS item_id, list_dot_product(v, embedding::DOUBLE[]) AS s FROM uvec, embeddings),
 near AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY request_id ORDER BY s DESC, item_id) - 1 AS ann_rank
          FROM sims) WHERE ann_rank < {LIST_LEN}),
 recent AS (SELECT request_id, item_id, row_number() OVER (PARTITION BY request_id ORDER BY min(back)) - 1 AS recent_rank
          FROM hist GROUP BY 1, 2),
-cand AS (SELECT coalesce(n.request_id, r.request_id) AS request_id, coalesce(n.item_id, r.item_id) AS item_id,
+cand AS MATERIALIZED (SELECT coalesce(n.request_id, r.request_id) AS request_id, coalesce(n.item_id, r.item_id) AS item_id,
          ann_rank, recent_rank FROM near n FULL JOIN recent r ON n.request_id = r.request_id AND n.item_id = r.item_id),
 scored AS (SELECT c.*, s.s AS ann_score FROM cand c LEFT JOIN sims s USING (request_id, item_id))"""
 

@@ -17,6 +17,7 @@ from asofkit.catalog.common import (
     clicks,
     metrics_sql,
     purchases,
+    sampled_requests,
     r6,
     requests,
     weekly_split,
@@ -210,7 +211,7 @@ def t9_seen_items(spark, sf) -> DataFrame:
 
 
 def f6_request_order(spark, sf) -> DataFrame:
-    return requests(spark, sf).frame
+    return t9_sample_requests(spark, sf)
 
 
 def _eval_set(spark, sf):
@@ -503,11 +504,11 @@ ORACLES = {
         "rkeys AS (SELECT DISTINCT request_id FROM hist)",
         _filled("request_id", "rkeys", "rown", 50, "recs"),
     ) + "SELECT * FROM recs",
-    "t9_sample_requests": with_(EV, SPLIT, REQ) + "SELECT * FROM req",
-    "t9_small_sample": with_(EV, SPLIT, REQ.replace(f"LIMIT {N_REQUESTS}", "LIMIT 40")) + "SELECT * FROM req",
+    "t9_sample_requests": with_(EV, SPLIT, REQ, sampled_requests(N_REQUESTS)) + "SELECT * FROM sampled",
+    "t9_small_sample": with_(EV, SPLIT, REQ, sampled_requests(40)) + "SELECT * FROM sampled",
     "b4_label_window": with_(EV, SPLIT, REQ) + "SELECT * FROM rrel",
     "t9_seen_items": with_(EV, SPLIT, REQ) + "SELECT * FROM rseen",
-    "f6_request_order": with_(EV, SPLIT, REQ) + "SELECT * FROM req",
+    "f6_request_order": with_(EV, SPLIT, REQ, sampled_requests(N_REQUESTS)) + "SELECT * FROM sampled",
     "t10_eval_set": with_(EV, SPLIT, EVAL)
     + """SELECT user_id, count(*) AS n_relevant, CAST(sum(item_id) AS BIGINT) AS item_sum,
   max((SELECT count(*) FROM seen s WHERE s.user_id = rel.user_id)) AS n_seen FROM rel GROUP BY 1""",

@@ -184,7 +184,7 @@ def c5_first_seen(spark, sf) -> DataFrame:
 
 
 def c6_request_events(spark, sf) -> DataFrame:
-    pairs = request_pairs(clicks(spark, sf), requests(spark, sf).frame, small=True)
+    pairs = request_pairs(clicks(spark, sf), requests(spark, sf).frame, small=False)
     return pairs.select("request_id", "user_id", "as_of_ms", "ts_ms", "item_id")
 
 

@@ -20,16 +20,16 @@ from asofkit.plans.features import item_features, user_features
 from asofkit.schema import CHECK_OFFSETS_MS, EVENT_COLUMNS
 from asofkit.session import scratch_path
 from asofkit.sources.messages import decode, encode, read_files
-from asofkit.streaming.ingest import deduplicated, ingest
+from asofkit.streaming.ingest import ingest, start_ingest
 from asofkit.streaming.skew_check import compare_store, differences, moments, report
 from asofkit.streaming.store import OnlineStore
 
 
 def messages(spark, sf) -> DataFrame:
-    """One message per row of ``events``: clicks as events, the other types as broken messages.
+    """One message per row of ``events``, and a broken copy of some.
 
-    ``signup`` rows carry an unknown event type or an extra key, ``error`` rows are not JSON, lack
-    a key or hold a wrong type.
+    ``signup`` rows also come with an unknown event type or an extra key, ``error`` rows as no JSON, without
+    a key or with a wrong type.
     """
     good = encode(clicks(spark, sf)).select("value")
     raw = utc(spark).read.parquet(f"{sf}/events.parquet")
@@ -112,7 +112,7 @@ def i7_history_tail(spark, sf) -> DataFrame:
 
 
 def i8_watermark(spark, sf) -> DataFrame:
-    return filled_store(spark, sf).merged("users").agg(F.max("ts_ms").alias("watermark"))
+    return spark.createDataFrame([(filled_store(spark, sf).watermark(),)], "watermark long")
 
 
 def _user_points(spark, sf) -> DataFrame:
@@ -150,21 +150,76 @@ def i13_compacted_item_subset(spark, sf) -> DataFrame:
     return compacted_store(spark, sf).item_features(_item_points(spark, sf), ["item_views_24h"])
 
 
+def _ordered_thirds(spark, sf) -> list[DataFrame]:
+    """Messages in three parts, the latest events first."""
+    events = clicks(spark, sf)
+    low, high = events.approxQuantile("ts_ms", [1 / 3, 2 / 3], 0.01)
+    ts = F.col("ts_ms")
+    return [encode(events.where(c)).select("value") for c in (ts >= high, (ts >= low) & (ts < high), ts < low)]
+
+
 def i9_late_data_dedup(spark, sf) -> DataFrame:
-    """The optional stream-side dedup, over messages delivered twice."""
-    source, out = scratch_path(spark, "messages"), scratch_path(spark, "unique")
-    messages(spark, sf).write.text(source)
-    messages(spark, sf).write.mode("append").text(source)
-    query = (
-        deduplicated(read_files(spark, source), "60 days")
-        .writeStream.format("parquet")
-        .option("path", out)
-        .option("checkpointLocation", scratch_path(spark, "offsets"))
-        .trigger(availableNow=True)
-        .start()
-    )
-    query.awaitTermination()
-    return spark.read.parquet(out)
+    """Each micro-batch is older than the one before, and the latest is delivered again: nothing is lost or doubled."""
+    source = scratch_path(spark, "messages")
+    store = OnlineStore(spark, scratch_path(spark, "store"), WIDE)
+    offsets = scratch_path(spark, "offsets")
+    parts = _ordered_thirds(spark, sf)
+    for part in [*parts, parts[0]]:
+        part.write.mode("append").text(source)
+        ingest(read_files(spark, source), store, offsets)
+    return store.merged("users")
+
+
+def i9_late_after_compaction(spark, sf) -> DataFrame:
+    """Late events that arrive after compaction and vacuum still count."""
+    source = scratch_path(spark, "messages")
+    store = OnlineStore(spark, scratch_path(spark, "store"), WIDE)
+    offsets = scratch_path(spark, "offsets")
+    for part in _ordered_thirds(spark, sf):
+        part.write.mode("append").text(source)
+        ingest(read_files(spark, source), store, offsets)
+        store.compact()
+        store.vacuum()
+    return store.user_events()
+
+
+def i2_two_writers(spark, sf) -> DataFrame:
+    """Two workers with half of the messages each, both numbering their batches from 0."""
+    store = OnlineStore(spark, scratch_path(spark, "store"), WIDE)
+    half = F.pmod(F.xxhash64("value"), F.lit(2))
+    for worker in (0, 1):
+        source = scratch_path(spark, "messages")
+        messages(spark, sf).where(half == worker).repartition(2).write.text(source)
+        ingest(read_files(spark, source, files_per_batch=1), store, scratch_path(spark, "offsets"))
+    return store.merged("users")
+
+
+def i3_replay_new_offsets(spark, sf) -> DataFrame:
+    """After compaction a stream with a new checkpoint replays all and brings new events in batches from 0."""
+    store = OnlineStore(spark, scratch_path(spark, "store"), WIDE)
+    latest, *rest = _ordered_thirds(spark, sf)
+    source = scratch_path(spark, "messages")
+    for part in rest:
+        part.write.mode("append").text(source)
+    ingest(read_files(spark, source), store, scratch_path(spark, "offsets"))
+    store.compact()
+    store.vacuum()
+    latest.write.mode("append").text(source)
+    ingest(read_files(spark, source), store, scratch_path(spark, "offsets"))
+    return store.user_events()
+
+
+def i10_compaction(spark, sf) -> DataFrame:
+    """The ingest job compacts after every batch; the histories are those of the whole log."""
+    source = scratch_path(spark, "messages")
+    messages(spark, sf).repartition(3, "value").write.text(source)
+    store = OnlineStore(spark, scratch_path(spark, "store"), WIDE)
+    start_ingest(
+        read_files(spark, source, files_per_batch=1), store, scratch_path(spark, "offsets"), compact_every=1
+    ).awaitTermination()
+    if store.batches():
+        raise RuntimeError("compacted batches are still there")
+    return store.history_log()
 
 
 def d25_skew_report(spark, sf) -> DataFrame:
@@ -195,7 +250,8 @@ QUERIES = {
     f.__name__: f
     for f in (
         i1_parse, i2_stream_to_log, i3_rejected_messages, i5_user_retention, i6_item_retention,
-        i7_history_tail, i8_watermark, i9_late_data_dedup, i11_online_user_features,
+        i7_history_tail, i8_watermark, i9_late_data_dedup, i9_late_after_compaction,
+        i2_two_writers, i3_replay_new_offsets, i10_compaction, i11_online_user_features,
         i11_compacted_user_features, i12_online_histories, i13_online_item_features,
         i13_compacted_item_subset, d25_skew_report, d25_compacted_skew_report, t33_parity,
     )
@@ -225,7 +281,18 @@ def _n_values(users: int, items: int) -> str:
   + {items} * (SELECT count(DISTINCT item_id) FROM ev)) AS values_compared, 0::BIGINT AS mismatches"""
 
 
+_RETAINED = (
+    with_(EV, _LAST_SESSION)
+    + f"SELECT DISTINCT ev.* FROM ev JOIN ends USING (user_id) WHERE ts_ms >= least(last_ts - {WIDE.user_retention_ms}, start_ms)"
+)
+_TAIL = with_(EV) + """SELECT * EXCLUDE (r) FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts_ms DESC, item_id DESC, event DESC,
+  transaction_id DESC NULLS LAST) AS r FROM (SELECT DISTINCT * FROM ev)) WHERE r <= 50"""
+
 ORACLES = {
+    "i2_two_writers": with_(EV) + "SELECT DISTINCT * FROM ev",
+    "i3_replay_new_offsets": _RETAINED,
+    "i9_late_after_compaction": _RETAINED,
+    "i10_compaction": _TAIL,
     "i1_parse": with_(EV)
     + "SELECT 'true' AS accepted, event, count(*) AS n FROM ev GROUP BY 2 UNION ALL"
     " SELECT 'false', '', count(*) FROM events WHERE event_type IN ('signup', 'error')",

@@ -63,12 +63,20 @@ def one_per_user(points: DataFrame, seed: int) -> DataFrame:
 
 
 def choose_requests(
-    events: DataFrame, start_ms: int, end_ms: int, n: int, seed: int = 0
+    events: DataFrame, start_ms: int, end_ms: int, n: int | None, seed: int = 0, small: int = SMALL_SAMPLE
 ) -> DataFrame:
-    """At most ``n`` users with one moment each, numbered by (as_of_ms, user_id)."""
+    """At most ``n`` users, or all, with one moment each, numbered by (as_of_ms, user_id).
+
+    Up to ``small`` requests are drawn and numbered in one task; more are numbered by a range sort.
+    """
     drawn = one_per_user(eligible_points(events, start_ms, end_ms), seed)
-    chosen = drawn.orderBy(sampling_digest(seed, ["user_id"]), "user_id").limit(n)
-    if n > SMALL_SAMPLE:
+    chosen = drawn
+    if n is not None and n > small:
+        order = dense_index(drawn, [sampling_digest(seed, ["user_id"]), "user_id"], "_place")
+        chosen = order.where(F.col("_place") < n).drop("_place")
+    elif n is not None:
+        chosen = drawn.orderBy(sampling_digest(seed, ["user_id"]), "user_id").limit(n)
+    if n is None or n > small:
         numbered = dense_index(chosen, ["as_of_ms", "user_id"], "request_id")
     else:
         place = F.row_number().over(Window.orderBy("as_of_ms", "user_id")) - 1
@@ -96,17 +104,18 @@ def sample_requests(
     events: DataFrame,
     start_ms: int,
     end_ms: int,
-    n: int,
+    n: int | None,
     seed: int = 0,
     horizon_ms: int = HORIZON_MS,
     hot_rows: int | None = HOT_ROWS,
+    small: int = SMALL_SAMPLE,
 ) -> RequestSet:
     """Requests in ``[start_ms, end_ms)`` with history, labels and seen items.
 
     Labels are the items touched in ``[as_of, min(as_of + horizon, end))``.
     """
-    requests = checkpointed(choose_requests(events, start_ms, end_ms, n, seed))
-    pairs = request_pairs(events, requests, small=n <= SMALL_SAMPLE)
+    requests = checkpointed(choose_requests(events, start_ms, end_ms, n, seed, small))
+    pairs = request_pairs(events, requests, small=n is not None and n <= small)
     ts, as_of = F.col("ts_ms"), F.col("as_of_ms")
     until = F.least(as_of + horizon_ms, F.lit(end_ms))
     relevant = pairs.where((ts >= as_of) & (ts < until)).select("request_id", "item_id").distinct()

@@ -74,25 +74,18 @@ def first_n(events: DataFrame, n: int) -> DataFrame:
 def order_violations(arrivals: DataFrame, sequence: str, block: int = 1_000_000) -> DataFrame:
     """Rows older than the first row of the stream or than their predecessor in ``sequence``.
 
-    The predecessor is looked up inside blocks of the sequence number; each block also receives
-    the last row before it, so no single task orders the whole stream.
+    The predecessor is looked up inside blocks of the sequence number; each block also receives the
+    last row of the block with rows before it, however far back, so gaps hide nothing and no single
+    task orders the whole stream.
     """
-    seq = F.col(sequence)
-    home = F.floor(seq / F.lit(block)).cast("long")
-    # the last row of a block is also the predecessor of the next block's first row
-    is_last = seq % F.lit(block) == block - 1
-    spread = arrivals.select(
-        sequence,
-        "ts_ms",
-        F.posexplode(F.when(is_last, F.array(home, home + 1)).otherwise(F.array(home))).alias(
-            "_copy", "_block"
-        ),
-    )
+    rows = arrivals.select(sequence, "ts_ms", F.floor(F.col(sequence) / F.lit(block)).cast("long").alias("_block"))
+    lasts = rows.groupBy("_block").agg(F.max_by("ts_ms", sequence).alias("_ts"))  # one row per block
+    carried = lasts.select("_block", F.lag("_ts").over(Window.orderBy("_block")).alias("_carried"))
     w = Window.partitionBy("_block").orderBy(sequence)
     first_ts = arrivals.agg(F.min_by("ts_ms", sequence)).first()[0]
     return (
-        spread.withColumn("prev_ts", F.lag("ts_ms").over(w))
-        .where("_copy = 0")
+        rows.join(carried, "_block")
+        .withColumn("prev_ts", F.coalesce(F.lag("ts_ms").over(w), F.col("_carried")))
         .select(
             F.col(sequence),
             "ts_ms",

@@ -1,4 +1,4 @@
-"""Feature log: date-partitioned Parquet, queried as the SQL view ``event_features``."""
+"""Feature log: date-partitioned Parquet, queried in SQL as ``event_features``."""
 
 from __future__ import annotations
 
@@ -21,10 +21,14 @@ class FeatureLog:
     def __init__(self, spark: SparkSession, root: str) -> None:
         if not path_exists(spark, root):
             raise FileNotFoundError(root)
-        self.spark = spark
-        spark.read.parquet(root).createOrReplaceTempView(VIEW)
+        # A session of its own keeps the view apart from those of other logs.
+        self.spark = spark.newSession()
+        for key in ("spark.sql.session.timeZone", "spark.sql.shuffle.partitions"):
+            self.spark.conf.set(key, spark.conf.get(key))
+        self.spark.read.parquet(root).createOrReplaceTempView(VIEW)
 
     def query(self, sql: str, params: list[object] | None = None) -> DataFrame:
+        """The rows of a statement over ``event_features``, this log's rows whatever other logs are open."""
         return self.spark.sql(sql, args=params or [])
 
     def between(self, start_ms: int, end_ms: int, ordered: bool = True) -> DataFrame:

@@ -26,3 +26,8 @@ def child_names(spark: SparkSession, path: str) -> list[str]:
 def delete_tree(spark: SparkSession, path: str) -> bool:
     fs, target = _fs_and_path(spark, path)
     return fs.delete(target, True)
+
+
+def touch(spark: SparkSession, path: str) -> None:
+    fs, target = _fs_and_path(spark, path)
+    fs.create(target, True).close()

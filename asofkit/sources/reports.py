@@ -19,7 +19,7 @@ METHOD_COLUMNS = {
 
 def write_report(rows: DataFrame, path: str) -> None:
     """One JSON document per row, in a single file: for reports only."""
-    rows.coalesce(1).write.mode("overwrite").json(path)
+    rows.repartition(1).write.mode("overwrite").json(path)
 
 
 def formatted(rows: DataFrame, label: str, columns: dict[str, str]) -> DataFrame:
@@ -29,8 +29,10 @@ def formatted(rows: DataFrame, label: str, columns: dict[str, str]) -> DataFrame
 
 
 def markdown(rows: DataFrame, limit: int = 1000) -> str:
-    """A Markdown table of a report frame, which has a handful of rows by construction."""
-    table = rows.limit(limit).collect()
+    """A Markdown table of a report frame; more than ``limit`` rows are an error, nothing is cut."""
+    table = rows.limit(limit + 1).collect()
+    if len(table) > limit:
+        raise ValueError(f"a report of more than {limit} rows")
 
     def line(cells: Sequence[object]) -> str:
         return "| " + " | ".join("" if c is None else str(c) for c in cells) + " |"

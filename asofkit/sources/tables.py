@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 # Source event names and the canonical type each stands for.
-EVENT_NAMES = {"view": "view", "click": "addtocart", "purchase": "transaction"}
+EVENT_NAMES = {"view": "view", "error": "view", "click": "addtocart", "signup": "addtocart", "purchase": "transaction"}
 RETURN_FLAGS = {"N": "view", "A": "addtocart", "R": "transaction"}
 
 
@@ -22,9 +22,8 @@ def _renamed(column: str, names: dict[str, str]):
 
 
 def click_events(spark: SparkSession, folder: str) -> DataFrame:
-    """Canonical events from the ``events`` table; other event types are not clicks."""
-    raw = _table(spark, folder, "events").where(F.col("event_type").isin(*EVENT_NAMES))
-    return raw.select(
+    """Canonical events from all rows of the ``events`` table."""
+    return _table(spark, folder, "events").select(
         F.unix_millis(F.col("ts").cast("timestamp")).alias("ts_ms"),
         "user_id",
         F.get_json_object("props", "$.k").cast("long").alias("item_id"),

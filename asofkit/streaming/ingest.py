@@ -3,12 +3,11 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from threading import Event
 
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from asofkit.schema import EVENT_COLUMNS
 from asofkit.sources.messages import decode
 from asofkit.streaming.store import OnlineStore
 
@@ -21,35 +20,36 @@ def start_ingest(
     checkpoint: str,
     bounded: bool = True,
     interval: str = "10 seconds",
+    compact_every: int | None = 100,
 ) -> StreamingQuery:
     """Start the query. ``bounded`` processes what is available and stops.
 
     Source offsets are checkpointed and batches are rewritten on retry, so a restart neither loses
-    nor double counts events. Messages keyed by user keep their order inside a topic partition, but
-    the store does not depend on it.
+    nor double counts events. A store's batches are filed under the stream's id, which a checkpoint
+    keeps; several workers, and replays with new checkpoints, can share a store. Every
+    ``compact_every`` batches the store is compacted and vacuumed; with several workers let one do it.
     """
-    write = sink.write_batch if isinstance(sink, OnlineStore) else sink
+    known, ids = Event(), {}
+
+    def store_batch(batch: DataFrame, batch_id: int) -> None:
+        known.wait()
+        sink.write_batch(batch, batch_id, ids["stream"])
+        if compact_every and batch_id % compact_every == compact_every - 1:
+            sink.compact()
+            sink.vacuum()
+
+    write = store_batch if isinstance(sink, OnlineStore) else sink
     writer = (
         decode(messages)
         .writeStream.foreachBatch(lambda batch, batch_id: write(batch, batch_id))
         .option("checkpointLocation", checkpoint)
     )
     trigger = {"availableNow": True} if bounded else {"processingTime": interval}
-    return writer.trigger(**trigger).start()
+    query = writer.trigger(**trigger).start()
+    ids["stream"] = query.id
+    known.set()
+    return query
 
 
 def ingest(messages: DataFrame, sink: OnlineStore | BatchSink, checkpoint: str) -> None:
     start_ingest(messages, sink, checkpoint).awaitTermination()
-
-
-def deduplicated(messages: DataFrame, lateness: str = "1 day") -> DataFrame:
-    """Optional stream-side dedup with bounded state; rows later than ``lateness`` may be dropped.
-
-    The state key is the whole event, so no user's or item's events share a state partition.
-    """
-    timed = decode(messages).where("accepted").withColumn("event_time", F.timestamp_millis("ts_ms"))
-    return (
-        timed.withWatermark("event_time", lateness)
-        .dropDuplicatesWithinWatermark(EVENT_COLUMNS)
-        .select(*EVENT_COLUMNS)
-    )

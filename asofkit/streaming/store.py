@@ -2,9 +2,13 @@
 
 Layout under ``root``:
 
-* ``log/batch_id=N``       one micro-batch, overwritten when it is retried: ``accepted=true`` holds
-  its events, ``accepted=false`` the raw values of rejected messages
-* ``snapshot/through=N``   compacted ``users``, ``items`` and ``history`` covering batches <= N
+* ``log/source=S/batch_id=N``  one micro-batch of one writer, overwritten when it is retried:
+  ``accepted=true`` holds its events, ``accepted=false`` the raw values of rejected messages
+* ``snapshot/id=K``            compacted ``users``, ``items`` and ``history``, and a ``manifest`` of the
+  (source, batch) pairs that they cover, written last
+
+Writers need not know of each other: a source is one stream's id, so batch numbers that several
+workers use, or that a stream with a new checkpoint starts again, never meet.
 
 Nothing is keyed in executor state, so one very busy user or item never sits in a single state
 partition. An event is identified by all its columns: delivering it again, in the same batch or a
@@ -15,6 +19,8 @@ for any ``as_of`` at or after the entity's latest event.
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -25,10 +31,13 @@ from asofkit.operators.skew import HOT_ROWS
 from asofkit.operators.timeline import session_state
 from asofkit.plans.features import item_features, user_features, user_histories
 from asofkit.schema import EVENT_COLUMNS, EVENT_SCHEMA, HISTORY_LEN
-from asofkit.sources.paths import child_names, delete_tree, path_exists
+from asofkit.sources.paths import child_names, delete_tree, path_exists, touch
 
 _MARKER = "_SUCCESS"
-_TABLES = ("users", "items", "history")
+_ONLY_REJECTED = "_ONLY_REJECTED"
+DIRECT = "direct"
+Batch = tuple[str, int]
+MANIFEST = "source string, batch_id long"
 LOG_SCHEMA = T.StructType(
     [*EVENT_SCHEMA, T.StructField("value", T.StringType()), T.StructField("accepted", T.BooleanType())]
 )
@@ -79,83 +88,117 @@ class OnlineStore:
         self.spark, self.root = spark, root.rstrip("/")
         self.features, self.hot_rows = features, hot_rows
 
-    # writes ------------------------------------------------------------------
+    # batches ------------------------------------------------------------------
 
-    def write_batch(self, decoded: DataFrame, batch_id: int) -> None:
-        """``foreachBatch`` sink: retrying a batch rewrites the same folders."""
+    def write_batch(self, decoded: DataFrame, batch_id: int, source: str = DIRECT) -> None:
+        """``foreachBatch`` sink of the stream ``source``: retrying a batch rewrites the same folder."""
         raw = F.when(~F.col("accepted"), F.col("value")).cast("string")
         # one pass without a shuffle; duplicates are dropped by readers and by compaction
         decoded.select(*EVENT_COLUMNS, raw.alias("value"), "accepted").write.mode(
             "overwrite"
-        ).partitionBy("accepted").parquet(f"{self.root}/log/batch_id={batch_id}")
-
-    def append(self, events: DataFrame, batch_id: int) -> None:
-        self.write_batch(events.withColumns({"accepted": F.lit(True), "value": F.lit(None)}), batch_id)
-
-    def batches(self) -> list[int]:
-        """Completed batches, oldest first."""
-        names = [n for n in child_names(self.spark, f"{self.root}/log") if n.startswith("batch_id=")]
-        done = [n for n in names if path_exists(self.spark, f"{self.root}/log/{n}/{_MARKER}")]
-        return sorted(int(n.split("=")[1]) for n in done)
-
-    def _through(self) -> int | None:
+        ).partitionBy("accepted").parquet(self._folder((source, batch_id)))
+
+    def append(self, events: DataFrame, batch_id: int, source: str = DIRECT) -> None:
+        self.write_batch(events.withColumns({"accepted": F.lit(True), "value": F.lit(None)}), batch_id, source)
+
+    def _folder(self, batch: Batch) -> str:
+        return f"{self.root}/log/source={batch[0]}/batch_id={batch[1]}"
+
+    def batches(self) -> list[Batch]:
+        """Completed (source, batch) pairs that still hold events."""
+        found = []
+        for source in child_names(self.spark, f"{self.root}/log"):
+            for name in child_names(self.spark, f"{self.root}/log/{source}"):
+                batch = source.split("=")[1], int(name.split("=")[1])
+                inside = child_names(self.spark, self._folder(batch))
+                if _MARKER in inside and _ONLY_REJECTED not in inside:
+                    found.append(batch)
+        return sorted(found)
+
+    def _snapshot(self) -> str | None:
+        """The newest snapshot with a manifest."""
         folder = f"{self.root}/snapshot"
-        names = [n for n in child_names(self.spark, folder) if n.startswith("through=")]
         done = [
-            int(n.split("=")[1])
-            for n in names
-            if all(path_exists(self.spark, f"{folder}/{n}/{t}/{_MARKER}") for t in _TABLES)
+            n for n in child_names(self.spark, folder) if path_exists(self.spark, f"{folder}/{n}/manifest/{_MARKER}")
         ]
         return max(done, default=None)
 
+    def _covered(self) -> set[Batch]:
+        name = self._snapshot()
+        if name is None:
+            return set()
+        rows = self.spark.read.schema(MANIFEST).parquet(f"{self.root}/snapshot/{name}/manifest")
+        return {(r.source, r.batch_id) for r in rows.collect()}
+
+    def pending(self) -> list[Batch]:
+        """Batches that the newest snapshot does not cover."""
+        covered = self._covered()
+        return [b for b in self.batches() if b not in covered]
+
     def compact(self) -> None:
-        """Fold all completed batches into a new snapshot; readers switch when it is complete."""
+        """Fold all completed batches into a new snapshot; readers switch when its manifest is there."""
         batches = self.batches()
-        if not batches:
-            return
-        target = f"{self.root}/snapshot/through={batches[-1]}"
-        if self._through() == batches[-1]:
+        if not self.pending():
             return
-        self.user_events().write.mode("overwrite").parquet(f"{target}/users")
-        self.item_events().write.mode("overwrite").parquet(f"{target}/items")
-        self.history_log().write.mode("overwrite").parquet(f"{target}/history")
+        newest = self._snapshot()
+        number = 1 + int(newest.split("=")[1].split("-")[0]) if newest else 0
+        target = f"{self.root}/snapshot/id={number:012d}-{uuid.uuid4().hex[:8]}"
+        for name, events in (
+            ("users", self.user_events()),
+            ("items", self.item_events()),
+            ("history", self.history_log()),
+        ):
+            events.write.parquet(f"{target}/{name}")
+        manifest = self.spark.createDataFrame(batches, MANIFEST)
+        manifest.coalesce(1).write.parquet(f"{target}/manifest")
 
     def vacuum(self) -> int:
-        """Delete log batches and snapshots that the newest snapshot has replaced."""
-        through = self._through()
-        if through is None:
+        """Delete what the newest snapshot has replaced: events of its batches, older snapshots.
+
+        Rejected messages stay for inspection.
+        """
+        newest = self._snapshot()
+        if newest is None:
             return 0
-        old = [f"log/batch_id={b}" for b in self.batches() if b <= through]
-        for name in child_names(self.spark, f"{self.root}/snapshot"):
-            if name.startswith("through=") and int(name.split("=")[1]) < through:
-                old.append(f"snapshot/{name}")
-        return sum(bool(delete_tree(self.spark, f"{self.root}/{path}")) for path in old)
+        old = []
+        for batch in sorted(self._covered() & set(self.batches())):
+            folder = self._folder(batch)
+            if "accepted=false" in child_names(self.spark, folder):
+                touch(self.spark, f"{folder}/{_ONLY_REJECTED}")
+                old.append(f"{folder}/accepted=true")
+            else:
+                old.append(folder)
+        names = child_names(self.spark, f"{self.root}/snapshot")
+        old += [f"{self.root}/snapshot/{n}" for n in names if n < newest]
+        return sum(bool(delete_tree(self.spark, path)) for path in old)
 
     def clear(self) -> bool:
         """Remove this store's folders and nothing else."""
         parts = ("log", "snapshot")
         return any([delete_tree(self.spark, f"{self.root}/{part}") for part in parts])
 
-    # retained events ---------------------------------------------------------
+    # events at hand -----------------------------------------------------------
 
-    def merged(self, table: str) -> DataFrame:
-        """Snapshot ``table`` plus all newer batches, without duplicates and before trimming."""
-        through = self._through()
-        events = self._log([b for b in self.batches() if through is None or b > through], True)
-        if through is not None:
-            path = f"{self.root}/snapshot/through={through}/{table}"
+    def _events(self, table: str) -> DataFrame:
+        """Snapshot ``table`` plus the batches that it lacks."""
+        name = self._snapshot()
+        events = self._log(self.pending(), True)
+        if name is not None:
+            path = f"{self.root}/snapshot/{name}/{table}"
             events = events.unionByName(self.spark.read.schema(EVENT_SCHEMA).parquet(path))
-        return events.dropDuplicates(EVENT_COLUMNS)
+        return events
+
+    def merged(self, table: str) -> DataFrame:
+        """Snapshot and newer batches without duplicates and before trimming."""
+        return self._events(table).dropDuplicates(EVENT_COLUMNS)
 
-    def _log(self, batches: list[int], accepted: bool) -> DataFrame:
+    def _log(self, batches: list[Batch], accepted: bool) -> DataFrame:
+        columns = EVENT_COLUMNS if accepted else ["value"]
         if not batches:
-            return self.spark.createDataFrame([], LOG_SCHEMA).select(
-                *(EVENT_COLUMNS if accepted else ["value"])
-            )
-        paths = [f"{self.root}/log/batch_id={b}" for b in batches]
+            return self.spark.createDataFrame([], LOG_SCHEMA).select(*columns)
         reader = self.spark.read.schema(LOG_SCHEMA).option("basePath", f"{self.root}/log")
-        rows = reader.parquet(*paths).where(F.col("accepted") == accepted)
-        return rows.select(*(EVENT_COLUMNS if accepted else ["value"]))
+        rows = reader.parquet(*[self._folder(b) for b in batches]).where(F.col("accepted") == accepted)
+        return rows.select(*columns)
 
     def user_events(self) -> DataFrame:
         return retain_users(self.merged("users"), self.features, self.hot_rows)
@@ -167,12 +210,16 @@ class OnlineStore:
         return retain_history(self.merged("history"))
 
     def rejected(self) -> DataFrame:
-        """Raw values of rejected messages in batches that are not yet vacuumed."""
-        return self._log(self.batches(), False)
+        """Raw values of all rejected messages."""
+        folder = f"{self.root}/log"
+        if not path_exists(self.spark, folder):
+            return self._log([], False)
+        rows = self.spark.read.schema(LOG_SCHEMA).parquet(folder).where(~F.col("accepted"))
+        return rows.select("value")
 
     def watermark(self) -> int | None:
-        """Latest event time seen."""
-        return self.merged("users").agg(F.max("ts_ms")).first()[0]
+        """Latest event time seen; duplicates do not matter to it."""
+        return self._events("users").agg(F.max("ts_ms")).first()[0]
 
     # reads -------------------------------------------------------------------
 
