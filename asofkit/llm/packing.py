@@ -23,9 +23,11 @@ from asofkit.llm.common import materialised
 CAPACITY = 4096
 END_ID = 1
 SHARD_PIECES = 20_000
-GROUPS = 64
+GROUPS = 256
 LARGE = 1 / 8
-CACHED_WORDS = 400_000
+CACHED_WORDS = 800_000
+MARK = "\x01"
+MARKS = ".,!?;:*#$%&|"
 
 
 def default_tokenizer() -> str:
@@ -38,7 +40,9 @@ class WordEncoder:
     """Little-endian ids of a text, from the ids of its words.
 
     The tokenizer's pre-tokens never contain white space, so the ids of a text are those of its parts between
-    spaces and line feeds. Parts seen before come from a cache of at most ``CACHED_WORDS`` entries.
+    spaces and line feeds. A part that ends in a letter or digit and then marks splits there as well, and ASCII
+    parts are lower-cased as the tokenizer would. Parts seen before come from a cache of at most
+    ``CACHED_WORDS`` entries; new ones are encoded together, with a mark between them whose id occurs in no part.
     """
 
     def __init__(self, path: str):
@@ -46,19 +50,52 @@ class WordEncoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.cache: dict[str, bytes] = {}
+        (self.mark,) = self.ids(MARK)
+
+    def ids(self, text: str) -> list[int]:
+        return self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids
+
+    def learn(self, parts: set[str]) -> None:
+        """Puts the ids of the parts into the cache."""
+        split = {}
+        for part in parts:
+            head = part.rstrip(MARKS)
+            if not head or not (head[-1].isascii() and head[-1].isalnum()):
+                head = part
+            split[part] = (head.lower() if head.isascii() else head, part[len(head) :])
+        new = list({x for pair in split.values() for x in pair if x not in self.cache and MARK not in x})
+        for at in range(0, len(new), 20_000):
+            own = new[at : at + 20_000]
+            ids = np.asarray(self.ids(f" {MARK} ".join([*own, ""])), "<u4")
+            raw, begin = ids.tobytes(), 0
+            for word, end in zip(own, (4 * np.flatnonzero(ids == self.mark)).tolist(), strict=True):
+                self.cache[word] = raw[begin:end]
+                begin = end + 4
+        for part, (head, tail) in split.items():
+            if MARK in part:
+                self.cache[part] = np.asarray(self.ids(part), "<u4").tobytes()
+            else:
+                self.cache[part] = self.cache[head] + self.cache[tail]
 
     def encode(self, texts: list[str | None]) -> Iterator[bytes]:
-        for text in texts:
-            parts = (text or "").replace("\n", " ").split(" ")
-            try:
-                yield b"".join([self.cache[p] for p in parts])
-            except KeyError:
-                if len(self.cache) > CACHED_WORDS:
-                    self.cache.clear()
-                new = list({p for p in parts if p not in self.cache})
-                for part, coded in zip(new, self.tokenizer.encode_batch(new, add_special_tokens=False), strict=True):
-                    self.cache[part] = np.asarray(coded.ids, "<u4").tobytes()
-                yield b"".join([self.cache[p] for p in parts])
+        known = self.cache
+        for at in range(0, len(texts), 512):
+            split = [(text or "").replace("\n", " ").split(" ") for text in texts[at : at + 512]]
+            if len(known) > CACHED_WORDS:
+                known.clear()
+            self.learn({part for parts in split for part in parts if part not in known})
+            for parts in split:
+                yield b"".join([known[part] for part in parts])
+
+
+encoders: dict[str, WordEncoder] = {}
+
+
+def encoder_of(path: str) -> WordEncoder:
+    """One encoder per worker process, so that its cache outlives a task."""
+    if path not in encoders:
+        encoders[path] = WordEncoder(path)
+    return encoders[path]
 
 
 PIECE = "doc_id long, piece int, start long, length long, ids_crc32 long"
@@ -69,7 +106,7 @@ def pieces(documents: DataFrame, tokenizer: str, capacity: int = CAPACITY, with_
     schema = PIECE + (", ids binary" if with_ids else "")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, end = WordEncoder(tokenizer), np.asarray([END_ID], "<u4").tobytes()
+        encoder, end = encoder_of(tokenizer), np.asarray([END_ID], "<u4").tobytes()
         names = [c.split()[0] for c in schema.split(", ")]
         for batch in batches:
             out: list[tuple] = []
