@@ -41,9 +41,21 @@ def with_event_index(events: DataFrame) -> DataFrame:
     return dense_index(events, order, "event_idx")
 
 
-def _with_probes(events: DataFrame, probes: DataFrame) -> DataFrame:
-    """Events of the probed entities plus one event-less row per probe."""
-    return events.select(*EVENT_COLUMNS).unionByName(probes, allowMissingColumns=True)
+def _with_probes(
+    events: DataFrame, probes: DataFrame, entity: str, reach_ms: int | None = None
+) -> DataFrame:
+    """Events that can matter to a probe, plus one event-less row per probe.
+
+    Only the probed entities' events before the last probe are read, and with ``reach_ms`` only those
+    at most that long before the first one; the bounds are literals, so they reach the scan.
+    """
+    first, last = probes.agg(F.min("ts_ms"), F.max("ts_ms")).first()
+    ts = F.col("ts_ms")
+    inside = events.select(*EVENT_COLUMNS).where(ts < last if last is not None else F.lit(False))
+    if reach_ms is not None and first is not None:
+        inside = inside.where(ts >= first - reach_ms)
+    asked = inside.join(probes.select(entity).distinct(), entity, "left_semi").select(*EVENT_COLUMNS)
+    return asked.unionByName(probes, allowMissingColumns=True)
 
 
 def _distinct_probes(queries: DataFrame, entity: str) -> DataFrame:
@@ -57,7 +69,7 @@ def user_features(
     hot_rows: int | None = HOT_ROWS,
 ) -> DataFrame:
     """``queries`` (user_id, as_of_ms, ...) plus all user features; repeated points are allowed."""
-    rows = _with_probes(events, _distinct_probes(queries, "user_id"))
+    rows = _with_probes(events, _distinct_probes(queries, "user_id"), "user_id")
     answers = (
         user_state(rows, features, hot_rows)
         .where(F.col("event").isNull())
@@ -73,7 +85,9 @@ def item_features(
     hot_rows: int | None = HOT_ROWS,
 ) -> DataFrame:
     """``queries`` (item_id, as_of_ms, ...) plus the item window counts."""
-    rows = _with_probes(events, _distinct_probes(queries, "item_id"))
+    rows = _with_probes(
+        events, _distinct_probes(queries, "item_id"), "item_id", max(w.window_ms for w in features.item_windows)
+    )
     answers = (
         window_counts(rows, "item_id", features.item_windows, hot_rows)
         .where(F.col("event").isNull())
@@ -89,13 +103,13 @@ def history_arrays(
     hot_rows: int | None = HOT_ROWS,
 ) -> DataFrame:
     """(user_id, as_of_ms, end, hist) for the distinct query points that have a history."""
-    rows = _with_probes(events, _distinct_probes(queries, "user_id"))
+    rows = _with_probes(events, _distinct_probes(queries, "user_id"), "user_id")
     busy = None if hot_rows is None else hot_keys(rows, "user_id", hot_rows)
-    # events are numbered without the probes; the probes only need the count before them
-    placed = ranked_positions(events.select(*EVENT_COLUMNS), busy)
+    # probes add nothing to the count, so one numbering serves both sides
+    ranked = ranked_positions(rows, busy)
+    placed = ranked.where(F.col("event").isNotNull())
     ends = (
-        ranked_positions(rows, busy)
-        .where(F.col("event").isNull())
+        ranked.where(F.col("event").isNull())
         .select("user_id", F.col("ts_ms").alias("as_of_ms"), F.col("n_before").alias("end"))
     )
     return preceding_arrays(placed, ends, ["user_id", "as_of_ms"], length)

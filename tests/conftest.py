@@ -6,11 +6,13 @@ import random
 
 import pytest
 
+from asofkit.definitions import STANDARD
 from asofkit.schema import EVENT_SCHEMA, LAST_EVENT_CAP_MS, SESSION_GAP_MS
 from asofkit.session import build_session
 from asofkit.sources.events import clean
 
 MINUTE = 60_000
+HOURS_MS = 6 * 60 * MINUTE
 
 
 @pytest.fixture(scope="session")
@@ -35,22 +37,23 @@ def events_of(spark, rows):
     return clean(spark.createDataFrame(full, EVENT_SCHEMA))
 
 
-GAPS = [0, 1, 900, 45_000, 299_999, 300_000, SESSION_GAP_MS - 1, SESSION_GAP_MS, SESSION_GAP_MS + 1,
-        3_600_000, 5 * 3_600_000]
+# Every length that a feature is bounded by, and one millisecond to either side.
+BOUNDS = sorted({w.window_ms for w in (*STANDARD.user_windows, *STANDARD.item_windows)} | {SESSION_GAP_MS})
+GAPS = [0, 7, 45_000, *(b + d for b in BOUNDS[:-1] for d in (-1, 0, 1))]
 
 
 def bursty_rows(seed, users=12, items=9, n=500):
-    """Walks per user with gaps around every boundary that matters, including equal times."""
+    """Per user a share of the events, busy users first, at gaps around every boundary, equal times included."""
     rng = random.Random(seed)
-    clock = {u: rng.randrange(3_600_000) for u in range(users)}
+    shares = [1 / (1 + u) for u in range(users)]
     rows = set()
-    for i in range(n):
-        user = min(int(rng.expovariate(0.35)), users - 1)  # a few busy users
-        clock[user] += rng.choice(GAPS)
-        kind = rng.choices(["view", "addtocart", "transaction"], [8, 2, 1])[0]
-        txn = i if kind == "transaction" else None
-        rows.add((clock[user], user, rng.randrange(items), kind, txn))
-    return sorted(rows, key=lambda r: (r[0], r[1], r[2], r[3], r[4] or -1))
+    for user, share in enumerate(shares):
+        at = rng.randrange(HOURS_MS)
+        for _ in range(max(3, round(n * share / sum(shares)))):
+            kind = rng.choices(("view", "addtocart", "transaction"), (6, 3, 1))[0]
+            rows.add((at, user, rng.randrange(items), kind, len(rows) if kind == "transaction" else None))
+            at += rng.choice(GAPS)
+    return sorted(rows, key=lambda r: (r[:4], r[4] or -1))
 
 
 def slow_user_features(rows, user, as_of, gap=SESSION_GAP_MS):

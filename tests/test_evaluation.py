@@ -27,20 +27,19 @@ from asofkit.plans.split import time_split
 from asofkit.schema import DAY_MS
 
 
-class Answers:
-    """Gives prepared lists; used to check the wiring of the evaluation."""
+class Prepared:
+    """A model whose lists are given."""
 
-    name = "answers"
+    name = "prepared"
 
     def __init__(self, spark, lists):
-        rows = [(u, r, i) for u, items in lists.items() for r, i in enumerate(items)]
-        self.lists = spark.createDataFrame(rows, "user_id long, rank long, item_id long")
+        rows = [(u, i, n) for u, items in lists.items() for n, i in enumerate(items)]
+        self.lists = spark.createDataFrame(rows, "user_id long, item_id long, rank long")
 
-    def fit(self, history):
-        pass
+    def fit(self, history): ...
 
     def recommend(self, users, k):
-        return self.lists.join(users, "user_id").where(F.col("rank") < k)
+        return self.lists.where(F.col("rank") < k).join(users, "user_id", "left_semi")
 
 
 def _sets(df, key="user_id"):
@@ -64,59 +63,55 @@ def _metrics(spark, recs, relevant, ks):
 
 
 def test_metrics_by_hand(spark):
-    recs = [5, 3, 9, 1, 7]
-    m = _metrics(spark, recs, {3, 7, 42}, (5,))
-    assert m["recall_at_5"] == pytest.approx(2 / 3)
-    dcg, ideal = 1 / log2(3) + 1 / log2(6), 1 + 1 / log2(3) + 1 / log2(4)
-    assert m["ndcg_at_5"] == pytest.approx(dcg / ideal)
-    assert _metrics(spark, recs, {9, 7}, (5,))["mrr_at_5"] == pytest.approx(1 / 3)
-    none = _metrics(spark, recs, {99}, (2, 5))
-    assert (none["recall_at_2"], none["ndcg_at_5"], none["mrr_at_5"]) == (0, 0, 0)
+    recs = [8, 2, 6, 4]
+    m = _metrics(spark, recs, {2, 4, 15, 16}, (3, 4))
+    assert (m["recall_at_3"], m["recall_at_4"]) == (0.25, 0.5) and m["mrr_at_4"] == pytest.approx(0.5)
+    ideal = sum(1 / log2(n) for n in (2, 3, 4, 5))
+    assert m["ndcg_at_4"] == pytest.approx((1 / log2(3) + 1 / log2(5)) / ideal)
+    assert _metrics(spark, recs, {4}, (4,))["mrr_at_4"] == pytest.approx(0.25)
+    none = _metrics(spark, recs, {1}, (3, 4))
+    assert none["recall_at_3"] == none["ndcg_at_4"] == none["mrr_at_4"] == 0
     with pytest.raises(ValueError):
-        _metrics(spark, recs, {3}, (0,))
+        _metrics(spark, recs, {8}, (0,))
 
 
 def _small_world(spark):
-    history = events_of(spark, [(0, 1, 10, "view"), (1, 2, 11, "view")])
-    target = events_of(
-        spark,
-        [(5, 1, 20, "view"), (6, 1, 21, "view"), (7, 1, 20, "addtocart"), (8, 2, 22, "view"), (9, 3, 23, "view")],
-    )
-    return history, target
+    """Three known users, of whom two come back; two unknown ones appear."""
+    history = events_of(spark, [(2, 51, 5, "view"), (3, 52, 6, "addtocart"), (4, 53, 7, "view")])
+    rows = [(20, 51, 8, "view"), (21, 52, 9, "addtocart"), (22, 52, 8, "view"), (23, 52, 6, "view"), (24, 52, 6, "view")]
+    return history, events_of(spark, rows + [(24, 54, 9, "view"), (25, 55, 5, "view")])
 
 
 def test_only_warm_users_are_scored(spark):
     history, target = _small_world(spark)
-    assert _sets(build_eval_set(history, target).relevant) == {1: {20, 21}, 2: {22}}
-    perfect = evaluate(Answers(spark, {1: [20, 21], 2: [22]}), history, target).first()
+    assert _sets(build_eval_set(history, target).relevant) == {51: {8}, 52: {6, 8, 9}}
+    perfect = evaluate(Prepared(spark, {51: [8], 52: [9, 8, 6], 54: [9]}), history, target).first()
     assert perfect.recall_at_50 == perfect.ndcg_at_10 == perfect.mrr_at_50 == pytest.approx(1.0)
-    assert (perfect.eval_users, perfect.cold_users_skipped) == (2, 1)
+    assert (perfect.eval_users, perfect.cold_users_skipped) == (2, 2)
 
 
 def test_users_without_hits_count_as_zero(spark):
     history, target = _small_world(spark)
     eval_set = build_eval_set(history, target)
-    lists = Answers(spark, {1: [99, 20]}).lists
-    m = score(lists, eval_set, (10,)).first()
-    assert m.recall_at_10 == pytest.approx(0.25) and m.mrr_at_10 == pytest.approx(0.25)
+    m = score(Prepared(spark, {52: [1, 9]}).lists, eval_set, (10,)).first()
+    assert m.recall_at_10 == pytest.approx(1 / 6) and m.mrr_at_10 == pytest.approx(1 / 4)
     with pytest.raises(ValueError):
-        check_complete(Answers(spark, {77: [1]}).lists, eval_set)
+        check_complete(Prepared(spark, {53: [7]}).lists, eval_set)
 
 
 def test_novel_metrics_leave_out_seen_items(spark):
-    history = events_of(spark, [(0, 1, 10, "view"), (1, 2, 11, "view")])
-    target = events_of(spark, [(5, 1, 10, "view"), (6, 1, 20, "view"), (7, 2, 11, "view")])
-    model = Answers(spark, {1: [10, 20], 2: [11]})
+    history = events_of(spark, [(0, 51, 5, "view"), (1, 52, 6, "view"), (2, 52, 8, "view")])
+    target = events_of(spark, [(9, 51, 5, "view"), (9, 51, 8, "view"), (9, 52, 6, "view"), (9, 52, 9, "view")])
+    model = Prepared(spark, {51: [5, 8], 52: [9, 6]})
     m = evaluate(model, history, target, (1,)).first()
-    assert m.recall_at_1 == pytest.approx(0.75) and m.new_recall_at_1 == pytest.approx(1.0)
-    assert m.new_eval_users == 1
+    assert (m.recall_at_1, m.new_recall_at_1, m.new_eval_users) == (0.5, 1.0, 2)
     lists, left = novel_view(model.lists, build_eval_set(history, target))
-    assert _lists(lists) == {1: [20]} and _sets(left.relevant) == {1: {20}}
+    assert _lists(lists) == {51: [8], 52: [9]} and _sets(left.relevant) == {51: {8}, 52: {9}}
 
 
 def test_an_empty_eval_set_gives_null(spark):
     history, target = _small_world(spark)
-    m = score(Answers(spark, {1: [1]}).lists, build_eval_set(history, target.where("false")), (5,))
+    m = score(Prepared(spark, {51: [1]}).lists, build_eval_set(history, target.where("false")), (5,))
     assert m.first().recall_at_5 is None
 
 
@@ -124,34 +119,32 @@ DAY = DAY_MS
 
 
 def _popularity_events(spark):
-    rows = [(i, 1 + i, 10, "view") for i in range(3)]
-    rows += [(40 * DAY, 1, 11, "view"), (40 * DAY + 1, 2, 11, "view"), (39 * DAY, 3, 12, "transaction")]
+    """Four old views of 31, a cart and a view of 32 on day 50, a purchase of 33 on day 45."""
+    rows = [(u, u, 31, "view") for u in (1, 2, 3, 4)]
+    rows += [(50 * DAY, 1, 32, "addtocart"), (50 * DAY + 9, 2, 32, "view"), (45 * DAY, 3, 33, "transaction")]
     return events_of(spark, rows)
 
 
-def test_popularity(spark):
-    events = _popularity_events(spark)
-
-    def top(days):
-        return [r.item_id for r in popularity_ranking(events, days).orderBy("rank").collect()]
-
-    assert top(None) == [12, 10, 11] and top(14) == [12, 11]
+@pytest.mark.parametrize("days, items", [(None, [33, 32, 31]), (14, [33, 32]), (3, [32])])
+def test_popularity(spark, days, items):
+    ranking = popularity_ranking(_popularity_events(spark), days)
+    assert [r.item_id for r in ranking.orderBy("rank").collect()] == items
 
 
 def test_recent_then_popular(spark):
-    events = _popularity_events(spark)
     model = RecentThenPopular(None)
-    model.fit(events)
-    users = spark.createDataFrame([(1,), (2,), (3,), (9,)], "user_id long")
-    found = _lists(model.recommend(users, 3))
-    assert found == {1: [11, 10, 12], 2: [11, 10, 12], 3: [12, 10, 11], 9: [12, 10, 11]}
+    model.fit(_popularity_events(spark))
+    users = spark.createDataFrame([(u,) for u in (1, 2, 3, 4, 9)], "user_id long")
+    assert _lists(model.recommend(users, 3)) == {
+        1: [32, 31, 33], 2: [32, 31, 33], 3: [33, 31, 32], 4: [31, 33, 32], 9: [33, 32, 31],
+    }
 
 
 def test_request_time_lists(spark):
-    rows = [(0, [5, 6, 5, 7]), (1, [])]
+    rows = [(4, [9, 2, 9, 3, 3]), (6, [])]
     lists = spark.createDataFrame(rows, "request_id long, hist_items array<long>")
-    found = _lists(recent_then_popular_at(lists, "request_id", [7, 1, 2, 3], 4), "request_id")
-    assert found == {0: [7, 5, 6, 1], 1: [7, 1, 2, 3]}
+    found = _lists(recent_then_popular_at(lists, "request_id", [2, 8, 1, 9], 5), "request_id")
+    assert found == {4: [3, 9, 2, 8, 1], 6: [2, 8, 1, 9]}
 
 
 def test_popularity_window_selection_matches_single_evaluations(spark):
@@ -198,33 +191,33 @@ def test_mean_and_deviation(spark):
     assert found["a"] == pytest.approx((0.3, 0.1414), abs=1e-4) and found["b"] == (0.5, 0.0)
 
 
-REQUEST_ROWS = [
-    (0, 1, 10, "view"),
-    (100 * MINUTE, 1, 11, "view"),
-    (110 * MINUTE, 1, 12, "addtocart"),
-    (200 * MINUTE, 1, 13, "view"),
-    (100 * MINUTE, 2, 20, "view"),
-    (150 * MINUTE, 3, 30, "view"),
-    (155 * MINUTE, 3, 31, "view"),
-]
+def _request_events(spark):
+    """User 4 has two moments to choose from, user 5 only a first one, user 6 one with two labels."""
+    minutes = [(5, 4, 40), (40, 4, 41), (52, 4, 42), (95, 4, 43), (31, 5, 50), (33, 6, 60), (80, 6, 61), (80, 6, 62)]
+    return events_of(spark, [(m * MINUTE, u, i, "view") for m, u, i in minutes])
 
 
-def test_requests_are_point_in_time(spark):
-    found = sample_requests(events_of(spark, REQUEST_ROWS), 50 * MINUTE, 180 * MINUTE, 10)
-    frame = {r["user_id"]: r for r in as_dicts(found.frame)}
-    assert set(frame) == {1, 3}
-    expected = {100: ({10}, {11, 12}), 110: ({10, 11}, {12})}
-    past, future = expected[frame[1]["as_of_ms"] // MINUTE]
-    rid = frame[1]["request_id"]
-    assert _sets(found.relevant, "request_id")[rid] == future
-    assert _sets(found.seen, "request_id")[rid] == _sets(found.history, "request_id")[rid] == past
-    assert frame[3]["as_of_ms"] == 155 * MINUTE
-    assert sorted(r["request_id"] for r in frame.values()) == [0, 1]
+@pytest.mark.parametrize("n, small", [(10, 100), (10, 0), (None, 100)])
+def test_requests_are_point_in_time(spark, n, small):
+    found = sample_requests(_request_events(spark), 30 * MINUTE, 90 * MINUTE, n, small=small)
+    at = {r["user_id"]: (r["request_id"], r["as_of_ms"] // MINUTE) for r in as_dicts(found.frame)}
+    seen, relevant, history = (_sets(df, "request_id") for df in (found.seen, found.relevant, found.history))
+    assert set(at) == {4, 6} and sorted(i for i, _ in at.values()) == [0, 1]
+    one, two = at[4], at[6]
+    assert (seen[one[0]], relevant[one[0]]) == {40: ({40}, {41, 42}), 52: ({40, 41}, {42})}[one[1]]
+    assert two[1] == 80 and (seen[two[0]], relevant[two[0]]) == ({60}, {61, 62})
+    assert history == seen
 
 
 def test_labels_end_with_the_window(spark):
-    found = sample_requests(events_of(spark, REQUEST_ROWS), 50 * MINUTE, 105 * MINUTE, 10)
-    assert _sets(found.relevant, "request_id") == {0: {11}}
+    found = sample_requests(_request_events(spark), 30 * MINUTE, 50 * MINUTE, 10)
+    assert _sets(found.relevant, "request_id") == {0: {41}}
+
+
+def test_large_samples_draw_the_same_users(spark):
+    events = events_of(spark, bursty_rows(23))
+    end = max(r[0] for r in bursty_rows(23)) + 1
+    assert choose_requests(events, 0, end, 5, 3).collect() == choose_requests(events, 0, end, 5, 3, small=0).collect()
 
 
 def test_requests_ignore_the_future_and_the_partitioning(spark):

@@ -23,48 +23,48 @@ from asofkit.plans.retrieval import (
     training_pairs,
 )
 
-SEQUENCE = [
-    (1, 1, 10, "view"), (2, 1, 11, "view"), (3, 1, 12, "addtocart"), (4, 2, 10, "view"),
-    (5, 2, 13, "view"), (6, 3, 99, "view"), (7, 3, 11, "view"), (8, 3, 12, "view"),
-    (9, 2, 12, "view"), (10, 1, 13, "view"),
+VISITS = [
+    (3, 21, 70, "view"), (4, 22, 70, "addtocart"), (5, 21, 71, "view"), (6, 23, 71, "view"),
+    (7, 22, 72, "view"), (8, 21, 70, "view"), (9, 23, 72, "transaction"), (12, 22, 73, "view"),
 ]
 
 
 def test_vocabulary(spark):
-    vocab = item_vocab(events_of(spark, SEQUENCE), 2)
-    assert {r.item_id: r.item_index for r in vocab.collect()} == {10: 2, 11: 3, 12: 4, 13: 5}
+    vocab = item_vocab(events_of(spark, VISITS), 2)
+    assert {r.item_id: r.item_index for r in vocab.collect()} == {70: 2, 71: 3, 72: 4}
 
 
 def test_log_q_covers_padding_and_unknown_items(spark):
-    events = events_of(spark, SEQUENCE)
+    events = events_of(spark, VISITS)
     found = {r.item_index: r.log_q for r in log_q(events, item_vocab(events, 2)).collect()}
-    counts = {0: 0, 1: 1, 2: 2, 3: 2, 4: 3, 5: 2}
-    total = sum(c + 1 for c in counts.values())
-    assert found == pytest.approx({i: np.log((c + 1) / total) for i, c in counts.items()})
+    smoothed = {0: 1, 1: 2, 2: 4, 3: 3, 4: 3}  # item 73 alone is unknown
+    assert found == pytest.approx({i: np.log(n / 13) for i, n in smoothed.items()})
 
 
 def test_encoded_histories_are_right_aligned(spark):
-    vocab = item_vocab(events_of(spark, SEQUENCE), 2)
-    rows = [(0, 1, 99, "view"), (0, 2, 10, "addtocart")]
+    vocab = item_vocab(events_of(spark, VISITS), 2)
+    rows = [(8, 1, 73, "view"), (8, 2, 71, "transaction"), (8, 3, 70, "view")]
     history = spark.createDataFrame(rows, "request_id long, pos long, item_id long, event string")
-    r = encoded_histories(history, vocab, "request_id", 4).first()
-    assert (r.hist_index, r.hist_type) == ([0, 0, 1, 2], [0, 0, 1, 2])
+    r = encoded_histories(history, vocab, "request_id", 5).first()
+    assert (r.hist_index, r.hist_type) == ([0, 0, 1, 3, 2], [0, 0, 1, 3, 1])
 
 
 def test_training_pairs(spark):
-    events = events_of(spark, SEQUENCE + [(10, 1, 10, "view")])
+    tied = [(12, 21, 71, "view"), (12, 21, 72, "addtocart")]
+    events = events_of(spark, VISITS + tied)
     vocab = item_vocab(events, 2)
     strict = as_dicts(training_pairs(events, vocab, 3))
     loose = as_dicts(training_pairs(events, vocab, 3, strict=False))
-    assert all(r["target_item"] != 99 and r["pos"] < r["target_pos"] for r in strict + loose)
-    assert not [r for r in strict + loose if r["target_pos"] == 1]
+    for r in strict + loose:
+        assert r["target_item"] != 73 and 1 <= r["pos"] < r["target_pos"]
 
-    def before_last(pairs):
-        return sorted(r["pos"] for r in pairs if r["user_id"] == 1 and r["target_pos"] == 5)
+    def contexts(pairs, target_pos):
+        return sorted(r["pos"] for r in pairs if r["user_id"] == 21 and r["target_pos"] == target_pos)
 
-    # user 1's last two events share a millisecond: only the loose form sees one before the other
-    assert before_last(strict) == [1, 2, 3] and before_last(loose) == [2, 3, 4]
-    assert {r.user_id: r.end for r in last_positions(events).collect()} == {1: 5, 2: 3, 3: 3}
+    # positions 4 and 5 share a millisecond: only the loose form sees one before the other
+    assert contexts(strict, 4) == contexts(loose, 4) == contexts(strict, 5) == [1, 2, 3]
+    assert contexts(loose, 5) == [2, 3, 4]
+    assert {r.user_id: r.end for r in last_positions(events).collect()} == {21: 5, 22: 3, 23: 2}
 
 
 def _unit(spark, n, dim, seed, name):
@@ -112,14 +112,19 @@ def test_crowded_cell_is_split_and_complete(spark):
     assert [r.item_id for r in found] == list(range(899, -1, -1))
 
 
-PLANTED = [(u * 10 + s, u, i + s, "view") for u in range(80) for s, i in ((0, 1 + 2 * (u % 2)), (1, 1 + 2 * (u % 2)))]
+FOLLOWS = {40: 41, 50: 51, 60: 61}
 
 
 def _planted(spark):
-    """Users touch item 1 then 2, or 3 then 4; probes have touched only 1 or 3."""
-    probes = [(5000 + u, u, 1 + 2 * (u % 2), "view") for u in range(1000, 1020)]
-    target = [(10_000, u, 2 + 2 * (u % 2), "view") for u in range(1000, 1020)]
-    return events_of(spark, PLANTED + probes), events_of(spark, target)
+    """Users go on from an item to the one that follows it; the probes have only begun."""
+    rng = np.random.default_rng(17)
+    rows = []
+    for user in range(300, 390):
+        first, at = int(rng.choice(list(FOLLOWS))), int(rng.integers(0, 4_000))
+        rows += [(at, user, first, "view"), (at + int(rng.integers(1, 50)), user, FOLLOWS[first], "view")]
+    probes = [(4_500 + u, u, list(FOLLOWS)[u % 3], "view") for u in range(700, 715)]
+    target = [(9_000 + u, u, FOLLOWS[i], "view") for _, u, i, _ in probes]
+    return events_of(spark, rows + probes), events_of(spark, target)
 
 
 def test_vectors_learn_what_follows(spark, tmp_path):

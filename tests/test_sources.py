@@ -146,3 +146,26 @@ def test_decode_rules(spark, value, accepted):
 def test_markdown(spark):
     rows = spark.createDataFrame([("a", 1), ("b", None)], "name string, n int")
     assert markdown(rows) == "| name | n |\n|---|---|\n| a | 1 |\n| b |  |\n"
+
+
+def test_open_logs_do_not_meet(spark, tmp_path):
+    def log_of(name, item):
+        df = events_of(spark, [(5, 1, item, "view")]).withColumn("date", F.lit("1970-01-01"))
+        write_feature_log(df, str(tmp_path / name))
+        return FeatureLog(spark, str(tmp_path / name))
+
+    one, two = log_of("one", 11), log_of("two", 22)
+    for log, item in ((one, 11), (two, 22)):
+        assert [r.item_id for r in log.query("SELECT item_id FROM event_features").collect()] == [item]
+        assert [r.item_id for r in log.between(0, 10).collect()] == [item]
+
+
+def test_order_is_checked_across_gaps(spark):
+    rows = spark.createDataFrame([(5, 10), (57, 3), (58, 12)], "seq long, ts_ms long")
+    found = as_dicts(order_violations(rows, "seq", block=10))
+    assert [(r["seq"], r["inversion"]) for r in found] == [(57, True)]
+
+
+def test_reports_are_not_cut(spark):
+    with pytest.raises(ValueError):
+        markdown(spark.range(6), limit=5)
