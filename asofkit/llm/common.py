@@ -47,3 +47,8 @@ def byte_words(texts: pa.ChunkedArray | pa.Array) -> Iterator[list[bytes]]:
     """
     for raw in texts.cast(pa.binary()).to_pylist():
         yield raw.lower().split() if raw else []
+
+
+def broadcast_if_small(df: DataFrame, rows: int = 100_000) -> DataFrame:
+    """``df`` marked for broadcast if it has at most that many rows, counted; otherwise as it is."""
+    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
