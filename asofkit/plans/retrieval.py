@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable, Iterator
-from dataclasses import dataclass
+from dataclasses import asdict, dataclass
 
 import numpy as np
 import pandas as pd
@@ -18,6 +19,7 @@ from asofkit.operators.order import dense_index, top_per_group
 from asofkit.operators.skew import HOT_ROWS
 from asofkit.operators.timeline import as_history, preceding_events, ranked_positions
 from asofkit.operators.topk import BLOCK_ROWS, block_top_k, exact_top_k
+from asofkit.plans.baselines import Popularity, ranked_lists
 from asofkit.plans.evaluation import list_recall
 from asofkit.plans.features import history_events
 from asofkit.schema import (
@@ -151,10 +153,14 @@ class ItemVectors:
         self.targets: DataFrame | None = None
         self.contexts: DataFrame | None = None
         self.history: DataFrame | None = None
+        self.popular: list[int] = []
 
     def fit(self, history: DataFrame) -> None:
         cfg = self.config
         self.history = history
+        ranked = Popularity()
+        ranked.fit(history)
+        self.popular = ranked.items
         vocab = checkpointed(item_vocab(history, cfg.min_item_count))
         als = ALS(
             rank=cfg.dim,
@@ -215,23 +221,39 @@ class ItemVectors:
         return pooled.select(key, l2_normalised(F.col("vec")).alias("vec"))
 
     def recommend(self, users: DataFrame, k: int) -> DataFrame:
-        """Lists for users with a history in the training data; others get none."""
+        """Lists by vector; users without a known item in their history get the popular one, without scores."""
         placed = ranked_positions(self.history.join(users, "user_id", "left_semi"))
         ends = last_positions(self.history).join(users, "user_id", "left_semi")
         recent = preceding_events(placed, ends, ["user_id"])
-        queries = self.user_vectors(recent, "user_id").withColumnRenamed("user_id", "query_id")
-        return exact_top_k(queries, self.targets, k).select(
+        queries = checkpointed(self.user_vectors(recent, "user_id").withColumnRenamed("user_id", "query_id"))
+        own = exact_top_k(queries, self.targets, k).select(
             F.col("query_id").alias("user_id"), "rank", "item_id", "score"
         )
+        known = queries.select(F.col("query_id").alias("user_id"))
+        others = users.select("user_id").distinct().join(known, "user_id", "left_anti")
+        listed = ranked_lists(others, "user_id", self.popular[:k])
+        return own.unionByName(listed.withColumn("score", F.lit(None).cast("double")))
 
     def save(self, path: str) -> None:
+        """All that ``load`` needs: both sets of vectors, each user's last events, popular items, settings."""
+        latest = [F.desc("ts_ms"), F.desc("item_id"), F.desc("event"), F.desc("transaction_id")]
+        ends = top_per_group(self.history, ["user_id"], latest, HISTORY_LEN, "_r").drop("_r")
+        ends.write.mode("overwrite").parquet(f"{path}/history")
         self.targets.write.mode("overwrite").parquet(f"{path}/targets")
         self.contexts.write.mode("overwrite").parquet(f"{path}/contexts")
-
-    def load(self, spark, path: str) -> ItemVectors:
-        self.targets = spark.read.parquet(f"{path}/targets")
-        self.contexts = spark.read.parquet(f"{path}/contexts")
-        return self
+        settings = json.dumps(asdict(self.config))
+        row = self.targets.sparkSession.createDataFrame([(settings, self.popular)], "settings string, popular array<long>")
+        row.write.mode("overwrite").parquet(f"{path}/model")
+
+    @classmethod
+    def load(cls, spark, path: str) -> ItemVectors:
+        row = spark.read.parquet(f"{path}/model").first()
+        model = cls(VectorConfig(**json.loads(row.settings)))
+        model.popular = list(row.popular)
+        model.history, model.targets, model.contexts = (
+            spark.read.parquet(f"{path}/{name}") for name in ("history", "targets", "contexts")
+        )
+        return model
 
 
 def fit_best(

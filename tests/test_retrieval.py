@@ -133,8 +133,14 @@ def test_vectors_learn_what_follows(spark, tmp_path):
     found = evaluate(model, history, target, (1,)).first()
     assert found.recall_at_1 == pytest.approx(1.0)
     model.save(str(tmp_path / "m"))
-    again = ItemVectors(model.config).load(spark, str(tmp_path / "m"))
-    assert again.targets.count() == model.targets.count()
+    again = ItemVectors.load(spark, str(tmp_path / "m"))
+    users = spark.createDataFrame([(700,), (305,), (-1,)], "user_id long")
+
+    def lists(m):
+        return sorted((r.user_id, r.rank, r.item_id) for r in m.recommend(users, 3).collect())
+
+    assert again.config == model.config and lists(again) == lists(model)
+    assert [i for u, _, i in lists(again) if u == -1] == model.popular[:3]
 
 
 def test_model_selection_keeps_the_best(spark):
