@@ -6,7 +6,7 @@ first ``COORDINATES - MATCHES + 1`` in any common order; ordering from rare to f
 pairs unposted (prefix), and pairs that only one text has cannot match and are not posted either.
 
 Lists are merged without expanding their pairs. First every text is compared with the smallest id of each of
-its lists, which joins a group of copies with as many comparisons as it has members. Lists whose texts then
+its lists, by signature and then by set, which joins a group of copies with as many comparisons as it has members. Lists whose texts then
 lie in one component are skipped. In the rest, the texts outside the first one's component are compared
 with the others by signature, in blocks, and what agrees in ``MATCHES`` places is confirmed on full sets. So the
 work on a group is its size plus the number of its stragglers times its size, never a list of all pairs.
@@ -74,24 +74,29 @@ def signature(shingles: np.ndarray) -> np.ndarray:
 
 
 def sketches(documents: DataFrame, size: int) -> DataFrame:
-    """(doc_id, n_shingles, set_key, keys) per row; a text without words has neither set_key nor keys."""
+    """(doc_id, n_shingles, set_key, keys, marks) per row; a text without words has only the first two.
+
+    ``marks`` are 16 bits of each key: enough to count agreeing coordinates, never too few of them.
+    """
 
     def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingler = Shingler()
         for batch in batches:
-            sizes, digests, keys = [], [], []
+            sizes, digests, keys, marks = [], [], [], []
             for words in byte_words(batch.column(1)):
                 s = shingler(words, size)
                 sizes.append(len(s))
                 digests.append(xxhash.xxh3_128_digest(s.tobytes()) if len(s) else None)
                 keys.append(signature(s) if len(s) else None)
+                marks.append(keys[-1].astype(np.int16) if len(s) else None)
             columns = [
-                batch.column(0), pa.array(sizes, pa.int64()), pa.array(digests, pa.binary()), pa.array(keys, pa.list_(pa.int64()))
+                batch.column(0), pa.array(sizes, pa.int64()), pa.array(digests, pa.binary()),
+                pa.array(keys, pa.list_(pa.int64())), pa.array(marks, pa.list_(pa.int16())),
             ]
-            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "n_shingles", "set_key", "keys"])
+            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "n_shingles", "set_key", "keys", "marks"])
 
     slim = documents.select(F.col("doc_id").cast("long"), "text")
-    return slim.mapInArrow(sketch, "doc_id long, n_shingles long, set_key binary, keys array<long>")
+    return slim.mapInArrow(sketch, "doc_id long, n_shingles long, set_key binary, keys array<long>, marks array<short>")
 
 
 def postings(texts: DataFrame) -> DataFrame:
@@ -209,7 +214,14 @@ def components(links: DataFrame) -> DataFrame:
     return edges.toDF("doc", "component").unionByName(hubs)
 
 
-def candidates(lists: DataFrame, keys: DataFrame) -> DataFrame:
+def alike(pairs: DataFrame, marks: DataFrame) -> DataFrame:
+    """The (x, y) pairs whose signatures agree in ``MATCHES`` places."""
+    both = pairs.join(marks.toDF("x", "own"), "x").join(marks.toDF("y", "other"), "y")
+    agree = F.aggregate(F.zip_with("own", "other", lambda a, b: (a == b).cast("int")), F.lit(0), lambda n, k: n + k)
+    return both.withColumn("agree", agree).filter(F.col("agree") >= MATCHES).select("x", "y")
+
+
+def candidates(lists: DataFrame, marks: DataFrame) -> DataFrame:
     """(x, component, ys): texts outside their list's first component with the texts of another to confirm.
 
     ``lists`` has (key, doc, component, home); ``home`` is the component of the list's smallest id. Signatures are
@@ -223,7 +235,7 @@ def candidates(lists: DataFrame, keys: DataFrame) -> DataFrame:
         F.ceil(F.col("n") / BLOCK).cast("int").alias("member_blocks"),
         F.ceil(F.col("outside") / BLOCK).cast("int").alias("probe_blocks"),
     )
-    rows = lists.join(mixed_lists, "key").join(keys, "doc")
+    rows = lists.join(mixed_lists, "key").join(marks, "doc")
     dealt = F.xxhash64("doc")
     member_block = F.pmod(dealt, F.col("member_blocks")).cast("int")
     probe_block = F.pmod(dealt, F.col("probe_blocks")).cast("int")
@@ -232,7 +244,7 @@ def candidates(lists: DataFrame, keys: DataFrame) -> DataFrame:
     )
     as_probe = rows.filter(F.col("component") != F.col("home")).withColumn("side", F.lit(1)).withColumn("p", probe_block)
     as_probe = as_probe.withColumn("m", F.explode(F.sequence(F.lit(0), F.col("member_blocks") - 1)))
-    columns = ["key", "m", "p", "side", "doc", "component", "home", "keys"]
+    columns = ["key", "m", "p", "side", "doc", "component", "home", "marks"]
     sides = as_member.select(columns).unionByName(as_probe.select(columns))
 
     def match(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -242,7 +254,7 @@ def candidates(lists: DataFrame, keys: DataFrame) -> DataFrame:
             if (row["key"], row["m"], row["p"]) != block:
                 block, held, table = (row["key"], row["m"], row["p"]), [], None
             if not row["side"]:
-                held.append((row["doc"], row["component"], row["keys"]))
+                held.append((row["doc"], row["component"], row["marks"]))
                 continue
             if table is None and held:
                 ids, own = (np.array([h[k] for h in held]) for k in (0, 1))
@@ -252,7 +264,7 @@ def candidates(lists: DataFrame, keys: DataFrame) -> DataFrame:
             ids, own, signatures = table
             # Two stragglers meet once: from the larger id, unless the other is at home and meets no other way.
             open_pairs = (own != row["component"]) & ((own == row["home"]) | (ids < row["doc"]))
-            agree = (signatures[open_pairs] == np.array(row["keys"])).sum(axis=1) >= MATCHES
+            agree = (signatures[open_pairs] == np.array(row["marks"])).sum(axis=1) >= MATCHES
             for c in np.unique(own[open_pairs][agree]).tolist():
                 here = ids[open_pairs][agree][own[open_pairs][agree] == c]
                 found.append((row["doc"], c, here.tolist()))
@@ -280,15 +292,17 @@ def near_duplicates(documents: DataFrame, percent: int = PERCENT, size: int = 2)
     classes = materialised(filled.groupBy("set_key").agg(F.min("doc_id").alias("class_id")), "classes")
     first = F.col("class_id") == F.col("doc_id")
     texts = filled.join(classes.withColumnRenamed("set_key", "own_key"), (F.col("set_key") == F.col("own_key")) & first)
-    texts = texts.select("doc_id", "keys").dropDuplicates(["doc_id"])
+    texts = texts.select("doc_id", "keys", "marks").dropDuplicates(["doc_id"])
+    marks = texts.select(F.col("doc_id").alias("doc"), "marks")
     posted = materialised(postings(texts), "postings")
     heads = posted.groupBy("key").agg(F.min("doc").alias("head"), F.count(F.lit(1)).alias("n")).filter(F.col("n") > 1)
     lists = posted.join(heads, "key").select("key", "doc", "head")
-    sets = materialised(full_sets(documents, lists.select("doc").distinct(), size), "sets")
-    stars = lists.filter("doc <> head").select(F.col("doc").alias("x"), F.col("head").alias("y")).distinct()
+    stars = alike(lists.filter("doc <> head").select(F.col("doc").alias("x"), F.col("head").alias("y")).distinct(), marks)
     many = stars.groupBy("y").agg(F.ceil(F.count(F.lit(1)) / (8 * BLOCK)).alias("parts"))
     stars = stars.join(many, "y").withColumn("block", F.xxhash64("y", F.pmod(F.xxhash64("x"), F.col("parts"))))
     stars = materialised(stars.select("block", "x", F.array("y").alias("ys"), "y"), "stars")
+    ids = stars.select(F.col("x").alias("doc")).unionByName(stars.select(F.col("y").alias("doc"))).distinct()
+    sets = materialised(full_sets(documents, ids, size), "sets")
     links = materialised(confirmed(stars.select("block", "x", "ys"), stars.select("block", "y").distinct(), sets, percent), "links")
     found = components(links)
 
@@ -296,7 +310,7 @@ def near_duplicates(documents: DataFrame, percent: int = PERCENT, size: int = 2)
     placed = lists.join(found, "doc", "left").select("key", "doc", "head", known.alias("component"))
     homes = placed.filter("doc = head").select("key", F.col("component").alias("home"))
     placed = materialised(placed.join(homes, "key").select("key", "doc", "component", "home"), "lists")
-    probes = candidates(placed, texts.select(F.col("doc_id").alias("doc"), "keys"))
+    probes = candidates(placed, marks)
     # Components are cut into blocks; a probe goes to the blocks of the texts that it is to be compared with.
     where = placed.select("doc", "component").distinct()
     parts = where.groupBy("component").agg(F.ceil(F.count(F.lit(1)) / BLOCK).alias("parts"))
@@ -313,7 +327,9 @@ def near_duplicates(documents: DataFrame, percent: int = PERCENT, size: int = 2)
     )
     routed = routed.select("block", "x", own.alias("ys"))
     needed = members.join(routed.select("block").distinct(), "block", "left_semi").select("block", "y")
-    more = confirmed(routed, needed, sets, percent)
+    routed, needed = materialised(routed, "routed"), materialised(needed, "needed")
+    ids = routed.select(F.col("x").alias("doc")).unionByName(needed.select(F.col("y").alias("doc"))).distinct()
+    more = confirmed(routed, needed, materialised(full_sets(documents, ids, size), "sets"), percent)
     final = components(links.unionByName(more))
 
     by_class = classes.join(final, F.col("class_id") == F.col("doc"), "left").select(
