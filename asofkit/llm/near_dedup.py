@@ -76,7 +76,8 @@ def signature(shingles: np.ndarray) -> np.ndarray:
 def sketches(documents: DataFrame, size: int) -> DataFrame:
     """(doc_id, n_shingles, set_key, keys, marks) per row; a text without words has only the first two.
 
-    ``marks`` are 16 bits of each key: enough to count agreeing coordinates, never too few of them.
+    ``marks`` are 8 bits of each key, so agreeing coordinates are never counted too few, and a quarter of one
+    too many on average.
     """
 
     def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -88,15 +89,15 @@ def sketches(documents: DataFrame, size: int) -> DataFrame:
                 sizes.append(len(s))
                 digests.append(xxhash.xxh3_128_digest(s.tobytes()) if len(s) else None)
                 keys.append(signature(s) if len(s) else None)
-                marks.append(keys[-1].astype(np.int16) if len(s) else None)
+                marks.append(keys[-1].astype(np.int8) if len(s) else None)
             columns = [
                 batch.column(0), pa.array(sizes, pa.int64()), pa.array(digests, pa.binary()),
-                pa.array(keys, pa.list_(pa.int64())), pa.array(marks, pa.list_(pa.int16())),
+                pa.array(keys, pa.list_(pa.int64())), pa.array(marks, pa.list_(pa.int8())),
             ]
             yield pa.RecordBatch.from_arrays(columns, ["doc_id", "n_shingles", "set_key", "keys", "marks"])
 
     slim = documents.select(F.col("doc_id").cast("long"), "text")
-    return slim.mapInArrow(sketch, "doc_id long, n_shingles long, set_key binary, keys array<long>, marks array<short>")
+    return slim.mapInArrow(sketch, "doc_id long, n_shingles long, set_key binary, keys array<long>, marks array<tinyint>")
 
 
 def postings(texts: DataFrame) -> DataFrame:
@@ -265,17 +266,23 @@ def candidates(lists: DataFrame, marks: DataFrame) -> DataFrame:
             # Two stragglers meet once: from the larger id, unless the other is at home and meets no other way.
             open_pairs = (own != row["component"]) & ((own == row["home"]) | (ids < row["doc"]))
             agree = (signatures[open_pairs] == np.array(row["marks"])).sum(axis=1) >= MATCHES
-            for c in np.unique(own[open_pairs][agree]).tolist():
-                here = ids[open_pairs][agree][own[open_pairs][agree] == c]
-                found.append((row["doc"], c, here.tolist()))
-        columns = list(zip(*found, strict=True)) or [[], [], []]
-        types = (pa.int64(), pa.int64(), pa.list_(pa.int64()))
-        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], ["x", "component", "ys"])
+            if agree.any():
+                here = np.stack([own[open_pairs][agree], ids[open_pairs][agree]]).T.tolist()
+                found.append((row["doc"], here))
+        columns = list(zip(*found, strict=True)) or [[], []]
+        types = (pa.int64(), pa.list_(pa.list_(pa.int64())))
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], ["x", "others"])
 
     dealt_out = sides.repartition("key", "m", "p").sortWithinPartitions("key", "m", "p", "side")
-    found = dealt_out.mapInArrow(match, "x long, component long, ys array<long>")
-    # Whether two texts are compared does not depend on the list that they meet in; the lists' findings are merged.
-    merged = found.groupBy("x", "component").agg(F.array_distinct(F.flatten(F.collect_set("ys"))).alias("ys"))
+    found = dealt_out.mapInArrow(match, "x long, others array<array<long>>")
+    # Two texts can meet in many lists: findings are merged per text, then put apart by component.
+    merged = found.groupBy("x").agg(F.array_distinct(F.flatten(F.collect_list("others"))).alias("others"))
+    component = F.array_distinct(F.transform("others", lambda o: o[0]))
+    merged = merged.select("x", "others", F.explode(component).alias("component")).select(
+        "x",
+        "component",
+        F.transform(F.filter("others", lambda o: o[0] == F.col("component")), lambda o: o[1]).alias("ys"),
+    )
     return materialised(merged, "candidates")
 
 
