@@ -73,6 +73,11 @@ def bit_places(codes: np.ndarray, order: int, step: int, bits: int) -> np.ndarra
     return (a + np.arange(HASHES, dtype=np.uint64)[:, None] * b) % np.uint64(bits)
 
 
+def pieces(codes: np.ndarray) -> list[np.ndarray]:
+    """Parts small enough for the places of their keys to stay within a few megabytes."""
+    return np.array_split(codes, max(1, len(codes) // 50_000))
+
+
 def build_filter(counts: DataFrame) -> np.ndarray:
     """The filter of (grams, code, n) rows, at most ``sum(CLASSES ** k)`` of them; partitions set bits, Spark merges words."""
     keys = counts.agg(F.sum(F.floor(F.log2("n")) + 1).alias("k")).first().k or 0
@@ -85,7 +90,8 @@ def build_filter(counts: DataFrame) -> np.ndarray:
             last = steps(n)
             for k in np.unique(order):
                 for step in range(1, int(last[order == k].max()) + 1):
-                    field[bit_places(codes[(order == k) & (last >= step)], int(k), step, bits).ravel()] = True
+                    for part in pieces(codes[(order == k) & (last >= step)]):
+                        field[bit_places(part, int(k), step, bits).ravel()] = True
         words = np.packbits(field, bitorder="little").view(np.int64)
         used = np.flatnonzero(words)
         yield pa.RecordBatch.from_arrays([pa.array(used), pa.array(words[used])], ["word", "value"])
@@ -103,7 +109,8 @@ def probed_counts(words: np.ndarray, order: int) -> np.ndarray:
     field = np.unpackbits(words.view(np.uint8), bitorder="little").astype(bool)
     left, found = np.arange(ngrams.CLASSES**order), np.zeros(ngrams.CLASSES**order)
     for step in range(1, 64):
-        left = left[field[bit_places(left, order, step, bits)].all(axis=0)]
+        there = [field[bit_places(part, order, step, bits)].all(axis=0) for part in pieces(left)]
+        left = left[np.concatenate(there)]
         if not len(left):
             break
         found[left] = 1.0 if step == 1 else 0.75 * 2.0**step
@@ -256,17 +263,20 @@ def scores(documents: DataFrame) -> DataFrame:
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for row in batch.to_pylist():
+            for at in range(batch.num_rows):  # one block at a time, its arrays without Python objects
+                row = {k: batch.column(k)[at] for k in batch.schema.names}
                 n = len(row["doc_id"])
-                c = np.zeros(row["kinds"])
-                c[np.asarray(row["entry"] or [], np.int64)] = row["c"] or []
-                packed = np.frombuffer(row["entries"], np.int32)
+                c = np.zeros(row["kinds"].as_py())
+                if row["entry"].is_valid:
+                    places = row["entry"].values.to_numpy(zero_copy_only=False)
+                    c[places] = row["c"].values.to_numpy(zero_copy_only=False)
+                packed = np.frombuffer(row["entries"].as_buffer(), np.int32)
                 sizes, entries = packed[:n], packed[n:]
-                uses = np.frombuffer(row["uses"], np.int32)
+                uses = np.frombuffer(row["uses"].as_buffer(), np.int32)
                 owner = np.repeat(np.arange(n), sizes)
                 logs = np.log10((c + 0.5) / floor)
                 base = np.bincount(owner, uses * logs[entries], n) + logs[-1]
-                spelled = np.frombuffer(row["spelled"])
+                spelled = np.frombuffer(row["spelled"].as_buffer())
                 with np.errstate(divide="ignore"):
                     mixed = np.logaddexp(
                         np.log((1 - new) * c / max(total.tokens, 1)), spelled * np.log(10) + np.log(new)
@@ -275,9 +285,9 @@ def scores(documents: DataFrame) -> DataFrame:
                 seen = np.bincount(owner, uses * (c[entries] > 0), n) + (c[-1] > 0)
                 yield pa.RecordBatch.from_arrays(
                     [
-                        pa.array(row["doc_id"], pa.int64()),
-                        pa.array(row["held"], pa.bool_()),
-                        pa.array(row["n_tokens"], pa.int64()),
+                        row["doc_id"].values,
+                        row["held"].values,
+                        row["n_tokens"].values,
                         pa.array(seen.astype(np.int64)),
                         pa.array(base),
                         pa.array(own),
