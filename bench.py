@@ -57,8 +57,7 @@ def uncached() -> None:
 
 def large_backfill(spark, folder):
     """All 14 features of five shifted copies of the order lines: 3,000,000 events at sf0.1."""
-    copies = spark.range(5).select(F.col("id").alias("copy"))
-    events = purchases(spark, folder).crossJoin(F.broadcast(copies))
+    events = purchases(spark, folder).withColumn("copy", F.explode(F.sequence(F.lit(0), F.lit(4))))
     shifted = F.col("user_id") * 5 + F.col("copy")
     events = events.withColumn("ts_ms", F.col("ts_ms") + F.col("copy") * 3_600_000).withColumn("user_id", shifted)
     return backfill(events.drop("copy"))
