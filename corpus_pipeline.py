@@ -26,8 +26,8 @@ def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each near-duplicate group the document with the smallest id stays."""
-    groups = materialised(near_dedup.near_duplicates(docs), "groups")
+    """Of each near-duplicate group the document with the smallest id stays; shingles are of five words."""
+    groups = materialised(near_dedup.near_duplicates(docs, size=5), "groups")
     once = without(docs, groups.filter(~F.col("kept")))
     repeated = groups.filter(F.col("doc_id").isNotNull()).groupBy("doc_id").count().filter("count > 1").select("doc_id")
     if repeated.isEmpty():

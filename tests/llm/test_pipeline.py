@@ -5,6 +5,7 @@ import random
 import corpus_pipeline
 from pyspark.sql import functions as F
 
+from asofkit.llm import near_dedup
 from asofkit.llm.catalog import ORACLES, QUERIES
 from tests.llm.conftest import DOCUMENTS, prose
 
@@ -48,6 +49,16 @@ def test_stages_take_effect(spark, corpus, tmp_path):
     assert sorted(whole.agg(F.sum("length"), F.count("*")).first()) == sorted(out.agg(F.sum("length"), F.count("*")).first())
 
 
+def test_near_duplicates_share_five_words(spark, tmp_path):
+    """Three spread changes in 100 words: 93 of 105 two-word shingles in common, but 81 of 111 of five words."""
+    words = [f"w{i}" for i in range(100)]
+    spread = [f"v{i}" if i in (20, 50, 80) else w for i, w in enumerate(words)]
+    once = [f"u{i}" if i == 50 else w for i, w in enumerate(words)]
+    docs, folder = tables(spark, tmp_path, [(i, " ".join(w), "en") for i, w in enumerate((words, spread, once))], [(1, "x")])
+    assert {r.doc_id for r in near_dedup.near_duplicates(docs).collect() if not r.kept} == {1, 2}
+    assert sorted(r.doc_id for r in corpus_pipeline.dedup_stage(spark, docs, folder).collect()) == [0, 1]
+
+
 def test_empty_tables_pass(spark, tmp_path):
     _, folder = tables(spark, tmp_path, [], [])
     assert corpus_pipeline.run(spark, folder).count() == 0
