@@ -124,6 +124,25 @@ def test_licences(spark, nothing):
     assert licenses.scanned(nothing).count() == 0
 
 
+def test_licences_in_long_and_combined_sentences():
+    def found(text):
+        return licenses.recognised(licenses.known_sentences(text))
+
+    far = "The data set, which was collected by " + "many helpful people and " * 20 + "others, is licensed under the MIT License."
+    assert found(far) == [("MIT", 0, len(far))]
+    apart = "It is licensed, as " + "said " * 40 + "above, under the GNU Affero General Public License v3."
+    assert found(apart) == [("AGPL-3.0", 0, len(apart))]
+    line = "word " * 3_000 + "licensed under the Apache License, Version 2.0 " + "word " * 3_000
+    assert [(n, line[a:b]) for n, a, b in found(line)] == [("Apache-2.0", "under the Apache License, Version 2.0")]
+    wrapped = "Licensed\n" + "so and so\n" * 400 + "under the MIT License."
+    assert [n for n, _, _ in found(wrapped)] == ["MIT"]
+    both = "It is licensed under the MIT License and released under the Apache License 2.0."
+    cut = both.index(" and")
+    assert found(both) == [("MIT", 0, cut), ("Apache-2.0", cut, len(both))]
+    assert [n for n, _, _ in found("Released under the Apache License 2.0 or the MIT license.")] == ["Apache-2.0", "MIT"]
+    assert found("We work under the MIT License.") == [] and found("Published by or the MIT License.") == []
+
+
 def test_word_ids_equal_the_tokenizer():
     encoder = packing.WordEncoder(packing.default_tokenizer())
     rng = random.Random(3)
