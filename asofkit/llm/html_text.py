@@ -33,6 +33,9 @@ NAMES = set(
     " masthead footer sidebar aside widget widgets related recommended share sharing social comment comments disqus"
     " reply replies respond toolbar pagination pager search login copyright skip".split()
 )
+# A name after the first or before the second tells what a page has or does, as in has-sidebar and comments-open.
+STATES = set("has have no not with without is hide show".split())
+STATE_ENDS = set("open opened closed enabled disabled active inactive on off visible hidden collapsed expanded".split())
 CLOSES = {
     "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"},
     "option": {"option"},
@@ -54,31 +57,83 @@ SHARE = 0.1
 
 
 class Element:
-    __slots__ = ("tag", "path", "parent", "furniture")
+    __slots__ = ("tag", "path", "parent", "furniture", "named")
 
-    def __init__(self, tag: str, path: int, parent: Element | None, furniture: bool):
-        self.tag, self.path, self.parent, self.furniture = tag, path, parent, furniture
+    def __init__(self, tag: str, path: int, parent: Element | None, furniture: bool, named: bool):
+        self.tag, self.path, self.parent, self.furniture, self.named = tag, path, parent, furniture, named
 
 
-def is_furniture(tag: str, rest: str) -> bool:
-    if tag in FURNITURE:
-        return True
+def names_furniture(value: str) -> bool:
+    for token in value.split():
+        parts = [x for x in re.split(r"[^a-z0-9]+", token) if x]
+        for x in parts:
+            if x in STATES or parts[-1] in STATE_ENDS:
+                break
+            if x in NAMES:
+                return True
+    return False
+
+
+def is_furniture(tag: str, rest: str) -> tuple[bool, bool]:
+    """Whether the element or its role says so, and whether a class or id does."""
+    named = False
     for name, value in ATTRIBUTE.findall(rest):
         name, value = name.lower(), value.strip("\"'").lower()
         if name in ("class", "id"):
-            if tag not in ("html", "body", "main") and NAMES & set(re.split(r"[^a-z0-9]+", value)):
-                return True
+            named = named or tag not in ("html", "body", "main") and names_furniture(value)
         elif name == "role" and value in ROLES or name == "hidden" or name == "aria-hidden" and value == "true":
-            return True
+            return True, named
         elif name == "style" and "display:none" in value.replace(" ", ""):
-            return True
-    return False
+            return True, named
+    return tag in FURNITURE, named
+
+
+def settle(elements: list[Element], found: list[tuple[Element, str, int]]) -> None:
+    """Marks the elements that names make furniture, and all elements inside furniture.
+
+    Names do not count for what holds the page: the largest article, if it has more text than all elements without
+    such names, and an element with most of the text outside links, unless an article, main or h1 is elsewhere.
+    """
+    place = {id(e): k for k, e in enumerate(elements)}
+    parent = [place.get(id(e.parent), -1) for e in elements]
+    n = len(elements)
+    under_name, plain, free = [False] * n, [0] * n, 0
+    for k, e in enumerate(elements):
+        e.furniture = e.furniture or parent[k] >= 0 and elements[parent[k]].furniture
+        under_name[k] = e.named or parent[k] >= 0 and under_name[parent[k]]
+    if not any(e.named for e in elements):
+        return
+    for e, t, linked in found:
+        k = place[id(e)]
+        if not e.furniture:
+            plain[k] += max(len(t) - linked, 0)
+            free += 0 if under_name[k] else max(len(t) - linked, 0)
+    for k in range(n - 1, 0, -1):
+        plain[parent[k]] += plain[k]
+    total = plain[0]
+    articles = [k for k, e in enumerate(elements) if e.tag == "article" and not e.named and not e.furniture]
+    holders: set[int] = set()
+    at = max(articles, key=lambda k: plain[k], default=-1)
+    if at >= 0 and plain[at] > free:
+        while at >= 0:
+            holders.add(at)
+            at = parent[at]
+    small, homes = [False] * n, [0] * n
+    for k, e in enumerate(elements):
+        small[k] = e.furniture or e.named and k not in holders and 2 * plain[k] <= total or k > 0 and small[parent[k]]
+        homes[k] = int(e.tag in ("article", "main", "h1") and not small[k])
+    for k in range(n - 1, 0, -1):
+        homes[parent[k]] += homes[k]
+    for k, e in enumerate(elements):
+        named = e.named and k not in holders and not (2 * plain[k] > total and homes[k] == homes[0])
+        e.furniture = e.furniture or named or k > 0 and elements[parent[k]].furniture
 
 
 def blocks(page: str) -> list[tuple[Element, str, int]]:
     """(element, text, characters in links) of every block with text, in page order."""
     paths: dict[tuple[int, str], int] = {}
-    root = here = Element("", 0, None, False)
+    root = here = Element("", 0, None, False, False)
+    elements = [root]
     found: list[tuple[Element, str, int]] = []
     parts: list[str] = []
     in_link = linked = 0
@@ -110,10 +165,11 @@ def blocks(page: str) -> list[tuple[Element, str, int]]:
         if tag in INLINE:
             if tag in ("br", "img", "wbr"):
                 parts.append(" " if tag == "br" else "")
-            elif not m["close"] and is_furniture(tag, m["rest"]) and not m["rest"].endswith("/"):
+            elif not m["close"] and any(marks := is_furniture(tag, m["rest"])) and not m["rest"].endswith("/"):
                 flush()
                 key = paths.setdefault((here.path, tag), len(paths) + 1)
-                here = Element(tag, key, here, True)
+                here = Element(tag, key, here, *marks)
+                elements.append(here)
             elif m["close"] and here.tag == tag:
                 flush()
                 here = here.parent or root
@@ -135,9 +191,11 @@ def blocks(page: str) -> list[tuple[Element, str, int]]:
         if target is not root and target.tag in closing:
             here = target.parent
         key = paths.setdefault((here.path, tag), len(paths) + 1)
-        here = Element(tag, key, here, here.furniture or is_furniture(tag, m["rest"]))
+        here = Element(tag, key, here, *is_furniture(tag, m["rest"]))
+        elements.append(here)
     text_part(page[at:])
     flush()
+    settle(elements, found)
     return found
 
 

@@ -67,6 +67,27 @@ def test_main_text(spark):
     assert html_text.extracted(pages.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize(
+    "opening",
+    ["<div class='layout has-sidebar'>", "<div id=page class=no-sidebar>", "<article class='post comments-open'>", "<div class=sidebar-right>",
+     "<div class='page-with-sidebar'>", "<div class='widget'><article>", "<article class='post sponsored'>"],
+)
+def test_names_on_wrappers_do_not_remove_the_page(opening):
+    body = "<h1>Title of it</h1><p>A first part, of some length.<p>A second part, which is longer. Yes."
+    rest = "<div class='post-comments'><p>Nice, really.</div><div class=sidebar><p>Read more.</div>"
+    text = "Title of it\nA first part, of some length.\nA second part, which is longer. Yes."
+    assert html_text.main_text(f"<body><div class=site-header>Site</div>{opening}{body}{rest}<footer>By us.</footer>") == text
+
+
+def test_names_still_remove_long_comments_and_teasers():
+    story, talk = "<p>A story, told in short. It ends.", "<p>I like it, really. And you, too?" * 5
+    want = "A story, told in short. It ends."
+    for home in ("article", "main"):
+        assert html_text.main_text(f"<{home}>{story}</{home}><div id=comments>{talk}</div>") == want
+    assert html_text.main_text(f"<div class=widget><article>{story}</article></div><div id=comments>{talk}</div>") == want
+    assert html_text.main_text(f"<div>{story}</div><div class=related><article><p>More, now.</article></div>") == want
+
+
 def test_scores_equal_brute_force(corpus, documents, nothing):
     rows = [(d, (t or "").encode().lower().split()) for d, t, _ in corpus]
     rows += rows[3:5]
