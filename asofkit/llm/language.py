@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 SAMPLE_DOCS = 64
 SAMPLE_CHARS = 1_000
 TOTAL_CHARS = 1_000_000
-LETTERS = 94
+DENSE = 96
 BLOCK = 256
 BATCH_CHARS = 2_000_000
 FOLD = 4
@@ -33,9 +33,10 @@ def held_out():
 
 
 def sample(documents: DataFrame, docs: int = SAMPLE_DOCS, chars: int = SAMPLE_CHARS) -> dict[str, list[str]]:
-    """At most ``docs`` texts of at most ``chars`` characters per language, the smallest in hash order.
+    """Of at most ``docs`` texts per language, the smallest in hash order, a stretch of at most ``chars`` characters.
 
-    This bounds what is fitted on; ids and sources only choose the sample.
+    This bounds what is fitted on; ids and sources only choose the sample. A stretch lies at a hashed place, so that
+    what many texts open with is not all that is learned.
     """
     labelled = documents.filter(~F.coalesce(held_out(), F.lit(False)) & F.col("lang").isNotNull() & F.col("text").isNotNull())
     order = F.xxhash64("doc_id", "text")
@@ -43,9 +44,10 @@ def sample(documents: DataFrame, docs: int = SAMPLE_DOCS, chars: int = SAMPLE_CH
     # A share of the hash range holds about four times the documents wanted, whatever the language's size.
     span = 1 << 20
     share = F.element_at(F.create_map(*[F.lit(x) for k, n in sizes.items() for x in (k, int(min(span, 4 * docs * span / n + 1)))]), F.col("lang")) if sizes else F.lit(0)
+    begin = 1 + F.pmod(F.xxhash64("text", "doc_id"), F.greatest(F.length("text") - chars, F.lit(0)) + 1)
     rows = (
         labelled.filter(F.pmod(order, F.lit(span)) < share)
-        .select("lang", order.alias("order"), F.substring("text", 1, chars).alias("text"))
+        .select("lang", order.alias("order"), F.substring("text", begin.cast("int"), F.lit(chars)).alias("text"))
         .groupBy("lang")
         .agg(F.slice(F.array_sort(F.collect_list(F.struct("order", "text"))), 1, docs).alias("picked"))
         .collect()
@@ -54,11 +56,11 @@ def sample(documents: DataFrame, docs: int = SAMPLE_DOCS, chars: int = SAMPLE_CH
 
 
 def alphabet(texts: list[str]) -> np.ndarray:
-    """Symbol of every code point: 0 for all but letters, 1 for letters that the sample lacks, then the letters."""
-    codes = np.zeros(0x110000, np.uint8)
-    codes[[c for c in range(0x110000) if chr(c).isalpha()]] = 1
+    """Symbol of every code point: 0 for all but letters, 1 for letters that the sample lacks, then all its letters."""
     counts = Counter(c for t in texts for c in t.lower() if c.isalpha())
-    for k, (c, _) in enumerate(sorted(counts.items(), key=lambda x: (-x[1], x[0]))[:LETTERS]):
+    codes = np.zeros(0x110000, np.uint8 if len(counts) < 250 else np.int32)
+    codes[[c for c in range(0x110000) if chr(c).isalpha()]] = 1
+    for k, (c, _) in enumerate(sorted(counts.items(), key=lambda x: (-x[1], x[0]))):
         codes[ord(c)] = k + 2
     return codes
 
@@ -71,11 +73,8 @@ def symbols(text: str, codes: np.ndarray) -> np.ndarray:
     return s[keep]
 
 
-def parser(sequence: np.ndarray, width: int) -> np.ndarray:
-    """The suffix automaton of the sequence as a flat table: 4 * next state + phrases ended.
-
-    A symbol that no phrase of the sample contains ends the phrase before it and is one itself. Column ``width - 1`` is padding and changes nothing.
-    """
+def automaton(sequence: np.ndarray) -> list[dict[int, int]]:
+    """The suffix automaton of the sequence: per state the state after each symbol."""
     follow: list[dict[int, int]] = [{}]
     link, length, last = [-1], [0], 0
     for c in sequence.tolist():
@@ -101,9 +100,24 @@ def parser(sequence: np.ndarray, width: int) -> np.ndarray:
                     p = link[p]
                 link[q] = link[new] = copy
         last = new
+    return follow
+
+
+def restarts(follow: list[dict[int, int]], width: int) -> np.ndarray:
+    """What a symbol that does not continue a phrase gives: a new phrase with it, or one more phrase if it is unknown."""
     start = np.full(width, 2, np.int32)
     for c, state in follow[0].items():
         start[c] = 4 * state + 1
+    return start
+
+
+def parser(sequence: np.ndarray, width: int) -> np.ndarray:
+    """The suffix automaton of the sequence as a flat table: 4 * next state + phrases ended.
+
+    A symbol that no phrase of the sample contains ends the phrase before it and is one itself. Column ``width - 1`` is padding and changes nothing.
+    """
+    follow = automaton(sequence)
+    start = restarts(follow, width)
     table = np.tile(start, (len(follow), 1))
     for state, edges in enumerate(follow):
         if edges:
@@ -114,6 +128,37 @@ def parser(sequence: np.ndarray, width: int) -> np.ndarray:
     return table.ravel()
 
 
+class Sparse:
+    """The same as ``parser``'s table for large alphabets: sorted edges, at most three per symbol of the sequence."""
+
+    def __init__(self, sequence: np.ndarray, width: int) -> None:
+        follow = automaton(sequence)
+        self.width, self.start = width, restarts(follow, width)
+        edges = np.array([(state * width + c, 4 * to) for state, own in enumerate(follow) for c, to in own.items()], np.int64)
+        edges = edges.reshape(-1, 2)[np.argsort(edges.reshape(-1, 2)[:, 0])]
+        self.keys, self.values = edges[:, 0].copy(), edges[:, 1].astype(np.int32)
+
+    def __call__(self, state: np.ndarray, column: np.ndarray) -> np.ndarray:
+        key = state.astype(np.int64) * self.width + column
+        at = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
+        value = np.where(self.keys[at] == key, self.values[at], self.start[column])
+        value[(state == 0) & (value == 2)] = 1
+        return np.where(column == self.width - 1, 4 * state, value)
+
+
+class Own:
+    """A language's table over its own letters only; all others are unknown to it, whatever they are."""
+
+    def __init__(self, sequence: np.ndarray, width: int) -> None:
+        letters = np.setdiff1d(sequence, [0, 1])
+        self.width = len(letters) + 3
+        self.local = np.ones(width, np.int32)
+        self.local[0], self.local[width - 1] = 0, self.width - 1
+        self.local[letters] = np.arange(2, self.width - 1)
+        build = parser if self.width <= DENSE else Sparse
+        self.table = build(self.local[sequence], self.width)
+
+
 def fit(documents: DataFrame, docs: int = SAMPLE_DOCS, chars: int = SAMPLE_CHARS) -> dict:
     """The tables of all languages. ``TOTAL_CHARS`` bounds them, however many languages there are."""
     texts = sample(documents, docs, chars)
@@ -126,7 +171,7 @@ def fit(documents: DataFrame, docs: int = SAMPLE_DOCS, chars: int = SAMPLE_CHARS
         "codes": codes,
         "width": width,
         "languages": list(joined),
-        "tables": [parser(s, width) for s in joined.values()],
+        "tables": [Own(s, width) for s in joined.values()],
         "bits": np.array([np.log2(len(s) + 1) for s in joined.values()]),
     }
 
@@ -145,8 +190,10 @@ def phrase_counts(texts: list[np.ndarray], model: dict) -> np.ndarray:
     result = np.zeros((len(texts), len(model["tables"])))
     for k, table in enumerate(model["tables"]):
         state, count = np.zeros(lanes.shape[1], np.int32), np.zeros(lanes.shape[1], np.int32)
-        for column in lanes:
-            value = table[state * width + column]
+        local = table.local[lanes] if isinstance(table, Own) else lanes
+        wide, table = (table.width, table.table) if isinstance(table, Own) else (width, table)
+        for column in local:
+            value = table(state, column) if isinstance(table, Sparse) else table[state * wide + column]
             count += value & 3
             state = value >> 2
         result[:, k] = np.bincount(owner, count + (state != 0), len(texts))

@@ -9,6 +9,7 @@ import numpy as np
 import pytest
 
 from asofkit.llm import html_text, importance, language, licenses, lm_scores, packing, quality_rules
+from tests.llm.conftest import prose
 
 
 def test_language_is_right_on_held_out_text(corpus, documents):
@@ -42,6 +43,32 @@ def test_phrases_equal_greedy_parsing():
     assert language.phrase_counts([b], model)[0, 0] == phrases
 
 
+def test_sorted_edges_equal_the_table():
+    rng = random.Random(4)
+    sample, text = ("".join(rng.choice(letters) for _ in range(900)) for letters in ("abcdef ", "abcdefgh "))
+    codes = language.alphabet([sample])
+    a, b = (language.symbols(t, codes) for t in (sample, text))
+    width = int(codes.max()) + 2
+    tables = [language.parser(a, width), language.Sparse(a, width), language.Own(a, width)]
+    counts = language.phrase_counts([b, b[:300]], {"width": width, "tables": tables})
+    assert (counts == counts[:, :1]).all() and counts.min() > 1
+
+
+def test_languages_with_many_letters_and_shared_openings(spark):
+    """Two languages of 400 signs each, and two whose texts for learning all open with the same notice."""
+    rng = random.Random(5)
+    signs = {lang: ["".join(chr(at + rng.randrange(400)) for _ in range(2)) for _ in range(300)] for lang, at in (("zh", 0x4E00), ("ja", 0x5200))}
+    notice, rows = prose(rng, "de", 300), []
+    for i in range(160):
+        lang = ("zh", "ja", "en", "fr")[i % 4]
+        held = zlib.crc32(str(i).encode()) % 4 == 2
+        text = "".join(rng.choice(signs[lang]) for _ in range(300)) if lang in signs else prose(rng, lang, 900)
+        rows.append((i, text if held or lang in signs else notice + " " + text, lang))
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    found = {r.doc_id: r.lang_pred for r in language.languages(docs).collect() if r.held_out}
+    assert len(found) > 20 and found == {i: lang for i, _, lang in rows if i in found}
+
+
 def test_language_without_anything(spark, documents, nothing):
     assert language.languages(nothing).count() == 0
     assert {r.lang_pred for r in language.languages(documents, nothing).collect()} == {"und"}
