@@ -5,8 +5,23 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
-
-from asofkit.llm import decontaminate, html_text, importance, language, licenses, lm_scores, near_dedup, packing, quality_rules, secret_scan
+from pyspark.sql import functions as F
+
+from asofkit.llm import (
+    centroids,
+    decontaminate,
+    html_text,
+    importance,
+    language,
+    licenses,
+    lm_scores,
+    near_dedup,
+    packing,
+    part_codes,
+    pieces,
+    quality_rules,
+    secret_scan,
+)
 from asofkit.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -96,3 +111,81 @@ def op6_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op10_importance(spark: SparkSession, sf_dir: str) -> DataFrame:
     return importance.sampled(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+@query
+def op11_part_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    codes, books = part_codes.compressed(table(spark, sf_dir, "embeddings"))
+    return part_codes.with_label_error(codes, books)
+
+
+def part_codes_sql(parts: int = 8, entries: int = 16, rounds: int = 6, width: int = 8, factor: int = 4096) -> str:
+    """The same rounds as plain comparisons, one step of the query per round."""
+    steps = [
+        f"""kept AS (SELECT row_number() OVER () AS r, * FROM (SELECT vec_id, label, embedding FROM embeddings WHERE embedding IS NOT NULL AND len(embedding) = {parts * width}
+    AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0))""",
+        f"""points AS MATERIALIZED (SELECT r, vec_id, label, p, list_transform(embedding[p * {width} + 1:(p + 1) * {width}],
+    lambda x: floor({factor} * x::DOUBLE)::BIGINT) AS v FROM kept, range({parts}) t(p))""",
+        f"""books0 AS MATERIALIZED (SELECT p, row_number() OVER (PARTITION BY p ORDER BY vec_id NULLS LAST, v) - 1 AS e, v AS c
+    FROM points WHERE r IN (SELECT r FROM kept ORDER BY vec_id NULLS LAST, embedding LIMIT {entries}))""",
+    ]
+    square = " + ".join(f"(v[{j}] - c[{j}]) * (v[{j}] - c[{j}])" for j in range(1, width + 1))
+    mean = ", ".join(f"((s{j} - ((s{j} % n) + n) % n) // n)::BIGINT" for j in range(1, width + 1))
+    sums = ", ".join(f"sum(v[{j}]) AS s{j}" for j in range(1, width + 1))
+    for k in range(rounds + 1):
+        steps.append(f"""near{k} AS MATERIALIZED (SELECT r, vec_id, label, p, any_value(v) AS v, min({square}) AS d, arg_min(e, ({square}) * 256 + e) AS e
+    FROM points JOIN books{k} USING (p) GROUP BY r, vec_id, label, p)""")
+        if k < rounds:
+            steps.append(f"""books{k + 1} AS MATERIALIZED (SELECT p, e, coalesce(m, c) AS c FROM books{k} LEFT JOIN
+    (SELECT p, e, [{mean}] AS m FROM (SELECT p, e, count(*) AS n, {sums} FROM near{k} GROUP BY p, e)) USING (p, e))""")
+    steps.append(f"""coded AS (SELECT r, vec_id, label, string_agg(printf('%02x', e), '' ORDER BY p) AS code, sum(d)::BIGINT AS error
+    FROM near{rounds} GROUP BY r, vec_id, label)""")
+    return f"""WITH {", ".join(steps)}
+SELECT vec_id, code, error, (sum(error) OVER (PARTITION BY label))::BIGINT AS label_error,
+  (SELECT sha256(string_agg(array_to_string(c, ','), ',' ORDER BY p, e)) FROM books{rounds}) AS codebooks_sha256
+FROM coded"""
+
+
+ORACLES["op11_part_codes"] = part_codes_sql()
+
+
+@query
+def op12_centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return centroids.clustered(table(spark, sf_dir, "embeddings"))
+
+
+def centroids_sql(clusters: int = 40, rounds: int = 5, dim: int = 64, factor: int = 256, seed: str = "2") -> str:
+    """The same rounds as plain comparisons of all vectors with all centroids."""
+    steps = [
+        f"""kept AS MATERIALIZED (SELECT row_number() OVER () AS r, vec_id, list_transform(embedding, lambda x: floor({factor} * x::DOUBLE)::BIGINT) AS v
+    FROM embeddings WHERE len(embedding) = {dim} AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0)""",
+        f"""centroids0 AS MATERIALIZED (SELECT row_number() OVER (ORDER BY h, v) - 1 AS c, v AS w FROM
+    (SELECT v, sha256('{seed}:' || vec_id) AS h FROM kept ORDER BY h, v LIMIT {clusters}))""",
+    ]
+    square = " + ".join(f"(v[{j}] - w[{j}]) * (v[{j}] - w[{j}])" for j in range(1, dim + 1))
+    mean = ", ".join(f"((s{j} - ((s{j} % n) + n) % n) // n)::BIGINT" for j in range(1, dim + 1))
+    sums = ", ".join(f"sum(v[{j}]) AS s{j}" for j in range(1, dim + 1))
+    for k in range(rounds + 1):
+        steps.append(f"""near{k} AS MATERIALIZED (SELECT r, vec_id, any_value(v) AS v, min(d) AS d, arg_min(c, d * 1024 + c) AS c
+    FROM (SELECT r, vec_id, v, c, {square} AS d FROM kept, centroids{k}) GROUP BY r, vec_id)""")
+        if k < rounds:
+            steps.append(f"""centroids{k + 1} AS MATERIALIZED (SELECT c, coalesce(m, w) AS w FROM centroids{k} LEFT JOIN
+    (SELECT c, [{mean}] AS m FROM (SELECT c, count(*) AS n, {sums} FROM near{k} GROUP BY c)) USING (c))""")
+    return f"""WITH {", ".join(steps)}
+SELECT vec_id, c::INTEGER AS cluster, d::BIGINT AS distance, (sum(d) OVER (PARTITION BY c))::BIGINT AS cluster_inertia,
+  (sum(d) OVER ())::BIGINT AS inertia, sha256(array_to_string(w, ',')) AS centroid_sha256
+FROM near{rounds} JOIN centroids{rounds} USING (c)"""
+
+
+ORACLES["op12_centroids"] = centroids_sql()
+
+
+@query
+def op13_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = pieces.encoded(table(spark, sf_dir, "documents"))
+    return found.select(
+        "doc_id",
+        F.size("ids").cast("long").alias("n_tokens"),
+        F.sha2(F.array_join(F.col("ids").cast("array<string>"), " "), 256).alias("ids_sha256"),
+        F.sha2("decoded", 256).alias("decoded_sha256"),
+    )
