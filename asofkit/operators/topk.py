@@ -1,7 +1,11 @@
 """Exact and cell-restricted top-k by inner product.
 
-Both sides are cut into blocks of bounded size and only matching blocks meet, so a task multiplies
-two small matrices and keeps ``k`` rows per query. Crowded cells are spread over several blocks.
+The exact form orders items by their norm and cuts them into super-blocks of a fixed number of blocks. A task holds one
+chunk of queries and streams the blocks of one super-block past it, keeping the best ``k`` items per query. All chunks
+meet the super-block of the largest norms first; by Cauchy-Schwarz, a query then needs another one only where
+``|query| * largest norm`` reaches its k-th best score, and a task leaves out blocks, and queries, that cannot.
+
+The cell-restricted form lets blocks meet that lie in the same cell; crowded cells are spread over several blocks.
 """
 
 from __future__ import annotations
@@ -10,6 +14,8 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -17,8 +23,246 @@ from asofkit.operators.order import top_per_group
 from asofkit.session import checkpointed
 
 BLOCK_ROWS = 2048
+SUPER_BLOCKS = 64  # blocks per super-block
+CHUNK_CELLS = 2_000_000  # (query, rank) places of a task: 32 MB of ids and scores
+PAIR_ROWS = 100_000  # (chunk, super-block) pairs, two numbers each, up to which they are broadcast
+SAFE = 1 + 1e-9  # roundings never leave a block out
 BROADCAST_FLOATS = 8_000_000  # item blocks up to 64 MB of doubles travel to the query blocks
 _SCORED = "query_id long, item_id long, score double"
+_PART = "chunk long, super long, seq long, ids binary, vecs binary, limits binary"
+_FOUND = "chunk long, queries binary, reach double, floors binary, ids binary, scores binary"
+_NONE = np.iinfo(np.int64).max
+
+
+# --- exact ---------------------------------------------------------------------------------------
+
+
+class KBest:
+    """The best ``k`` (item, score) of every query so far; ties go to the smaller item id."""
+
+    def __init__(self, n: int, k: int) -> None:
+        self.k = k
+        self.scores = np.full((n, k), -np.inf)
+        self.ids = np.full((n, k), _NONE)
+
+    def add(self, rows: np.ndarray, ids: np.ndarray, scores: np.ndarray, floors: np.ndarray) -> None:
+        """``scores`` of the queries ``rows`` with the items ``ids``; those below ``floors`` cannot be wanted."""
+        floor = np.maximum(self.scores[rows, -1], floors)
+        if len(ids) > self.k:
+            at = len(ids) - self.k
+            floor = np.maximum(floor, np.partition(scores, at, axis=1)[:, at])
+        r, c = np.nonzero(scores >= floor[:, None])
+        if not len(r):
+            return
+        hit = np.unique(r)
+        own = rows[hit]
+        query = np.concatenate([np.repeat(hit, self.k), r])
+        score = np.concatenate([self.scores[own].ravel(), scores[r, c]])
+        item = np.concatenate([self.ids[own].ravel(), ids[c]])
+        order = np.lexsort((item, -score, query))
+        query = query[order]
+        first = np.searchsorted(query, hit)
+        place = np.arange(len(query)) - np.repeat(first, np.diff(np.append(first, len(query))))
+        kept = order[place < self.k]
+        self.scores[own] = score[kept].reshape(-1, self.k)
+        self.ids[own] = item[kept].reshape(-1, self.k)
+
+
+def _matrix(raw: pa.Array, n: int) -> np.ndarray:
+    return raw.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(n, -1)
+
+
+def _place(seq: int) -> int:
+    """A number that no other partition gives."""
+    return (TaskContext.get().partitionId() << 32) + seq
+
+
+def norm_blocks(items: DataFrame, block_rows: int = BLOCK_ROWS, super_blocks: int = SUPER_BLOCKS) -> DataFrame:
+    """(super, seq, ids, vecs, limits): items in falling order of their norms, a block per row."""
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        waiting: list[pa.RecordBatch] = []
+        seq = 0
+
+        def blocks(last: bool) -> Iterator[pa.RecordBatch]:
+            nonlocal waiting, seq
+            table = pa.Table.from_batches(waiting).combine_chunks()
+            whole = table.num_rows if last else table.num_rows // block_rows * block_rows
+            for at in range(0, whole, block_rows):
+                part = table.slice(at, min(block_rows, whole - at)).combine_chunks().to_batches()[0]
+                ids = part.column("item_id").to_numpy().astype(np.int64)
+                vecs = _matrix(part.column("vec"), len(ids))
+                top = np.sqrt((vecs**2).sum(1)).max(keepdims=True)
+                yield _row([0], [_place(seq // super_blocks)], [seq], ids, vecs, top)
+                seq += 1
+            waiting = table.slice(whole).to_batches()
+
+        for batch in batches:
+            waiting.append(batch)
+            if sum(b.num_rows for b in waiting) >= block_rows:
+                yield from blocks(False)
+        if sum(b.num_rows for b in waiting):
+            yield from blocks(True)
+
+    norm = F.aggregate("vec", F.lit(0.0), lambda a, x: a + x.cast("double") * x.cast("double"))
+    rows = items.select("item_id", "vec", norm.alias("_norm")).where(F.col("vec").isNotNull())
+    ordered = rows.repartitionByRange(F.desc("_norm"), "item_id").sortWithinPartitions(F.desc("_norm"), "item_id")
+    return checkpointed(ordered.drop("_norm").mapInArrow(cut, _PART)).drop("chunk")
+
+
+def _row(chunk: list, super_id: list, seq: list, ids: np.ndarray, vecs: np.ndarray, limits: np.ndarray) -> pa.RecordBatch:
+    binary = [pa.array([x.tobytes()], pa.binary()) for x in (ids, vecs, limits)]
+    return pa.RecordBatch.from_arrays(
+        [*(pa.array(x, pa.int64()) for x in (chunk, super_id, seq)), *binary], ["chunk", "super", "seq", "ids", "vecs", "limits"]
+    )
+
+
+def _query_chunks(queries: DataFrame, rows: int) -> DataFrame:
+    """(chunk, ids, vecs, limits): at most ``rows`` queries per row with their norms and, at first, no floors."""
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seq = 0
+        for batch in batches:
+            for at in range(0, batch.num_rows, rows):
+                part = batch.slice(at, rows)
+                ids = part.column("query_id").to_numpy().astype(np.int64)
+                vecs = _matrix(part.column("vec"), len(ids))
+                limits = np.concatenate([np.sqrt((vecs**2).sum(1)), np.full(len(ids), -np.inf)])
+                yield _row([_place(seq)], [0], [-1], ids, vecs, limits)
+                seq += 1
+
+    known = queries.select("query_id", "vec").where(F.col("vec").isNotNull())
+    dealt = known.repartition(max(1, -(-known.count() // rows)))
+    return checkpointed(dealt.mapInArrow(cut, _PART)).drop("super", "seq")
+
+
+def _best_of_visits(k: int):
+    """Streams each (chunk, super) group of sorted rows: the chunk of queries first, then blocks of falling norms."""
+
+    def done(key, ids: np.ndarray, norms: np.ndarray, best: KBest) -> pa.RecordBatch:
+        floors = best.scores[:, -1]
+        open_ended = (norms == 0) | np.isinf(floors)
+        reach = np.where(open_ended, -np.inf, floors / np.where(norms == 0, 1, norms)).min(initial=np.inf)
+        binary = [pa.array([x.tobytes()], pa.binary()) for x in (floors, best.ids, best.scores)]
+        return pa.RecordBatch.from_arrays(
+            [pa.array([key[0]]), pa.array([ids.tobytes()], pa.binary()), pa.array([float(reach)]), *binary],
+            [c.split()[0] for c in _FOUND.split(", ")],
+        )
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key = ids = probes = norms = floors = best = None
+        for batch in batches:
+            for at in range(batch.num_rows):
+                row = {c: batch.column(c)[at].as_py() for c in batch.schema.names}
+                own = np.frombuffer(row["ids"], np.int64)
+                vecs = np.frombuffer(row["vecs"], np.float64).reshape(len(own), -1)
+                limits = np.frombuffer(row["limits"], np.float64)
+                if row["seq"] < 0:
+                    if best is not None:
+                        yield done(key, ids, norms, best)
+                    key, ids, probes, best = (row["chunk"], row["super"]), own, vecs, KBest(len(own), k)
+                    norms, floors = limits[: len(own)], limits[len(own) :]
+                    continue
+                need = np.maximum(floors, best.scores[:, -1])
+                rows = np.flatnonzero((norms * limits[0] * SAFE >= need) | (need <= 0))
+                if len(rows):
+                    best.add(rows, own, probes[rows] @ vecs.T, floors[rows])
+        if best is not None:
+            yield done(key, ids, norms, best)
+
+    return run
+
+
+def _visited(query_rows: DataFrame, pairs: DataFrame, blocks: DataFrame, k: int) -> DataFrame:
+    """Best items of every (chunk, super) visit; ``query_rows`` has a row, ``pairs`` a key per visit."""
+    few = pairs.limit(PAIR_ROWS + 1).count() <= PAIR_ROWS
+    wanted = blocks.join(F.broadcast(pairs) if few else pairs, "super").select("chunk", "super", "seq", "ids", "vecs", "limits")
+    together = query_rows.select("chunk", "super", F.lit(-1).cast("long").alias("seq"), "ids", "vecs", "limits").unionByName(wanted)
+    ordered = together.repartition("chunk", "super").sortWithinPartitions("chunk", "super", "seq")
+    return ordered.mapInArrow(_best_of_visits(k), _FOUND)
+
+
+def super_block_candidates(
+    queries: DataFrame, items: DataFrame, k: int, block_rows: int = BLOCK_ROWS, super_blocks: int = SUPER_BLOCKS
+) -> DataFrame:
+    """(query_id, item_id, score): at most ``k`` rows per query and super-block that it has to visit."""
+    blocks = norm_blocks(items, block_rows, super_blocks)
+    # one row per super-block, SUPER_BLOCKS * BLOCK_ROWS items each
+    tops = F.max(F.col("top")).alias("top")
+    norms = blocks.select("super", "limits").mapInPandas(_tops, "super long, top double").groupBy("super").agg(tops)
+    supers = sorted((-r.top, r.super) for r in norms.collect())
+    chunks = _query_chunks(queries, max(1, min(BLOCK_ROWS, CHUNK_CELLS // k)))
+    if not supers:
+        return chunks.select("chunk").where("false").selectExpr(
+            "chunk AS query_id", "chunk AS item_id", "cast(chunk AS double) AS score"
+        )
+    first = chunks.withColumn("super", F.lit(supers[0][1]))
+    found = checkpointed(_visited(first, first.select("chunk", "super"), blocks, k))
+    scored = _rows_of(found, k)
+    if len(supers) == 1:
+        return scored
+    rest = supers[1:]
+
+    def due(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for chunk, reach in zip(batch["chunk"], batch["reach"], strict=True):
+                near = [s for top, s in rest if reach <= 0 or -top * SAFE >= reach]
+                yield pd.DataFrame({"chunk": np.full(len(near), chunk), "super": np.array(near, np.int64)})
+
+    def sent(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(batch.num_rows):
+                row = {c: batch.column(c)[at].as_py() for c in batch.schema.names}
+                ids = np.frombuffer(row["ids"], np.int64)
+                vecs = np.frombuffer(row["vecs"], np.float64).reshape(len(ids), -1)
+                norms, floors = np.frombuffer(row["limits"], np.float64)[: len(ids)], np.frombuffer(row["floors"], np.float64)
+                for top, number in rest:
+                    asked = np.flatnonzero((norms * -top * SAFE >= floors) | (floors <= 0))
+                    if len(asked):
+                        limits = np.concatenate([norms[asked], floors[asked]])
+                        yield _row([row["chunk"]], [number], [-1], ids[asked], vecs[asked], limits)
+
+    pairs = found.select("chunk", "reach").mapInPandas(due, "chunk long, super long")
+    again = chunks.join(found.select("chunk", "floors"), "chunk").mapInArrow(sent, _PART).drop("seq")
+    return scored.unionByName(_rows_of(_visited(again, pairs, blocks, k), k))
+
+
+def _tops(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    for batch in batches:
+        yield pd.DataFrame({"super": batch["super"], "top": [np.frombuffer(x, np.float64)[0] for x in batch["limits"]]})
+
+
+def _rows_of(found: DataFrame, k: int) -> DataFrame:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(batch.num_rows):
+                queries, ids, scores = (
+                    np.frombuffer(batch.column(c)[at].as_py(), t)
+                    for c, t in (("queries", np.int64), ("ids", np.int64), ("scores", np.float64))
+                )
+                full = ids != _NONE
+                columns = [np.repeat(queries, k)[full], ids[full], scores[full]]
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["query_id", "item_id", "score"])
+
+    return found.select("queries", "ids", "scores").mapInArrow(run, _SCORED)
+
+
+def exact_top_k(
+    queries: DataFrame,
+    items: DataFrame,
+    k: int,
+    block_rows: int = BLOCK_ROWS,
+    super_blocks: int = SUPER_BLOCKS,
+) -> DataFrame:
+    """Top ``k`` over all items (fewer when there are fewer items): (query_id, item_id, score, rank).
+
+    Ties are broken by item id; null vectors neither ask nor are found; ids of queries and of items are unique.
+    """
+    found = super_block_candidates(queries, items, k, block_rows, super_blocks)
+    return top_per_group(found, ["query_id"], [F.desc("score"), F.asc("item_id")], k, "rank")
+
+
+# --- by cells ------------------------------------------------------------------------------------
 
 
 def _blocks(rows: DataFrame, by: list[str], id_col: str, ids: str, vecs: str) -> DataFrame:
@@ -90,13 +334,3 @@ def block_top_k(
         .mapInPandas(_best_of_blocks(k), _SCORED)
     )
     return top_per_group(partial, ["query_id"], [F.desc("score"), F.asc("item_id")], k, "rank")
-
-
-def exact_top_k(
-    queries: DataFrame, items: DataFrame, k: int, block_rows: int = BLOCK_ROWS
-) -> DataFrame:
-    """Top ``k`` over all items (fewer when there are fewer items)."""
-    one_cell = F.lit(0)
-    return block_top_k(
-        queries.withColumn("cell", one_cell), items.withColumn("cell", one_cell), k, block_rows
-    )

@@ -5,7 +5,7 @@ import pytest
 from conftest import as_dicts, bursty_rows, events_of
 from pyspark.sql import functions as F
 
-from asofkit.operators.topk import exact_top_k
+from asofkit.operators.topk import exact_top_k, super_block_candidates
 from asofkit.plans.evaluation import evaluate, list_recall
 from asofkit.plans.retrieval import (
     CellIndex,
@@ -94,6 +94,48 @@ def test_top_k_ties_and_short_lists(spark):
     assert [r["item_id"] for r in found] == [3, 7, 9]
 
 
+def _plan(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_super_blocks_emit_at_most_k_rows_each_and_are_left_out(spark):
+    """Rows that reach the final ranking: k per super-block at most, and few where the norms fall."""
+    rng = np.random.default_rng(8)
+    m = rng.normal(size=(640, 8))
+    m /= np.linalg.norm(m, axis=1, keepdims=True)
+    queries_m, queries = _unit(spark, 30, 8, 9, "query_id")
+    for scale, most in ((np.ones(640), 44), (0.9 ** np.arange(640), 12)):
+        own = m * scale[:, None]
+        items = spark.createDataFrame([(i, [float(x) for x in v]) for i, v in enumerate(own)], "item_id long, vec array<double>")
+        rows = super_block_candidates(queries, items, 5, block_rows=8, super_blocks=2)
+        per_query = [r.n for r in rows.groupBy("query_id").agg(F.count("*").alias("n")).collect()]
+        assert len(per_query) == 30 and max(per_query) <= 5 * most
+        found = as_dicts(exact_top_k(queries, items, 5, 8, 2))
+        got = {(r["query_id"], r["rank"]): r["item_id"] for r in found}
+        want = np.argsort(-(queries_m @ own.T), axis=1)[:, :5]
+        assert got == {(q, r): want[q, r] for q in range(30) for r in range(5)}
+
+
+def test_exact_top_k_needs_no_nested_loop(spark):
+    _, items = _unit(spark, 200, 4, 0, "item_id")
+    _, queries = _unit(spark, 20, 4, 1, "query_id")
+    plan = _plan(exact_top_k(queries, items, 3, 16, 2))
+    assert "NestedLoop" not in plan and "Cartesian" not in plan
+
+
+def test_top_k_of_zero_negative_and_equal_vectors(spark):
+    items_m = np.array([[0.0, 0.0], [-1.0, 0.0], [-1.0, 0.0], [-2.0, 0.0], [0.0, 0.0], [-0.5, 0.0]] * 4)
+    items = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(items_m)] + [(99, None)], "item_id long, vec array<double>")
+    queries = spark.createDataFrame([(0, [1.0, 0.0]), (1, [0.0, 0.0]), (2, [-1.0, 1.0]), (3, None)], "query_id long, vec array<double>")
+    found = as_dicts(exact_top_k(queries, items, 7, 2, 2))
+    for q, v in ((0, [1.0, 0.0]), (1, [0.0, 0.0]), (2, [-1.0, 1.0])):
+        want = sorted(range(24), key=lambda i: (-(items_m[i] @ np.array(v)), i))[:7]
+        assert [r["item_id"] for r in sorted(found, key=lambda r: r["rank"]) if r["query_id"] == q] == want
+    assert len(found) == 21
+    assert exact_top_k(queries, items.where("false"), 7).count() == 0
+    assert exact_top_k(queries.where("false"), items, 7).count() == 0
+
+
 def test_cell_index_recall(spark):
     _, items = _unit(spark, 1500, 8, 2, "item_id")
     _, queries = _unit(spark, 50, 8, 3, "query_id")
