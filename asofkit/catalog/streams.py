@@ -222,6 +222,25 @@ def i10_compaction(spark, sf) -> DataFrame:
     return store.history_log()
 
 
+def i10_two_compactors(spark, sf) -> DataFrame:
+    """One worker has written its snapshot when a batch arrives that another one compacts and cleans up; both then go on."""
+    root = scratch_path(spark, "store")
+    one, two = OnlineStore(spark, root, WIDE), OnlineStore(spark, root, WIDE)
+    events = clicks(spark, sf).withColumn("_slot", F.pmod(F.xxhash64(*EVENT_COLUMNS), F.lit(3)))
+    one.append(events.where("_slot = 0").drop("_slot"), 0, "one")
+    late = two.prepare()
+    one.append(events.where("_slot = 1").drop("_slot"), 0, "two")
+    if not one.compact():
+        raise RuntimeError("nothing stood in the way of the first commit")
+    one.vacuum()
+    if two.commit(late):
+        raise RuntimeError("a snapshot without the newest events was committed")
+    one.append(events.where("_slot = 2").drop("_slot"), 1, "one")
+    two.compact()
+    two.vacuum()
+    return one.history_log()
+
+
 def d25_skew_report(spark, sf) -> DataFrame:
     return report(compare_store(filled_store(spark, sf), clicks(spark, sf)))
 
@@ -251,7 +270,7 @@ QUERIES = {
     for f in (
         i1_parse, i2_stream_to_log, i3_rejected_messages, i5_user_retention, i6_item_retention,
         i7_history_tail, i8_watermark, i9_late_data_dedup, i9_late_after_compaction,
-        i2_two_writers, i3_replay_new_offsets, i10_compaction, i11_online_user_features,
+        i2_two_writers, i3_replay_new_offsets, i10_compaction, i10_two_compactors, i11_online_user_features,
         i11_compacted_user_features, i12_online_histories, i13_online_item_features,
         i13_compacted_item_subset, d25_skew_report, d25_compacted_skew_report, t33_parity,
     )
@@ -293,6 +312,7 @@ ORACLES = {
     "i3_replay_new_offsets": _RETAINED,
     "i9_late_after_compaction": _RETAINED,
     "i10_compaction": _TAIL,
+    "i10_two_compactors": _TAIL,
     "i1_parse": with_(EV)
     + "SELECT 'true' AS accepted, event, count(*) AS n FROM ev GROUP BY 2 UNION ALL"
     " SELECT 'false', '', count(*) FROM events WHERE event_type IN ('signup', 'error')",

@@ -21,13 +21,15 @@ def start_ingest(
     bounded: bool = True,
     interval: str = "10 seconds",
     compact_every: int | None = 100,
+    keep: int = 0,
 ) -> StreamingQuery:
     """Start the query. ``bounded`` processes what is available and stops.
 
     Source offsets are checkpointed and batches are rewritten on retry, so a restart neither loses
     nor double counts events. A store's batches are filed under the stream's id, which a checkpoint
     keeps; several workers, and replays with new checkpoints, can share a store. Every
-    ``compact_every`` batches the store is compacted and vacuumed; with several workers let one do it.
+    ``compact_every`` batches of a worker the store is compacted and vacuumed; if two do so at a time, one gives way. ``keep``
+    commits stay for readers that started from them.
     """
     known, ids = Event(), {}
 
@@ -36,7 +38,7 @@ def start_ingest(
         sink.write_batch(batch, batch_id, ids["stream"])
         if compact_every and batch_id % compact_every == compact_every - 1:
             sink.compact()
-            sink.vacuum()
+            sink.vacuum(keep)
 
     write = store_batch if isinstance(sink, OnlineStore) else sink
     writer = (

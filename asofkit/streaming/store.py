@@ -4,8 +4,13 @@ Layout under ``root``:
 
 * ``log/source=S/batch_id=N``  one micro-batch of one writer, overwritten when it is retried:
   ``accepted=true`` holds its events, ``accepted=false`` the raw values of rejected messages
-* ``snapshot/id=K``            compacted ``users``, ``items`` and ``history``, and a ``manifest`` of the
-  (source, batch) pairs that they cover, written last
+* ``snapshot/id=K-...``        compacted ``users``, ``items`` and ``history``, and a ``manifest`` of the
+  (source, batch) pairs that they cover
+* ``commit/K``                 names the snapshot that became number K and its parent, number K - 1
+
+Any number of workers may compact and clean up. A compaction starts from the newest commit and becomes the next one only
+by creating its file, which one of them can; the others throw their work away. So every commit covers all that its parent
+covered, and cleaning up removes only what a committed snapshot holds.
 
 Writers need not know of each other: a source is one stream's id, so batch numbers that several
 workers use, or that a stream with a new checkpoint starts again, never meet.
@@ -19,7 +24,9 @@ for any ``as_of`` at or after the entity's latest event.
 
 from __future__ import annotations
 
+import json
 import uuid
+from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -31,7 +38,7 @@ from asofkit.operators.skew import HOT_ROWS
 from asofkit.operators.timeline import session_state
 from asofkit.plans.features import item_features, user_features, user_histories
 from asofkit.schema import EVENT_COLUMNS, EVENT_SCHEMA, HISTORY_LEN
-from asofkit.sources.paths import child_names, delete_tree, path_exists, touch
+from asofkit.sources.paths import child_names, create_new, delete_tree, path_exists, read_text, touch
 
 _MARKER = "_SUCCESS"
 _ONLY_REJECTED = "_ONLY_REJECTED"
@@ -75,6 +82,14 @@ def retain_history(events: DataFrame, length: int = HISTORY_LEN) -> DataFrame:
     return kept.select(*EVENT_COLUMNS)
 
 
+@dataclass(frozen=True)
+class Prepared:
+    """A snapshot that is written and waits for its number."""
+
+    number: int
+    snapshot: str
+
+
 class OnlineStore:
     def __init__(
         self,
@@ -115,82 +130,120 @@ class OnlineStore:
                     found.append(batch)
         return sorted(found)
 
-    def _snapshot(self) -> str | None:
-        """The newest snapshot with a manifest."""
-        folder = f"{self.root}/snapshot"
-        done = [
-            n for n in child_names(self.spark, folder) if path_exists(self.spark, f"{folder}/{n}/manifest/{_MARKER}")
-        ]
-        return max(done, default=None)
-
-    def _covered(self) -> set[Batch]:
-        name = self._snapshot()
-        if name is None:
+    def commits(self) -> list[int]:
+        """Numbers of the committed snapshots, oldest first."""
+        return sorted(int(n) for n in child_names(self.spark, f"{self.root}/commit") if n.isdigit())
+
+    def _commit(self, number: int) -> str:
+        """The snapshot that the commit names."""
+        return json.loads(read_text(self.spark, f"{self.root}/commit/{number:012d}"))["snapshot"]
+
+    def _head(self) -> tuple[int, str | None]:
+        numbers = self.commits()
+        return (numbers[-1], self._commit(numbers[-1])) if numbers else (0, None)
+
+    def _covered(self, snapshot: str | None) -> set[Batch]:
+        if snapshot is None:
             return set()
-        rows = self.spark.read.schema(MANIFEST).parquet(f"{self.root}/snapshot/{name}/manifest")
+        rows = self.spark.read.schema(MANIFEST).parquet(f"{self.root}/snapshot/{snapshot}/manifest")
         return {(r.source, r.batch_id) for r in rows.collect()}
 
-    def pending(self) -> list[Batch]:
-        """Batches that the newest snapshot does not cover."""
-        covered = self._covered()
-        return [b for b in self.batches() if b not in covered]
-
-    def compact(self) -> None:
-        """Fold all completed batches into a new snapshot; readers switch when its manifest is there."""
-        batches = self.batches()
-        if not self.pending():
-            return
-        newest = self._snapshot()
-        number = 1 + int(newest.split("=")[1].split("-")[0]) if newest else 0
-        target = f"{self.root}/snapshot/id={number:012d}-{uuid.uuid4().hex[:8]}"
-        for name, events in (
-            ("users", self.user_events()),
-            ("items", self.item_events()),
-            ("history", self.history_log()),
-        ):
-            events.write.parquet(f"{target}/{name}")
-        manifest = self.spark.createDataFrame(batches, MANIFEST)
-        manifest.coalesce(1).write.parquet(f"{target}/manifest")
+    def _state(self) -> tuple[int, str | None, set[Batch], list[Batch]]:
+        """(commit, snapshot, covered batches, batches it lacks).
 
-    def vacuum(self) -> int:
-        """Delete what the newest snapshot has replaced: events of its batches, older snapshots.
+        The batches are listed before the commit is read: one that is cleaned up in between is covered by then.
+        """
+        listed = self.batches()
+        number, snapshot = self._head()
+        covered = self._covered(snapshot)
+        return number, snapshot, covered, [b for b in listed if b not in covered]
 
-        Rejected messages stay for inspection.
+    def pending(self) -> list[Batch]:
+        """Batches that the newest commit does not cover."""
+        return self._state()[3]
+
+    def prepare(self) -> Prepared | None:
+        """Write the next snapshot without making it visible; none if nothing is pending."""
+        number, snapshot, covered, pending = self._state()
+        if not pending:
+            return None
+        name = f"id={number + 1:012d}-{uuid.uuid4().hex[:8]}"
+        target = f"{self.root}/snapshot/{name}"
+        users, items, history = (self._distinct(t, snapshot, pending) for t in ("users", "items", "history"))
+        retain_users(users, self.features, self.hot_rows).write.parquet(f"{target}/users")
+        retain_items(items, self.features).write.parquet(f"{target}/items")
+        retain_history(history).write.parquet(f"{target}/history")
+        manifest = self.spark.createDataFrame(sorted(covered | set(pending)), MANIFEST)
+        manifest.coalesce(1).write.parquet(f"{target}/manifest")
+        return Prepared(number + 1, name)
+
+    def commit(self, prepared: Prepared) -> bool:
+        """Make a prepared snapshot the newest one; false, and it is deleted, if another has taken its number."""
+        text = json.dumps({"snapshot": prepared.snapshot, "parent": prepared.number - 1})
+        if create_new(self.spark, f"{self.root}/commit/{prepared.number:012d}", text):
+            return True
+        delete_tree(self.spark, f"{self.root}/snapshot/{prepared.snapshot}")
+        return False
+
+    def compact(self) -> bool:
+        """Fold all completed batches into a new snapshot. False if nothing is pending or another worker was first."""
+        before = self._head()[0]
+        try:
+            prepared = self.prepare()
+        except Exception:
+            # the other worker may have cleaned up what was being read
+            if self._head()[0] == before:
+                raise
+            return False
+        return prepared is not None and self.commit(prepared)
+
+    def vacuum(self, keep: int = 0) -> int:
+        """Delete what a commit has replaced: events of its batches, older snapshots, snapshots that came too late.
+
+        With ``keep`` the last so many replaced commits stay readable for jobs that started from them. Rejected messages
+        stay for inspection, unfinished snapshots of the next number for their writers, commits for ever.
         """
-        newest = self._snapshot()
-        if newest is None:
+        numbers = self.commits()
+        if len(numbers) <= keep:
             return 0
+        number = numbers[-1 - keep]
+        snapshots = {n: self._commit(n) for n in numbers if n >= number}
         old = []
-        for batch in sorted(self._covered() & set(self.batches())):
+        for batch in sorted(self._covered(snapshots[number]) & set(self.batches())):
             folder = self._folder(batch)
             if "accepted=false" in child_names(self.spark, folder):
                 touch(self.spark, f"{folder}/{_ONLY_REJECTED}")
                 old.append(f"{folder}/accepted=true")
             else:
                 old.append(folder)
-        names = child_names(self.spark, f"{self.root}/snapshot")
-        old += [f"{self.root}/snapshot/{n}" for n in names if n < newest]
+        for name in child_names(self.spark, f"{self.root}/snapshot"):
+            own = int(name.split("=")[1].split("-")[0])
+            if own <= numbers[-1] and name not in snapshots.values():
+                old.append(f"{self.root}/snapshot/{name}")
         return sum(bool(delete_tree(self.spark, path)) for path in old)
 
     def clear(self) -> bool:
         """Remove this store's folders and nothing else."""
-        parts = ("log", "snapshot")
+        parts = ("log", "snapshot", "commit")
         return any([delete_tree(self.spark, f"{self.root}/{part}") for part in parts])
 
     # events at hand -----------------------------------------------------------
 
-    def _events(self, table: str) -> DataFrame:
+    def _events(self, table: str, snapshot: str | None, batches: list[Batch]) -> DataFrame:
         """Snapshot ``table`` plus the batches that it lacks."""
-        name = self._snapshot()
-        events = self._log(self.pending(), True)
-        if name is not None:
-            path = f"{self.root}/snapshot/{name}/{table}"
+        events = self._log(batches, True)
+        if snapshot is not None:
+            path = f"{self.root}/snapshot/{snapshot}/{table}"
             events = events.unionByName(self.spark.read.schema(EVENT_SCHEMA).parquet(path))
         return events
 
+    def _distinct(self, table: str, snapshot: str | None, batches: list[Batch]) -> DataFrame:
+        return self._events(table, snapshot, batches).dropDuplicates(EVENT_COLUMNS)
+
     def merged(self, table: str) -> DataFrame:
         """Snapshot and newer batches without duplicates and before trimming."""
-        return self._events(table).dropDuplicates(EVENT_COLUMNS)
+        _, snapshot, _, pending = self._state()
+        return self._distinct(table, snapshot, pending)
 
     def _log(self, batches: list[Batch], accepted: bool) -> DataFrame:
         columns = EVENT_COLUMNS if accepted else ["value"]
@@ -219,7 +272,8 @@ class OnlineStore:
 
     def watermark(self) -> int | None:
         """Latest event time seen; duplicates do not matter to it."""
-        return self._events("users").agg(F.max("ts_ms")).first()[0]
+        _, snapshot, _, pending = self._state()
+        return self._events("users", snapshot, pending).agg(F.max("ts_ms")).first()[0]
 
     # reads -------------------------------------------------------------------
 

@@ -187,3 +187,59 @@ def test_rejected_messages_outlive_vacuum(spark, tmp_path):
     store.vacuum()
     assert store.batches() == [] and [r.value for r in store.rejected().collect()] == ["{broken"]
     assert store.merged("users").count() == 1
+
+
+def test_two_compactors_lose_nothing(spark, tmp_path):
+    """A worker that was overtaken gives way; a batch is deleted only once a commit holds its events."""
+    one, two = _store(spark, tmp_path), _store(spark, tmp_path)
+    first, second, third = (events_of(spark, [(t, 1, t, "view")]) for t in (1000, 2000, 3000))
+    one.append(first, 0, "one")
+    late = two.prepare()
+    one.append(second, 0, "two")
+    assert one.compact() and one.vacuum() >= 2
+    assert not two.commit(late)
+    assert sorted(r.ts_ms for r in two.merged("history").collect()) == [1000, 2000]
+    one.append(third, 1, "one")
+    assert two.compact() and not two.compact()
+    two.vacuum()
+    assert one.commits() == [1, 2] and one.batches() == []
+    assert sorted(r.ts_ms for r in one.merged("history").collect()) == [1000, 2000, 3000]
+
+
+def test_only_one_of_many_gets_a_number(spark, tmp_path):
+    from concurrent.futures import ThreadPoolExecutor
+
+    from asofkit.sources.paths import child_names, create_new, read_text
+
+    (tmp_path / "c").mkdir()
+    path = str(tmp_path / "c/000000000001")
+    with ThreadPoolExecutor(8) as pool:
+        won = list(pool.map(lambda n: create_new(spark, path, str(n)), range(8)))
+    assert sum(won) == 1 and read_text(spark, path) == str(won.index(True))
+    assert child_names(spark, str(tmp_path / "c")) == ["000000000001"]
+
+
+def test_readers_of_the_last_commit_can_finish(spark, tmp_path):
+    store = _store(spark, tmp_path)
+    store.append(events_of(spark, [(1, 1, 1, "view")]), 0)
+    store.compact()
+    reading = store.merged("history")  # planned against the first commit
+    store.append(events_of(spark, [(2, 1, 2, "view")]), 1)
+    store.compact()
+    store.vacuum(keep=1)
+    assert reading.count() == 1 and store.merged("history").count() == 2
+    store.vacuum()
+    assert len([p for p in (tmp_path / "store/snapshot").iterdir()]) == 1
+    assert store.merged("history").count() == 2
+
+
+def test_unfinished_snapshots_stay_and_overtaken_ones_go(spark, tmp_path):
+    store = _store(spark, tmp_path)
+    store.append(events_of(spark, [(1, 1, 1, "view")]), 0)
+    left = store.prepare()  # its worker was lost before the commit
+    store.vacuum()
+    assert store.commits() == [] and (tmp_path / "store/snapshot" / left.snapshot).exists()
+    store.compact()
+    store.vacuum()
+    assert not (tmp_path / "store/snapshot" / left.snapshot).exists()
+    assert store.merged("users").count() == 1
