@@ -21,6 +21,7 @@ from asofkit.schema import CHECK_OFFSETS_MS, EVENT_COLUMNS
 from asofkit.session import scratch_path
 from asofkit.sources.messages import decode, encode, read_files
 from asofkit.streaming.ingest import ingest, start_ingest
+from asofkit.streaming.keyed import KeyedStore
 from asofkit.streaming.skew_check import compare_store, differences, moments, report
 from asofkit.streaming.store import OnlineStore
 
@@ -241,6 +242,38 @@ def i10_two_compactors(spark, sf) -> DataFrame:
     return one.history_log()
 
 
+@cache
+def keyed_store(spark, sf) -> KeyedStore:
+    """Keyed state fed with the latest third first and that third again, the queries restarted each time."""
+    source = scratch_path(spark, "messages")
+    store = KeyedStore(spark, scratch_path(spark, "keyed"), WIDE)
+    parts = _ordered_thirds(spark, sf)
+    for part in [*parts, parts[0]]:
+        part.write.mode("append").text(source)
+        store.ingest(read_files(spark, source))
+    return store
+
+
+def i3_keyed_user_events(spark, sf) -> DataFrame:
+    return keyed_store(spark, sf).user_events()
+
+
+def i4_keyed_sessions(spark, sf) -> DataFrame:
+    return keyed_store(spark, sf).sessions()
+
+
+def i6_keyed_item_events(spark, sf) -> DataFrame:
+    return keyed_store(spark, sf).item_events()
+
+
+def i7_keyed_history(spark, sf) -> DataFrame:
+    return keyed_store(spark, sf).history_log()
+
+
+def i11_keyed_user_features(spark, sf) -> DataFrame:
+    return keyed_store(spark, sf).user_features(_user_points(spark, sf))
+
+
 def d25_skew_report(spark, sf) -> DataFrame:
     return report(compare_store(filled_store(spark, sf), clicks(spark, sf)))
 
@@ -270,7 +303,8 @@ QUERIES = {
     for f in (
         i1_parse, i2_stream_to_log, i3_rejected_messages, i5_user_retention, i6_item_retention,
         i7_history_tail, i8_watermark, i9_late_data_dedup, i9_late_after_compaction,
-        i2_two_writers, i3_replay_new_offsets, i10_compaction, i10_two_compactors, i11_online_user_features,
+        i2_two_writers, i3_replay_new_offsets, i10_compaction, i10_two_compactors,
+        i3_keyed_user_events, i4_keyed_sessions, i6_keyed_item_events, i7_keyed_history, i11_keyed_user_features, i11_online_user_features,
         i11_compacted_user_features, i12_online_histories, i13_online_item_features,
         i13_compacted_item_subset, d25_skew_report, d25_compacted_skew_report, t33_parity,
     )
@@ -313,6 +347,10 @@ ORACLES = {
     "i9_late_after_compaction": _RETAINED,
     "i10_compaction": _TAIL,
     "i10_two_compactors": _TAIL,
+    "i3_keyed_user_events": _RETAINED,
+    "i4_keyed_sessions": with_(EV, _LAST_SESSION) + "SELECT user_id, last_ts AS last_ms, start_ms FROM ends",
+    "i7_keyed_history": _TAIL,
+    "i11_keyed_user_features": _USERS,
     "i1_parse": with_(EV)
     + "SELECT 'true' AS accepted, event, count(*) AS n FROM ev GROUP BY 2 UNION ALL"
     " SELECT 'false', '', count(*) FROM events WHERE event_type IN ('signup', 'error')",
@@ -341,3 +379,4 @@ ORACLES = {
     "d25_compacted_skew_report": with_(EV) + _n_values(11, 6),
     "t33_parity": with_(EV) + _n_values(8, 6),
 }
+ORACLES["i6_keyed_item_events"] = ORACLES["i6_item_retention"]

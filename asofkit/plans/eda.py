@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from asofkit.functions.columns import clipped, event_date
-from asofkit.operators.order import dense_index
+from asofkit.operators.order import dense_index, exact_quantiles
 from asofkit.schema import DAY_MS, EVENT_TYPES
 
 
@@ -184,10 +184,9 @@ def repeat_share(history: DataFrame, target: DataFrame) -> DataFrame:
 
 def stage_percentiles(timings: DataFrame) -> DataFrame:
     """(stage, ms) rows to exact interpolated p50 and p99 per stage."""
-    return timings.groupBy("stage").agg(
-        F.round(F.percentile("ms", F.lit(0.5)), 2).alias("p50_ms"),
-        F.round(F.percentile("ms", F.lit(0.99)), 2).alias("p99_ms"),
-    )
+    found = exact_quantiles(timings, "stage", "ms", (0.5, 0.99))
+    at = lambda q: F.round(F.max(F.when(F.col("q") == q, F.col("quantile"))), 2)
+    return found.groupBy("stage").agg(at(0.5).alias("p50_ms"), at(0.99).alias("p99_ms"))
 
 
 def active_users(events: DataFrame, watermark_ms: int, days: int = 7) -> DataFrame:

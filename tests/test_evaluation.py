@@ -4,6 +4,7 @@ import pytest
 from conftest import MINUTE, as_dicts, bursty_rows, events_of
 from pyspark.sql import functions as F
 
+from asofkit.operators.order import exact_quantiles
 from asofkit.plans import eda
 from asofkit.plans.baselines import (
     Popularity,
@@ -237,3 +238,20 @@ def test_requests_ignore_the_future_and_the_partitioning(spark):
     assert len({r.user_id for r in frame}) == len(frame)
     assert all(lo <= r.as_of_ms < hi for r in frame)
     assert choose_requests(full, lo, hi, 8, 2).collect() != frame
+
+
+def test_quantiles_of_groups_that_span_partitions(spark):
+    """Exact, interpolated, with one group in all partitions, ties, single rows, nulls; no group's values in one place."""
+    rows = [("hot", float((i * 7919) % 5003)) for i in range(6000)] + [("tied", 2.0)] * 500 + [("one", 9.5), ("none", None)]
+    rows += [(None, float(i)) for i in range(4)] + [("pair", 1.0), ("pair", 4.0)]
+    frame = spark.createDataFrame(rows, "stage string, ms double").repartition(6)
+    found = {(r.stage, r.q): r.quantile for r in exact_quantiles(frame, "stage", "ms", (0.0, 0.3, 0.5, 0.99, 1.0)).collect()}
+    for stage in ("hot", "tied", "one", "pair", None):
+        values = sorted(v for s, v in rows if s == stage)
+        for q in (0.0, 0.3, 0.5, 0.99, 1.0):
+            at = q * (len(values) - 1)
+            low, high = values[int(at)], values[min(int(at) + 1, len(values) - 1)]
+            assert found[stage, q] == pytest.approx(low + (high - low) * (at - int(at)))
+    assert len(found) == 25
+    plan = eda.stage_percentiles(frame)._jdf.queryExecution().executedPlan().toString()
+    assert "percentile" not in plan and "collect_list" not in plan
