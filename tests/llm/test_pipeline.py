@@ -11,7 +11,7 @@ from tests.llm.conftest import DOCUMENTS, prose
 
 
 def test_all_dealt_operators_are_registered():
-    assert sorted(int(name[2:].split("_")[0]) for name in QUERIES) == list(range(1, 11))
+    assert sorted(int(name[2:].split("_")[0]) for name in QUERIES) == list(range(1, 14))
     assert set(ORACLES) <= set(QUERIES)
 
 
