@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from functools import cache
+
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from asofkit.catalog.common import (
@@ -27,6 +29,7 @@ from asofkit.catalog.common import (
     weekly_split,
     with_,
 )
+from asofkit.functions.columns import dot
 from asofkit.definitions import ITEM_FEATURES, RANKER_FEATURES, USER_FEATURES
 from asofkit.operators.topk import exact_top_k
 from asofkit.plans.baselines import Popularity
@@ -63,9 +66,11 @@ from asofkit.plans.retrieval import (
     recent_candidates,
     with_pair_scores,
 )
+from asofkit.plans.vector_index import QuantisedIndex
 from asofkit.session import scratch_path
 from asofkit.sources.tables import vectors
 
+INDEX_KS, INDEX_RECALL = (500, 50), 0.95
 _SMALL_MODEL = VectorConfig(dim=16, iterations=4)
 
 
@@ -151,6 +156,35 @@ def t23_index_quality(spark, sf) -> DataFrame:
     return index_quality(CellIndex(items, CELLS, 8), FlatIndex(items), _queries(spark, sf), (100, 10))
 
 
+@cache
+def quantised_index(spark, sf) -> QuantisedIndex:
+    """Over all vectors, its effort set on sample queries for the declared lists of 500 and 50."""
+    index = QuantisedIndex(vectors(utc(spark), sf).select("item_id", "vec"))
+    index.calibrate(_queries(spark, sf), INDEX_KS, INDEX_RECALL)
+    return index
+
+
+def t21_quantised_index(spark, sf) -> DataFrame:
+    """What holds for the list of every query: its length, distinct items, exact scores in falling order."""
+    found = quantised_index(spark, sf).search(_queries(spark, sf), 50)
+    own = _queries(spark, sf).select("query_id", F.col("vec").alias("q"))
+    items = vectors(utc(spark), sf).select("item_id", F.col("vec").alias("v"))
+    both = found.join(own, "query_id").join(items, "item_id")
+    exact = F.abs(F.col("score") - dot(F.col("q"), F.col("v"))) < 1e-9
+    before = F.lag("score").over(Window.partitionBy("query_id").orderBy("rank"))
+    checked = both.withColumn("fine", exact & (F.coalesce(before, F.col("score")) >= F.col("score")))
+    return checked.groupBy("query_id").agg(
+        F.count_distinct("item_id").alias("n_items"), F.max("rank").alias("last_rank"), F.bool_and("fine").alias("exact_and_ordered")
+    )
+
+
+def t23_quantised_recall(spark, sf) -> DataFrame:
+    """Recall against exact lists over all queries, at the declared sizes, not only on the sample."""
+    items = vectors(utc(spark), sf).select("item_id", "vec")
+    found = index_quality(quantised_index(spark, sf), FlatIndex(items), _queries(spark, sf), INDEX_KS)
+    return found.select(F.col("k").cast("long").alias("k"), (F.col("recall") >= INDEX_RECALL).alias("reached"))
+
+
 def d21_full_probe_recall(spark, sf) -> DataFrame:
     items = vectors(utc(spark), sf).select("item_id", "vec")
     approx = CellIndex(items, CELLS, CELLS).search(_queries(spark, sf), 10)
@@ -356,7 +390,7 @@ QUERIES = {
     for f in (
         d15_vocabulary, d16_log_q, t19_encoded_histories, t20_encoded_events, f5_exact_top_k,
         t22_flat_index, c13_best_match, t21_cell_index, t21_cell_index_all_probes,
-        t23_index_quality, d21_full_probe_recall, t18_user_vectors, t18_learned_vectors,
+        t21_quantised_index, t23_quantised_recall, t23_index_quality, d21_full_probe_recall, t18_user_vectors, t18_learned_vectors,
         t18_model_selection, e8_recent_rank, e10_ann_rank, c8_candidate_union, c12_vector_lookup,
         t24_candidates, t25_user_item_features, t26_ranker_table, t27_labels, c7_joined_attributes,
         d17_last_positions, d18_with_positives, d20_candidate_recall, d22_request_volume,
@@ -448,6 +482,9 @@ ORACLES = {
     "t22_flat_index": f"SELECT query_id, item_id, rank FROM ({_TOP.format(where='', k=25)})",
     "c13_best_match": "SELECT query_id, item_id, round(s, 6) AS score FROM ("
     + _TOP.format(where="WHERE q.label % 2 = 1 AND i.label % 2 = 0", k=1) + ")",
+    "t21_quantised_index": "SELECT vec_id AS query_id, least(50, (SELECT count(*) FROM embeddings)) AS n_items,"
+    " least(50, (SELECT count(*) FROM embeddings)) - 1 AS last_rank, true AS exact_and_ordered FROM embeddings",
+    "t23_quantised_recall": "SELECT k::BIGINT AS k, true AS reached FROM (VALUES (500), (50)) t(k)",
     "t21_cell_index_all_probes": f"SELECT query_id, item_id, rank FROM ({_TOP.format(where='', k=10)})",
     "d21_full_probe_recall": "SELECT 1.0::DOUBLE AS recall FROM embeddings GROUP BY ALL HAVING count(*) > 0",
     "t18_user_vectors": with_(*_C)

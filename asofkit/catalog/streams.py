@@ -20,8 +20,10 @@ from asofkit.plans.features import item_features, user_features
 from asofkit.schema import CHECK_OFFSETS_MS, EVENT_COLUMNS
 from asofkit.session import scratch_path
 from asofkit.sources.messages import decode, encode, read_files
+from asofkit.sources.file_topic import publish_to_file_topic, read_file_topic, stream_file_topic
 from asofkit.streaming.ingest import ingest, start_ingest
 from asofkit.streaming.keyed import KeyedStore
+from asofkit.streaming.progress import IngestListener, publish_counted
 from asofkit.streaming.skew_check import compare_store, differences, moments, report
 from asofkit.streaming.store import OnlineStore
 
@@ -274,6 +276,55 @@ def i11_keyed_user_features(spark, sf) -> DataFrame:
     return keyed_store(spark, sf).user_features(_user_points(spark, sf))
 
 
+def a12_topic_offsets(spark, sf) -> DataFrame:
+    """Events published in two writes and read back: every message once, offsets without gaps, keys in one partition."""
+    path = scratch_path(spark, "topic")
+    events = clicks(spark, sf)
+    odd = F.pmod("ts_ms", F.lit(2)) == 1
+    publish_to_file_topic(events.where(odd), path)
+    publish_to_file_topic(events.where(~odd), path)
+    found = read_file_topic(spark, path)
+    ends = found.groupBy("partition").agg((F.max("offset") + 1 == F.count("*")).alias("dense"))
+    keys = found.groupBy("key").agg(F.count_distinct("partition").alias("places"))
+    per_key = found.groupBy("key").agg(F.count("*").alias("messages"))
+    alone = per_key.join(keys, "key").withColumn("in_one_partition", F.col("places") == 1).drop("places")
+    return alone.crossJoin(F.broadcast(ends.agg(F.bool_and("dense").alias("offsets_dense"))))  # one row
+
+
+def a11_delivery_counts(spark, sf) -> DataFrame:
+    return publish_counted(clicks(spark, sf), scratch_path(spark, "topic"))
+
+
+def i2_topic_to_log(spark, sf) -> DataFrame:
+    """The store fed from a topic in two runs of one query, the second one with what was published in between."""
+    path, offsets = scratch_path(spark, "topic"), scratch_path(spark, "offsets")
+    store = OnlineStore(spark, scratch_path(spark, "store"), WIDE)
+    first, second, third = _ordered_thirds(spark, sf)
+    for part in (first.unionByName(second), third):
+        publish_to_file_topic(decode(part).select(*EVENT_COLUMNS), path)
+        ingest(stream_file_topic(spark, path).select("value"), store, offsets)
+    return store.merged("users")
+
+
+def i18_batch_counts(spark, sf) -> DataFrame:
+    """Rows delivered and rejected and the latest event time per batch, heard by a listener; a third of the messages per batch."""
+    source, offsets = scratch_path(spark, "messages"), scratch_path(spark, "offsets")
+    store = OnlineStore(spark, scratch_path(spark, "store"), WIDE)
+    listener = IngestListener()
+    spark.streams.addListener(listener)
+    try:
+        for length in range(3):
+            part = messages(spark, sf).where(F.length("value") % 3 == length)
+            part.write.mode("append").text(source)
+            query = start_ingest(read_files(spark, source), store, offsets, compact_every=None)
+            query.awaitTermination()
+            listener.wait(str(query.runId))
+    finally:
+        spark.streams.removeListener(listener)
+    listener.check(store.watermark())
+    return listener.rows(spark)
+
+
 def d25_skew_report(spark, sf) -> DataFrame:
     return report(compare_store(filled_store(spark, sf), clicks(spark, sf)))
 
@@ -304,6 +355,7 @@ QUERIES = {
         i1_parse, i2_stream_to_log, i3_rejected_messages, i5_user_retention, i6_item_retention,
         i7_history_tail, i8_watermark, i9_late_data_dedup, i9_late_after_compaction,
         i2_two_writers, i3_replay_new_offsets, i10_compaction, i10_two_compactors,
+        a11_delivery_counts, a12_topic_offsets, i2_topic_to_log, i18_batch_counts,
         i3_keyed_user_events, i4_keyed_sessions, i6_keyed_item_events, i7_keyed_history, i11_keyed_user_features, i11_online_user_features,
         i11_compacted_user_features, i12_online_histories, i13_online_item_features,
         i13_compacted_item_subset, d25_skew_report, d25_compacted_skew_report, t33_parity,
@@ -348,6 +400,15 @@ ORACLES = {
     "i10_compaction": _TAIL,
     "i10_two_compactors": _TAIL,
     "i3_keyed_user_events": _RETAINED,
+    "a11_delivery_counts": with_(EV) + "SELECT count(*) AS sent, count(*) AS delivered, 0::BIGINT AS errors FROM ev",
+    "a12_topic_offsets": with_(EV)
+    + "SELECT user_id::VARCHAR AS key, count(*) AS messages, true AS in_one_partition, true AS offsets_dense FROM ev GROUP BY 1",
+    "i2_topic_to_log": with_(EV) + "SELECT DISTINCT * FROM ev",
+    "i18_batch_counts": with_(EV)
+    + f"""SELECT length(value) % 3 AS batch_id, count(ts_ms) AS delivered, count(*) - count(ts_ms) AS rejected, max(ts_ms) AS watermark_ms
+  FROM (SELECT '{{"ts_ms":' || ts_ms || ',"user_id":' || user_id || ',"item_id":' || item_id || ',"event":"' || event || '","transaction_id":'
+    || coalesce(transaction_id::VARCHAR, 'null') || '}}' AS value, ts_ms FROM ev
+    UNION ALL SELECT value, NULL FROM ({_BAD})) GROUP BY 1""",
     "i4_keyed_sessions": with_(EV, _LAST_SESSION) + "SELECT user_id, last_ts AS last_ms, start_ms FROM ends",
     "i7_keyed_history": _TAIL,
     "i11_keyed_user_features": _USERS,

@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql.streaming import StreamingQuery
 
 from asofkit.sources.messages import decode
+from asofkit.streaming.progress import observed
 from asofkit.streaming.store import OnlineStore
 
 BatchSink = Callable[[DataFrame, int], None]
@@ -29,7 +30,7 @@ def start_ingest(
     nor double counts events. A store's batches are filed under the stream's id, which a checkpoint
     keeps; several workers, and replays with new checkpoints, can share a store. Every
     ``compact_every`` batches of a worker the store is compacted and vacuumed; if two do so at a time, one gives way. ``keep``
-    commits stay for readers that started from them.
+    commits stay for readers that started from them. Each batch's counts are observed, see ``progress``.
     """
     known, ids = Event(), {}
 
@@ -42,7 +43,7 @@ def start_ingest(
 
     write = store_batch if isinstance(sink, OnlineStore) else sink
     writer = (
-        decode(messages)
+        observed(decode(messages))
         .writeStream.foreachBatch(lambda batch, batch_id: write(batch, batch_id))
         .option("checkpointLocation", checkpoint)
     )

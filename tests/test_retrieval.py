@@ -6,6 +6,7 @@ from conftest import as_dicts, bursty_rows, events_of
 from pyspark.sql import functions as F
 
 from asofkit.operators.topk import exact_top_k, super_block_candidates
+from asofkit.plans.vector_index import QuantisedIndex
 from asofkit.plans.evaluation import evaluate, list_recall
 from asofkit.plans.retrieval import (
     CellIndex,
@@ -223,3 +224,29 @@ def test_vectors_ignore_the_future(spark):
     pairs = model.transitions(past, vocab).collect()
     full = events_of(spark, rows).where(F.col("ts_ms") < cut)
     assert sorted(pairs) == sorted(model.transitions(full, vocab).collect())
+
+
+def _clustered(n, dim, centres, spread, seed):
+    rng = np.random.default_rng(seed)
+    middles = rng.normal(size=(centres, dim))
+    m = middles[rng.integers(0, centres, n)] + spread * rng.normal(size=(n, dim))
+    return m / np.linalg.norm(m, axis=1, keepdims=True)
+
+
+def test_quantised_index_reaches_its_recall_with_part_of_the_work(spark):
+    m = _clustered(3000, 16, 40, 0.35, 21)
+    items = spark.createDataFrame([(i, [float(x) for x in v]) for i, v in enumerate(m)], "item_id long, vec array<double>")
+    q = _clustered(3200, 16, 40, 0.35, 21)[3000:]
+    queries = spark.createDataFrame([(i, [float(x) for x in v]) for i, v in enumerate(q)], "query_id long, vec array<double>")
+    index = QuantisedIndex(items.repartition(3))
+    assert len(index.centres) == 55 and index.books.shape == (4, 256, 4)
+    index.calibrate(queries, (500, 50), 0.95)
+    assert index.probes < 40 and index.shortlist is not None
+    quality = {r.k: r.recall for r in index_quality(index, FlatIndex(items), queries, (500, 50)).collect()}
+    assert min(quality.values()) >= 0.95
+    # codes stand for the vectors, and scores are those of the vectors
+    found = index.search(queries.where("query_id < 20"), 10).collect()
+    assert all(abs(r.score - m[r.item_id] @ q[r.query_id]) < 1e-9 for r in found) and len(found) == 200
+    one = QuantisedIndex(items.where("item_id = 5"))
+    one.calibrate(queries, (2,))
+    assert [r.item_id for r in one.search(queries.where("query_id = 0"), 2).collect()] == [5]
