@@ -49,7 +49,7 @@ from asofkit.plans.evaluation import (
 from asofkit.plans.experiments import popularity_window_scores, run_baselines
 from asofkit.plans.requests import choose_requests, first_seen
 from asofkit.plans.split import labelled
-from asofkit.schema import DAY_MS
+from asofkit.schema import DAY_MS, POPULARITY_WINDOWS
 from asofkit.session import scratch_path
 from asofkit.sources.reports import METHOD_COLUMNS, formatted
 
@@ -146,7 +146,7 @@ def f1_popular_top(spark, sf) -> DataFrame:
 
 
 def f2_recent_items(spark, sf) -> DataFrame:
-    return recent_items(purchases(spark, sf), 10)
+    return recent_items(purchases(spark, sf), 50)
 
 
 def t5_time_split(spark, sf) -> DataFrame:
@@ -284,7 +284,7 @@ def t16_evaluate(spark, sf) -> DataFrame:
 
 def t17_popularity_windows(spark, sf) -> DataFrame:
     split = weekly_split(spark, sf)
-    return _rounded(popularity_window_scores(split.train, split.val, (3, 7, 14, None), 20))
+    return _rounded(popularity_window_scores(split.train, split.val, POPULARITY_WINDOWS, 50))
 
 
 def t17_window_rankings(spark, sf) -> DataFrame:
@@ -448,7 +448,7 @@ def _window_recall(days: int) -> str:
     return f"""SELECT {days} AS window_days, round(avg(r), 6) AS recall FROM (
   SELECT user_id, count(l.item_id) / count(*)::DOUBLE AS r FROM vrel LEFT JOIN (
     SELECT item_id FROM (SELECT item_id, sum({WEIGHT}) AS score, max(ts_ms) AS last_ts FROM train WHERE ts_ms >= {since} GROUP BY 1)
-    ORDER BY score DESC, last_ts DESC, item_id LIMIT 20) l USING (item_id) GROUP BY 1)"""
+    ORDER BY score DESC, last_ts DESC, item_id LIMIT 50) l USING (item_id) GROUP BY 1)"""
 
 
 _TOP100 = """(SELECT event, item_id FROM (SELECT event, item_id, row_number() OVER (PARTITION BY event ORDER BY count(*) DESC, item_id) AS r
@@ -489,7 +489,7 @@ ORACLES = {
     "f1_popular_top": with_(ORD, _popular("ev", "pop", 365, 1000)) + "SELECT * FROM pop",
     "f2_recent_items": with_(ORD)
     + """SELECT user_id, item_id, ts_ms, row_number() OVER (PARTITION BY user_id ORDER BY ts_ms DESC, item_id) - 1 AS rank
-  FROM (SELECT user_id, item_id, max(ts_ms) AS ts_ms FROM ev GROUP BY 1, 2) QUALIFY rank < 10""",
+  FROM (SELECT user_id, item_id, max(ts_ms) AS ts_ms FROM ev GROUP BY 1, 2) QUALIFY rank < 50""",
     "t5_time_split": with_(EV, SPLIT)
     + "SELECT ev.*, CASE WHEN ts_ms < val_start THEN 'train' WHEN ts_ms < test_start THEN 'val' ELSE 'test' END AS part FROM ev, b",
     "t6_popularity": with_(EV, SPLIT, _POP, _TARGET_USERS, _TOP20) + "SELECT * FROM top",
@@ -527,7 +527,7 @@ ORACLES = {
     + f"SELECT * FROM ({metrics_sql('recs', 'rel', 'user_id')}),"
     f" ({metrics_sql('newrecs', 'newrel', 'user_id', prefix='new_')}), ({_COUNTS})",
     "t17_popularity_windows": with_(EV, SPLIT, _TVAL_REL)
-    + " UNION ALL ".join(_window_recall(d) for d in (3, 7, 14, 0)),
+    + " UNION ALL ".join(_window_recall(d) for d in (3, 7, 14, 30, 0)),
     "t17_window_rankings": with_(ORD)
     + " UNION ALL ".join(
         f"""SELECT {d} AS window_days, item_id, score, last_ts, rank FROM (SELECT item_id, score, last_ts,

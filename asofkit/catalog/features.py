@@ -42,7 +42,7 @@ from asofkit.plans.features import (
 )
 from asofkit.plans.requests import request_pairs
 from asofkit.plans.retrieval import training_pairs
-from asofkit.schema import HOUR_MS
+from asofkit.schema import HISTORY_LEN, HOUR_MS
 
 PROBE_SHIFT_MS = 17 * 60_000 + 1
 
@@ -113,10 +113,10 @@ def e7_event_index(spark, sf) -> DataFrame:
 
 
 def e11_preceding_rows(spark, sf) -> DataFrame:
-    """Row-positional history of every event: the 3 rows before it."""
+    """Row-positional history of every event: the 50 rows before it."""
     placed = ranked_positions(clicks(spark, sf))
     ends = placed.select("user_id", (F.col("pos") - 1).alias("end"), F.col("pos").alias("target_pos"))
-    return preceding_events(placed, ends, ["target_pos"], 3).select(
+    return preceding_events(placed, ends, ["target_pos"], HISTORY_LEN).select(
         "user_id", "target_pos", "pos", "item_id"
     )
 
@@ -304,7 +304,7 @@ ORACLES = {
     + "SELECT request_id, item_id, ts_ms, back AS pos_from_end FROM hist",
     "e11_preceding_rows": with_(EV, _POS)
     + "SELECT t.user_id, t.pos AS target_pos, h.pos, h.item_id FROM placed t"
-    " JOIN placed h ON h.user_id = t.user_id AND h.pos < t.pos AND h.pos >= t.pos - 3",
+    " JOIN placed h ON h.user_id = t.user_id AND h.pos < t.pos AND h.pos >= t.pos - 50",
     "e12_training_targets": with_(EV, _POS)
     + """SELECT t.user_id, t.pos AS target_pos, t.item_id AS target_item, count(*) AS n,
   CAST(sum(h.item_id) AS BIGINT) AS item_sum FROM placed t

@@ -108,6 +108,20 @@ def t19_encoded_histories(spark, sf) -> DataFrame:
     return lists.select("request_id", text("hist_index"), text("hist_type"))
 
 
+def t19_empty_histories(spark, sf) -> DataFrame:
+    """Keys with and without a history: every request and as many that saw nothing."""
+    vocab = item_vocab(clicks(spark, sf), 55)
+    known = requests(spark, sf)
+    keys = known.frame.select("request_id").unionByName(known.frame.select((-F.col("request_id") - 1).alias("request_id")))
+    lists = encoded_histories(known.history, vocab, "request_id", keys=keys)
+    return lists.select(
+        "request_id",
+        F.size("hist_index").cast("long").alias("length"),
+        F.size(F.filter("hist_type", lambda x: x != 0)).cast("long").alias("events"),
+        F.aggregate("hist_index", F.lit(0).cast("long"), lambda a, x: a + x).alias("index_sum"),
+    )
+
+
 def t20_encoded_events(spark, sf) -> DataFrame:
     events = purchases(spark, sf)
     return encoded(events, item_vocab(events, 25)).select(
@@ -378,6 +392,13 @@ def t32_recommend(spark, sf) -> DataFrame:
     return _recommender(spark, sf).recommend(as_requests(points), 10)
 
 
+def t32_latest(spark, sf) -> DataFrame:
+    """Known and unknown users without a moment: just after the latest event of the recommender's log."""
+    known = weekly_split(spark, sf).events.select("user_id").distinct()
+    everyone = known.unionByName(known.select((-F.col("user_id") - 1).alias("user_id")))
+    return _recommender(spark, sf).recommend(everyone, 10)
+
+
 def t34_methods(spark, sf) -> DataFrame:
     """Six methods on the same requests, with learned vectors and trees."""
     return run_ranking(
@@ -395,7 +416,7 @@ QUERIES = {
         t24_candidates, t25_user_item_features, t26_ranker_table, t27_labels, c7_joined_attributes,
         d17_last_positions, d18_with_positives, d20_candidate_recall, d22_request_volume,
         d26_group_sizes, t29_request_split, f3_rerank, f4_rerank_one_each,
-        t34_fixed_ranker_metrics, t28_ranker, t30_feature_pruning, t32_recommend, t34_methods,
+        t34_fixed_ranker_metrics, t28_ranker, t30_feature_pruning, t32_recommend, t32_latest, t19_empty_histories, t34_methods,
     )
 }
 
@@ -455,9 +476,9 @@ _SERVE_POP = """pop AS (SELECT item_id, row_number() OVER (ORDER BY score DESC,
   FROM past WHERE ts_ms >= (SELECT max(ts_ms) + 1 - 14::BIGINT * 86400000 FROM past) GROUP BY 1))"""
 
 
-def _serve() -> str:
+def _serve(at: str = "test_start") -> str:
     table = [p for p in _table(STANDARD) if p not in _C]
-    return with_(EV, SPLIT, _SERVE_REQ, _SERVE_CAND, *table, _FIXED, _SERVE_POP) + """
+    return with_(EV, SPLIT, _SERVE_REQ.replace("test_start AS as_of_ms", f"{at} AS as_of_ms"), _SERVE_CAND, *table, _FIXED, _SERVE_POP) + """
 SELECT req.user_id, req.as_of_ms, rank::INTEGER AS rank, item_id, round(score, 6) AS score, 'ranked' AS source,
   (SELECT count(*) FROM cand c WHERE c.request_id = fixed.request_id) AS n_candidates
   FROM fixed JOIN req USING (request_id) WHERE rank < 10
@@ -527,4 +548,8 @@ ORACLES = {
     + f"SELECT * FROM ({metrics_sql('lists', 'rrel', 'request_id')}),"
     f" ({metrics_sql('rnewrecs', 'rnewrel', 'request_id', prefix='new_')})",
     "t32_recommend": _serve(),
+    "t32_latest": _serve("(SELECT max(ts_ms) + 1 FROM ev WHERE ts_ms < test_start)"),
+    "t19_empty_histories": with_(*_BASE, _VOCAB.format(n=55))
+    + f"""SELECT request_id, 50::BIGINT AS length, count(*) AS events, sum(coalesce(item_index, 1))::BIGINT AS index_sum
+  FROM hist LEFT JOIN vocab USING (item_id) GROUP BY 1 UNION ALL SELECT -request_id - 1, 50, 0, 0 FROM req""",
 }

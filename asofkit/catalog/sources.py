@@ -135,7 +135,7 @@ def a14_order_check(spark, sf) -> DataFrame:
     lines = utc(spark).read.parquet(f"{sf}/lineitem.parquet")
     lines = lines.withColumn("ts_ms", F.unix_millis(F.col("l_shipdate").cast("timestamp")))
     arrivals = dense_index(lines.select(*_ARRIVAL), _ARRIVAL, "seq")
-    return order_violations(arrivals, "seq", block=10_000).agg(
+    return order_violations(arrivals, "seq").agg(
         F.count_if("before_first").alias("before_first"),
         F.count_if("inversion").alias("inversions"),
     )
@@ -178,7 +178,7 @@ def b6_weights(spark, sf) -> DataFrame:
 
 def b7_active_users(spark, sf) -> DataFrame:
     events = clicks(spark, sf)
-    return active_users(events, time_bounds(events)[1], days=1)
+    return active_users(events, time_bounds(events)[1])
 
 
 def b8_feature_subset(spark, sf) -> DataFrame:
@@ -355,7 +355,7 @@ SELECT count(*) FILTER (WHERE ts < f) AS before_first, count(*) FILTER (WHERE ts
     + "SELECT user_id, sum(CASE event WHEN 'view' THEN 1.0 WHEN 'addtocart' THEN 3.0 ELSE 5.0 END)::DOUBLE AS weight"
     " FROM ev GROUP BY 1",
     "b7_active_users": with_(EV)
-    + f"SELECT DISTINCT user_id FROM ev WHERE ts_ms > (SELECT max(ts_ms) FROM ev) - {DAY_MS}",
+    + f"SELECT DISTINCT user_id FROM ev WHERE ts_ms > (SELECT max(ts_ms) FROM ev) - {7 * DAY_MS}",
     "b8_feature_subset": with_(EV, IPTS, item_features_sql("ipts", STANDARD.only_items(["item_views_24h"])))
     + "SELECT ipts.item_id, ipts.as_of_ms, item_views_24h FROM ipts JOIN itf USING (item_id, as_of_ms)",
     "g1_train_and_val": with_(EV, SPLIT) + "SELECT * FROM train UNION ALL SELECT * FROM val",

@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from asofkit.functions.columns import rank_discount
 from asofkit.schema import EVAL_KS, SEEN_HEADROOM
+from asofkit.session import checkpointed
 
 
 class Recommender(Protocol):
@@ -130,19 +131,26 @@ def per_user_metrics(
 
 
 def score(
-    recs: DataFrame, eval_set: EvalSet, ks: Sequence[int] = EVAL_KS, prefix: str = ""
+    recs: DataFrame, eval_set: EvalSet, ks: Sequence[int] = EVAL_KS, prefix: str = "", complete: bool = False
 ) -> DataFrame:
-    """Mean metrics over all keys of the eval set, in one row (null for an empty set)."""
+    """Mean metrics over all keys of the eval set, in one row (null for an empty set).
+
+    A key without rows has an empty list and scores 0, unless ``complete`` asks for one list per key.
+    """
+    if complete:
+        check_complete(recs, eval_set)
     per_key = per_user_metrics(recs, eval_set, ks)
     names = [c for c in per_key.columns if c != eval_set.key]
     return per_key.agg(*[F.avg(c).alias(prefix + c) for c in names])
 
 
 def check_complete(recs: DataFrame, eval_set: EvalSet) -> None:
-    """Every scored key must have been asked for a list, and no other key."""
-    asked = recs.select(eval_set.key).distinct()
-    if not asked.join(eval_set.users, eval_set.key, "left_anti").isEmpty():
-        raise ValueError("recommendations for keys outside the eval set")
+    """Every key of the eval set has a list, and no other key has one."""
+    listed = recs.select(eval_set.key).distinct().withColumn("_listed", F.lit(1))
+    both = eval_set.users.select(eval_set.key).withColumn("_asked", F.lit(1)).join(listed, eval_set.key, "full")
+    missing, surplus = both.agg(F.count_if(F.col("_listed").isNull()), F.count_if(F.col("_asked").isNull())).first()
+    if missing or surplus:
+        raise ValueError(f"need one list per key of the eval set: {missing} are missing, {surplus} are of other keys")
 
 
 def score_with_novel(
@@ -168,7 +176,8 @@ def evaluate(
     if fit:
         model.fit(history)
     eval_set = build_eval_set(history, target)
-    recs = model.recommend(eval_set.users, max(ks) + headroom)
+    recs = checkpointed(model.recommend(eval_set.users, max(ks) + headroom))
+    check_complete(recs, eval_set)
     parts = score_with_novel(recs, eval_set, ks).unionByName(
         eval_counts(history, target), allowMissingColumns=True
     )

@@ -24,6 +24,13 @@ def as_requests(users: DataFrame) -> DataFrame:
     ).select("request_id", "user_id", "as_of_ms")
 
 
+def latest_requests(users: DataFrame, watermark_ms: int | None) -> DataFrame:
+    """(request_id, user_id, as_of_ms) one millisecond after the latest event: everything seen so far counts."""
+    if watermark_ms is None:
+        raise ValueError("no events yet: nothing to recommend from")
+    return as_requests(users.select("user_id").withColumn("as_of_ms", F.lit(watermark_ms + 1).cast("long")))
+
+
 class BatchRecommender:
     """Ranked lists from history, candidates, features and the ranker; popular items otherwise.
 
@@ -66,7 +73,12 @@ class BatchRecommender:
         return frame, history
 
     def recommend(self, requests: DataFrame, k: int = 10) -> DataFrame:
-        """(user_id, as_of_ms, rank, item_id, score, source, n_candidates)."""
+        """(user_id, as_of_ms, rank, item_id, score, source, n_candidates).
+
+        ``requests`` without moments, (user_id) alone, are asked just after the latest event.
+        """
+        if "as_of_ms" not in requests.columns:
+            requests = latest_requests(requests, self.user_events.agg(F.max("ts_ms")).first()[0])
         frame, history = self.inputs(requests)
         frame = checkpointed(frame)
         sizes = frame.groupBy("request_id").agg(F.count("*").alias("n_candidates"))

@@ -63,16 +63,22 @@ def encoded(rows: DataFrame, vocab: DataFrame) -> DataFrame:
 
 
 def encoded_histories(
-    history: DataFrame, vocab: DataFrame, key: str, length: int = HISTORY_LEN
+    history: DataFrame, vocab: DataFrame, key: str, length: int = HISTORY_LEN, keys: DataFrame | None = None
 ) -> DataFrame:
-    """Right-aligned, zero-padded index arrays per ``key`` from long history rows."""
+    """Right-aligned, zero-padded index arrays per ``key`` from long history rows.
+
+    ``keys`` of which some have no history get rows of padding alone.
+    """
     ordered = F.array_sort(F.collect_list(F.struct("pos", "item_index", "type_index")))
     packed = encoded(history, vocab).groupBy(key).agg(ordered.alias("h"))
+    if keys is not None:
+        packed = keys.select(key).distinct().join(packed, key, "left")
 
     def padded(field: str):
         values = F.col(f"h.{field}").cast("array<bigint>")
-        padding = F.array_repeat(F.lit(PAD_INDEX).cast("long"), F.lit(length) - F.size("h"))
-        return F.concat(padding, values)
+        known = F.coalesce(F.size("h"), F.lit(0))
+        padding = F.array_repeat(F.lit(PAD_INDEX).cast("long"), F.lit(length) - F.when(known < 0, 0).otherwise(known))
+        return F.concat(padding, F.coalesce(values, F.array().cast("array<bigint>")))
 
     return packed.select(
         key, padded("item_index").alias("hist_index"), padded("type_index").alias("hist_type")

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from asofkit.functions.columns import checked_event
 from asofkit.schema import EVENT_COLUMNS, EVENT_SCHEMA, RAW_CSV_SCHEMA, RAW_TO_CANONICAL
+from asofkit.session import checkpointed
 from asofkit.sources.paths import path_exists
 
 
@@ -71,18 +72,18 @@ def first_n(events: DataFrame, n: int) -> DataFrame:
     return events.orderBy(*canonical_order()).limit(n)
 
 
-def order_violations(arrivals: DataFrame, sequence: str, block: int = 1_000_000) -> DataFrame:
+def order_violations(arrivals: DataFrame, sequence: str) -> DataFrame:
     """Rows older than the first row of the stream or than their predecessor in ``sequence``.
 
-    The predecessor is looked up inside blocks of the sequence number; each block also receives the
-    last row of the block with rows before it, however far back, so gaps hide nothing and no single
-    task orders the whole stream.
+    The stream is range-sorted once, so blocks are equal shares of its rows however the numbers are spread; each block also
+    receives the last row of the one before. Only one row per block meets in one task.
     """
-    rows = arrivals.select(sequence, "ts_ms", F.floor(F.col(sequence) / F.lit(block)).cast("long").alias("_block"))
-    lasts = rows.groupBy("_block").agg(F.max_by("ts_ms", sequence).alias("_ts"))  # one row per block
+    placed = arrivals.select(sequence, "ts_ms").repartitionByRange(sequence)
+    rows = checkpointed(placed.withColumn("_block", F.spark_partition_id()))
+    lasts = rows.groupBy("_block").agg(F.max_by("ts_ms", sequence).alias("_ts"))  # one row per sort partition
     carried = lasts.select("_block", F.lag("_ts").over(Window.orderBy("_block")).alias("_carried"))
     w = Window.partitionBy("_block").orderBy(sequence)
-    first_ts = arrivals.agg(F.min_by("ts_ms", sequence)).first()[0]
+    first_ts = rows.agg(F.min_by("ts_ms", sequence)).first()[0]
     return (
         rows.join(carried, "_block")
         .withColumn("prev_ts", F.coalesce(F.lag("ts_ms").over(w), F.col("_carried")))

@@ -96,8 +96,12 @@ def test_users_without_hits_count_as_zero(spark):
     eval_set = build_eval_set(history, target)
     m = score(Prepared(spark, {52: [1, 9]}).lists, eval_set, (10,)).first()
     assert m.recall_at_10 == pytest.approx(1 / 6) and m.mrr_at_10 == pytest.approx(1 / 4)
-    with pytest.raises(ValueError):
-        check_complete(Prepared(spark, {53: [7]}).lists, eval_set)
+    for lists, problem in (({51: [1], 52: [1], 53: [7]}, "1 are of other keys"), ({52: [1, 9]}, "1 are missing")):
+        with pytest.raises(ValueError, match=problem):
+            check_complete(Prepared(spark, lists).lists, eval_set)
+    with pytest.raises(ValueError, match="are missing"):
+        score(Prepared(spark, {52: [1, 9]}).lists, eval_set, (10,), complete=True)
+    check_complete(Prepared(spark, {51: [1], 52: [1]}).lists, eval_set)
 
 
 def test_novel_metrics_leave_out_seen_items(spark):

@@ -105,7 +105,7 @@ def test_order_check(spark):
     assert_ordered(arrivals([1, 1, 2, 5]), "seq")
     with pytest.raises(ValueError):
         assert_ordered(arrivals([1, 3, 2]), "seq")
-    found = as_dicts(order_violations(arrivals([2, 1, 5, 4, 4, 3, 9]), "seq", block=2))
+    found = as_dicts(order_violations(arrivals([2, 1, 5, 4, 4, 3, 9]), "seq"))
     assert sorted(r["seq"] for r in found if r["inversion"]) == [1, 3, 5]
     assert sorted(r["seq"] for r in found if r["before_first"]) == [1]
 
@@ -162,7 +162,7 @@ def test_open_logs_do_not_meet(spark, tmp_path):
 
 def test_order_is_checked_across_gaps(spark):
     rows = spark.createDataFrame([(5, 10), (57, 3), (58, 12)], "seq long, ts_ms long")
-    found = as_dicts(order_violations(rows, "seq", block=10))
+    found = as_dicts(order_violations(rows, "seq"))
     assert [(r["seq"], r["inversion"]) for r in found] == [(57, True)]
 
 
