@@ -33,8 +33,27 @@ def hot_keys(df: DataFrame, key: str, hot_rows: int) -> DataFrame | None:
     One column is read and pre-aggregated before its shuffle. At most ``rows / hot_rows`` values
     can be hot, so the result is small by construction.
     """
-    heavy = df.groupBy(key).count().where(F.col("count") > hot_rows).select(key)
-    return None if heavy.isEmpty() else checkpointed(heavy)
+    return hot_keys_of(df, (key,), hot_rows)[key]
+
+
+def hot_keys_of(df: DataFrame, keys: Sequence[str], hot_rows: int) -> dict[str, DataFrame | None]:
+    """``hot_keys`` of several columns in one pass and one job; the columns are of one type."""
+    each = F.explode(F.array(*(F.struct(F.lit(n).alias("_of"), F.col(k).alias("_key")) for n, k in enumerate(keys))))
+    counted = df.select(each.alias("_x")).groupBy("_x._of", "_x._key").count() if len(keys) > 1 else (
+        df.groupBy(F.col(keys[0]).alias("_key")).count().withColumn("_of", F.lit(0))
+    )
+    heavy = counted.where(F.col("count") > hot_rows).select("_of", "_key")
+    found = heavy.limit(MAX_BROADCAST_KEYS + 1).collect()  # at most rows / hot_rows values
+    if len(found) > MAX_BROADCAST_KEYS:
+        heavy = checkpointed(heavy)
+        parts = [heavy.where(F.col("_of") == n).select(F.col("_key").alias(k)) for n, k in enumerate(keys)]
+        return dict(zip(keys, parts, strict=True))
+    out: dict[str, DataFrame | None] = {}
+    for n, key in enumerate(keys):
+        own = [(r["_key"],) for r in found if r["_of"] == n]
+        schema = f"{key} {df.schema[key].dataType.simpleString()}"
+        out[key] = df.sparkSession.createDataFrame(own, schema) if own else None
+    return out
 
 
 def split_hot(df: DataFrame, key: str, hot: Hot = HOT_ROWS) -> tuple[DataFrame, DataFrame | None]:

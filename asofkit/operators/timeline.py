@@ -74,18 +74,57 @@ def _counts_by_key(rows: DataFrame, key: str, windows: Sequence[WindowCount]) ->
 
 
 def _counts_by_bucket(rows: DataFrame, key: str, windows: Sequence[WindowCount]) -> DataFrame:
-    """Buckets as long as the longest window, each with a copy of the previous bucket's events."""
+    """Counts of hot keys; whatever the windows, a task holds the milliseconds of ``SCAN_BUCKET_MS`` at most.
+
+    Windows up to that length are counted in buckets that carry a copy of the bucket before. Longer ones are
+    differences of two prefix sums, which are looked up where they lie.
+    """
     measures = _measures(windows)
     points = to_points(rows.withColumns(measures), [key], list(measures))
-    bucket_ms = max(w.window_ms for w in windows)
-    timeline = Window.partitionBy(key, "_bucket").orderBy("ts_ms")
-    counted = (
-        with_overlap(points, bucket_ms, "_n_any")
-        .select(key, "ts_ms", "_own", *_count_columns(windows, timeline))
-        .where("_own")
-        .drop("_own")
+    short = [w for w in windows if w.window_ms <= SCAN_BUCKET_MS]
+    counted = points.select(key, "ts_ms")
+    if short:
+        timeline = Window.partitionBy(key, "_bucket").orderBy("ts_ms")
+        counted = (
+            with_overlap(points, max(w.window_ms for w in short), "_n_any")
+            .select(key, "ts_ms", "_own", *_count_columns(short, timeline))
+            .where("_own")
+            .drop("_own")
+        )
+    if len(short) < len(windows):
+        longer = _counts_by_prefix(points, key, [w for w in windows if w not in short])
+        counted = counted.join(longer, [key, "ts_ms"])
+    return rows.join(counted.select(key, "ts_ms", *(w.name for w in windows)), [key, "ts_ms"])
+
+
+def _counts_by_prefix(points: DataFrame, key: str, windows: Sequence[WindowCount]) -> DataFrame:
+    """(key, ts_ms) with one count per window, from two-level prefix sums.
+
+    Each point asks for the sums before its own time and before the start of every window. Questions are answered in
+    the time bucket they fall into: the sum of the bucket's earlier points plus that of all earlier buckets, of which one row per
+    (key, bucket) is added up.
+    """
+    lengths = sorted({w.window_ms for w in windows})
+    names = sorted({_measure(w.event) for w in windows})
+    asked = points.select(
+        key, F.col("ts_ms").alias("_of"), *names, F.explode(F.array(*(F.lit(x).cast("long") for x in (0, *lengths)))).alias("_back")
+    ).withColumn("_at", F.col("_of") - F.col("_back"))
+    own = F.col("_back") == 0
+    asked = asked.withColumns({n: F.when(own, F.col(n)).otherwise(0) for n in names})
+    asked = asked.withColumn("_bucket", F.floor(F.col("_at") / F.lit(SCAN_BUCKET_MS)).cast("long"))
+    inside = Window.partitionBy(key, "_bucket").orderBy("_at").rangeBetween(Window.unboundedPreceding, -1)
+    local = asked.select(key, "_bucket", "_of", "_back", *(F.coalesce(F.sum(n).over(inside), F.lit(0)).alias(n) for n in names))
+    earlier = Window.partitionBy(key).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
+    totals = asked.groupBy(key, "_bucket").agg(*(F.sum(n).alias(n) for n in names))
+    carried = totals.select(key, "_bucket", *(F.coalesce(F.sum(n).over(earlier), F.lit(0)).alias(f"_before{n}") for n in names))
+    sums = local.join(carried, [key, "_bucket"]).select(key, "_of", "_back", *((F.col(n) + F.col(f"_before{n}")).alias(n) for n in names))
+
+    def before(measure: str, back: int) -> Column:
+        return F.max(F.when(F.col("_back") == back, F.col(measure)))
+
+    return sums.groupBy(key, F.col("_of").alias("ts_ms")).agg(
+        *((before(_measure(w.event), 0) - before(_measure(w.event), w.window_ms)).alias(w.name) for w in windows)
     )
-    return rows.join(counted, [key, "ts_ms"])
 
 
 def session_state(rows: DataFrame, gap_ms: int, hot: Hot = HOT_ROWS) -> DataFrame:

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from asofkit.definitions import STANDARD, FeatureSet
 from asofkit.functions.columns import event_date
 from asofkit.operators.order import dense_index
-from asofkit.operators.skew import HOT_ROWS, hot_keys
+from asofkit.operators.skew import HOT_ROWS, hot_keys, hot_keys_of
 from asofkit.operators.timeline import (
     parallel_lists,
     preceding_arrays,
@@ -17,6 +17,10 @@ from asofkit.operators.timeline import (
     window_counts,
 )
 from asofkit.schema import EVENT_COLUMNS, HISTORY_LEN
+from asofkit.session import checkpointed
+
+
+EVENT_KEYS = ("user_id", "item_id")
 
 
 def backfill(
@@ -24,12 +28,10 @@ def backfill(
 ) -> DataFrame:
     """Every event with its user and item features as of its own time, and its UTC ``date``.
 
-    The events are their own probes: one exchange by user, one by item, no join.
+    The events are their own probes: one exchange by user, one by item, no join. Hot users and items are counted in one
+    pass over their two columns.
     """
-    busy = {
-        key: None if hot_rows is None else hot_keys(events, key, hot_rows)
-        for key in ("user_id", "item_id")
-    }
+    busy = {"user_id": None, "item_id": None} if hot_rows is None else hot_keys_of(events, EVENT_KEYS, hot_rows)
     with_users = user_state(events, features, busy["user_id"])
     counted = window_counts(with_users, "item_id", features.item_windows, busy["item_id"])
     return counted.withColumn("date", event_date(F.col("ts_ms")))
@@ -47,15 +49,17 @@ def _with_probes(
     """Events that can matter to a probe, plus one event-less row per probe.
 
     Only the probed entities' events before the last probe are read, and with ``reach_ms`` only those
-    at most that long before the first one; the bounds are literals, so they reach the scan.
+    at most that long before the first one; the bounds are literals, so they reach the scan. The rows are written once, as
+    they are counted per key before they are used.
     """
+    probes = checkpointed(probes)
     first, last = probes.agg(F.min("ts_ms"), F.max("ts_ms")).first()
     ts = F.col("ts_ms")
     inside = events.select(*EVENT_COLUMNS).where(ts < last if last is not None else F.lit(False))
     if reach_ms is not None and first is not None:
         inside = inside.where(ts >= first - reach_ms)
     asked = inside.join(probes.select(entity).distinct(), entity, "left_semi").select(*EVENT_COLUMNS)
-    return asked.unionByName(probes, allowMissingColumns=True)
+    return checkpointed(asked.unionByName(probes, allowMissingColumns=True))
 
 
 def _distinct_probes(queries: DataFrame, entity: str) -> DataFrame:

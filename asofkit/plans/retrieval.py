@@ -379,7 +379,8 @@ class Retriever:
     def request_vectors(self, history: DataFrame) -> DataFrame:
         return self.model.user_vectors(history, "request_id")
 
-    def nearest(self, user_vecs: DataFrame, k: int = ANN_K) -> DataFrame:
+    def nearest(self, user_vecs: DataFrame, k: int = ANN_K, scores: bool = False) -> DataFrame:
+        """(request_id, item_id, ann_rank), and ``ann_score`` if asked for."""
         queries = user_vecs.withColumnRenamed("request_id", "query_id")
         return (
             self.index.search(queries, k)
@@ -388,6 +389,7 @@ class Retriever:
                 F.col("query_id").alias("request_id"),
                 "item_id",
                 F.col("rank").cast("int").alias("ann_rank"),
+                *([F.col("score").alias("ann_score")] if scores else []),
             )
         )
 
@@ -396,10 +398,12 @@ class Retriever:
     ) -> DataFrame:
         """(request_id, item_id, ann_rank, recent_rank, ann_score) from long history rows."""
         user_vecs = checkpointed(self.request_vectors(history))
-        merged = merge_candidates(self.nearest(user_vecs, k), recent_candidates(history, n_recent))
-        return with_pair_scores(merged, user_vecs, self.model.targets).select(
-            "request_id", "item_id", "ann_rank", "recent_rank", "ann_score"
-        )
+        merged = merge_candidates(self.nearest(user_vecs, k, scores=True), recent_candidates(history, n_recent))
+        merged = checkpointed(merged.select("request_id", "item_id", "ann_rank", "recent_rank", "ann_score"))
+        # the search has scored what it found; only recent items beyond it, few per request, need their vectors
+        others = merged.where(F.col("ann_rank").isNull()).drop("ann_score")
+        scored = with_pair_scores(others, user_vecs, self.model.targets).select(merged.columns)
+        return merged.where(F.col("ann_rank").isNotNull()).unionByName(scored)
 
 
 def histories_at(events: DataFrame, queries: DataFrame) -> DataFrame:

@@ -12,10 +12,10 @@ from conftest import (
 )
 from pyspark.sql import functions as F
 
-from asofkit.definitions import ITEM_FEATURES, STANDARD, USER_FEATURES
+from asofkit.definitions import ITEM_FEATURES, STANDARD, USER_FEATURES, WindowCount
 from asofkit.operators.order import dense_index
 from asofkit.operators.skew import scan_before, split_hot
-from asofkit.operators.timeline import preceding_events, ranked_positions
+from asofkit.operators.timeline import preceding_events, ranked_positions, window_counts
 from asofkit.plans.features import (
     backfill,
     item_features,
@@ -23,7 +23,7 @@ from asofkit.plans.features import (
     user_histories,
     with_event_index,
 )
-from asofkit.schema import SESSION_GAP_MS
+from asofkit.schema import DAY_MS, SESSION_GAP_MS
 
 HOT = [None, 1_000_000, 25]  # no check, check without hot keys, most keys hot
 
@@ -217,3 +217,25 @@ def test_preceding_rows_stay_with_the_user(spark):
         if at - 3 <= p < at
     }
     assert {(r["user_id"], r["at"], r["pos"]): r["item_id"] for r in found} == want
+
+
+def test_windows_longer_than_a_bucket_on_hot_keys(spark):
+    """A year of events and windows up to a year: both paths agree, and no window group is longer than a day."""
+    rng = random.Random(12)
+    rows = sorted({(rng.randrange(400) * DAY_MS // 3 + rng.choice((0, 1, 5)), u, 3, rng.choice(("view", "addtocart")), None) for u in (1, 1, 1, 2) for _ in range(220)})
+    windows = [
+        WindowCount("h", 60 * MINUTE), WindowCount("d", DAY_MS, "view"), WindowCount("m", 30 * DAY_MS), WindowCount("y", 365 * DAY_MS, "addtocart"),
+    ]
+    events = events_of(spark, rows)
+    probes = spark.createDataFrame([(u, t * DAY_MS) for u in (1, 2, 9) for t in (0, 31, 133, 134, 500)], "user_id long, ts_ms long")
+    both = events.unionByName(probes, allowMissingColumns=True)
+
+    def counts(chosen, hot):
+        found = window_counts(both, "user_id", chosen, hot)
+        return sorted(map(str, found.select(*sorted(found.columns)).collect()))
+
+    plain = counts(windows, None)
+    assert plain == counts(windows, 25) and len(plain) == len(rows) + 15
+    assert counts(windows[2:], 25) == counts(windows[2:], None)
+    plan = window_counts(both, "user_id", windows, 25)._jdf.queryExecution().analyzed().toString()
+    assert "_bucket" in plan and str(365 * DAY_MS) in plan
