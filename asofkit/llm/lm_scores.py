@@ -1,20 +1,18 @@
-"""Language-model scores from a log-frequency Bloom filter, and an exact unigram base beside them.
+"""Language-model scores from a log-frequency Bloom filter of word n-grams, and an exact unigram base beside them.
 
-The filter holds, for every character-class n-gram of the training words, one key per step of its quantised
-log2 count. Workers read a count back by probing step after step until one is missing. For each history the
-counts of all continuations are probed and smoothed with the shorter history, so probabilities sum to one;
-the table of all histories has a fixed size and is filled once per worker. This spells any word. A token's
-probability mixes its relative frequency with its spelling; the spelling's weight is the share of training
-tokens that occur once, the usual estimate of what is new.
+Tokens are words and ends; the model knows every 1-, 2- and 3-gram of the training texts. Single tokens are counted
+exactly, as the base needs it. For longer n-grams a filter holds one key per step of the quantised log2 count, and a count is
+read back by probing step after step until one is missing. A token's probability mixes its relative frequency after two,
+one and no words before it; a history that occurred ``c`` times has the weight ``c / (c + 1)`` against the shorter one.
 
-Exact token counts are needed for that and for the base. Documents are folded into blocks with one entry per
-distinct word; the blocks' words, not the documents', are joined with the counts.
+The filter grows with the corpus, so it is not broadcast but dealt in shards by key. Documents are folded into blocks; a
+block sends each shard its distinct n-grams once, with how often its training documents use them, the shard builds its
+part of the filter from all of them and probes it for each block, and the answers come back to the blocks, which have
+stayed where they are. Keys of 48 bits and counts travel compressed, about three bytes for a distinct n-gram of a block.
 """
 
 from __future__ import annotations
 
-import uuid
-from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -23,280 +21,293 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from asofkit.llm import ngrams
+from asofkit.llm.blocks import bucketed, squeezed, squeezed_keys, unsqueezed, unsqueezed_keys
 from asofkit.llm.common import byte_words, materialised
+from asofkit.llm.near_dedup import mixed
+from asofkit.llm.vectors import fresh
 
 FOLD = 5
 HELD_OUT = 1
+ORDER = 3
 BLOCK_BYTES = 8 << 20
-KEY_BITS = 12
+SHARD_ENTRIES = 2_000_000  # n-grams of blocks per shard, on average at most
+KEY_BITS = 12  # bits of the filter per key
 HASHES = 8
-SMOOTHING = 4.0
-END = -1  # the end token's entry; words hash to 63 bits
+START = np.uint64(0x243F6A8885A308D3)  # stands before the first token
+BLOCK = (
+    "block long, doc_id array<bigint>, held array<boolean>, n_tokens array<bigint>, places binary, words binary,"
+    " tokens long, train_tokens long, train_docs long"
+)
+ENTRY = "shard int, block long, size int, n int, keys binary, uses binary"
+ANSWER = "shard int, block long, size int, n long, answer binary"
+RESULT = "doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, score double"
 
 
 def held_out() -> Column:
     return F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % FOLD == HELD_OUT, F.lit(False))
 
 
-def spelled_grams(words: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(n-gram codes, word of each, code points) of the words, each between edges; one n-gram ends each word."""
-    text = b"\n".join([*words, b""]).decode("utf-8", "surrogatepass")
-    found = ngrams.points(text)
-    ends = np.flatnonzero(found == 10)
-    s = ngrams.TABLE[found].astype(np.int32)
-    s[ends] = ngrams.EDGE
-    word = np.zeros(len(s), np.int64)
-    word[ends[:-1] + 1] = 1
-    word = np.cumsum(word)
-    depth = np.arange(len(s)) - np.concatenate([[0], ends[:-1] + 1])[word]
-    code = s.copy()
-    for k in range(1, ngrams.ORDER):
-        before = np.full(len(s), ngrams.EDGE, np.int32)
-        before[k:] = np.where(depth[k:] >= k, s[:-k], ngrams.EDGE)
-        code += before * ngrams.CLASSES**k
-    return code, word, found
+def names(schema: str) -> list[str]:
+    return [c.split()[0] for c in schema.split(", ")]
 
 
-def steps(counts: np.ndarray) -> np.ndarray:
-    """Quantised counts: 1 + floor(log2(count))."""
-    return np.frexp(counts.astype(np.float64))[1]
+def folded(documents: DataFrame) -> DataFrame:
+    """Blocks of about ``BLOCK_BYTES`` of text: the hashes of their distinct tokens and the places of all tokens among them."""
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ids, held, sizes, flat, size = [], [], [], [], 0
+        for batch in batches:
+            keys, flags = (batch.column(c).to_pylist() for c in (0, 1))
+            for key, flag, words in zip(keys, flags, byte_words(batch.column(2)), strict=True):
+                ids.append(key)
+                held.append(flag)
+                sizes.append(len(words) + 1)
+                flat += words
+                flat.append(b"")  # the end; no word is empty
+                size += sum(map(len, words)) + len(words)
+                if size >= BLOCK_BYTES:
+                    yield block(ids, held, sizes, flat)
+                    ids, held, sizes, flat, size = [], [], [], [], 0
+        if ids:
+            yield block(ids, held, sizes, flat)
+
+    def block(ids: list, held: list, sizes: list, flat: list) -> pa.RecordBatch:
+        coded = pa.array(flat, pa.large_binary()).dictionary_encode()
+        words = np.fromiter(map(xxhash.xxh3_64_intdigest, coded.dictionary.to_pylist()), np.uint64, len(coded.dictionary))
+        trained = [n for n, h in zip(sizes, held, strict=True) if not h]
+        columns = [
+            pa.array([fresh()]),
+            pa.array([ids], pa.list_(pa.int64())),
+            pa.array([held], pa.list_(pa.bool_())),
+            pa.array([sizes], pa.list_(pa.int64())),
+            pa.array([squeezed(coded.indices.to_numpy())], pa.binary()),
+            pa.array([words.tobytes()], pa.binary()),
+            *(pa.array([n], pa.int64()) for n in (sum(sizes), sum(trained), len(trained))),
+        ]
+        return pa.RecordBatch.from_arrays(columns, names(BLOCK))
 
-def bit_places(codes: np.ndarray, order: int, step: int, bits: int) -> np.ndarray:
-    """The filter's bits of the keys (order, code, step), one row per hash; double hashing of a 64-bit mix."""
-    h = (codes.astype(np.uint64) + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15) + np.uint64(order * 64 + step)
-    for shift, factor in ((30, 0xBF58476D1CE4E5B9), (27, 0x94D049BB133111EB)):
-        h = (h ^ (h >> np.uint64(shift))) * np.uint64(factor)
-    h ^= h >> np.uint64(31)
-    a, b = h & np.uint64(0xFFFFFFFF), (h >> np.uint64(32)) | np.uint64(1)
-    return (a + np.arange(HASHES, dtype=np.uint64)[:, None] * b) % np.uint64(bits)
+    slim = documents.select(F.col("doc_id").cast("long"), held_out().alias("held"), "text")
+    return bucketed(slim.mapInArrow(run, BLOCK), "block")
 
 
-def pieces(codes: np.ndarray) -> list[np.ndarray]:
-    """Parts small enough for the places of their keys to stay within a few megabytes."""
-    return np.array_split(codes, max(1, len(codes) // 50_000))
+def before(values: np.ndarray, starts: np.ndarray, first) -> np.ndarray:
+    """The value one place earlier; ``first`` where a text starts."""
+    out = np.empty_like(values)
+    out[1:] = values[:-1]
+    out[starts] = first
+    return out
 
 
-def build_filter(counts: DataFrame) -> np.ndarray:
-    """The filter of (grams, code, n) rows, at most ``sum(CLASSES ** k)`` of them; partitions set bits, Spark merges words."""
-    keys = counts.agg(F.sum(F.floor(F.log2("n")) + 1).alias("k")).first().k or 0
-    bits = 64 * max(1024, -(-int(keys) * KEY_BITS // 64))
+def gram_keys(tokens: np.ndarray, starts: np.ndarray) -> list[np.ndarray]:
+    """Keys of the n-gram that ends at each token, per order: the token's hash, then 48 bits for longer ones."""
+    one = before(tokens, starts, START)
+    two = before(one, starts, START)
+    pairs = mixed(one * np.uint64(0x9E3779B97F4A7C15) + tokens)
+    triples = mixed(mixed(two * np.uint64(0xC2B2AE3D27D4EB4F) + one) * np.uint64(0x9E3779B97F4A7C15) + tokens)
+    return [mixed(tokens), pairs >> np.uint64(16), mixed(triples) >> np.uint64(16)]
 
-    def fill(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        field = np.zeros(bits, bool)
-        for batch in batches:
-            order, codes, n = (c.to_numpy(zero_copy_only=False) for c in batch.columns)
-            last = steps(n)
-            for k in np.unique(order):
-                for step in range(1, int(last[order == k].max()) + 1):
-                    for part in pieces(codes[(order == k) & (last >= step)]):
-                        field[bit_places(part, int(k), step, bits).ravel()] = True
-        words = np.packbits(field, bitorder="little").view(np.int64)
-        used = np.flatnonzero(words)
-        yield pa.RecordBatch.from_arrays([pa.array(used), pa.array(words[used])], ["word", "value"])
-
-    merged = counts.select("grams", "code", "n").mapInArrow(fill, "word long, value long")
-    merged = merged.groupBy("word").agg(F.bit_or("value").alias("value")).toPandas()
-    words = np.zeros(bits // 64, np.int64)
-    words[merged["word"].to_numpy()] = merged["value"].to_numpy()
-    return words
-
-
-def probed_counts(words: np.ndarray, order: int) -> np.ndarray:
-    """The count of every n-gram of that order as the filter tells it: the middle of the last step found, else 0."""
-    bits = len(words) * 64
-    field = np.unpackbits(words.view(np.uint8), bitorder="little").astype(bool)
-    left, found = np.arange(ngrams.CLASSES**order), np.zeros(ngrams.CLASSES**order)
-    for step in range(1, 64):
-        there = [field[bit_places(part, order, step, bits)].all(axis=0) for part in pieces(left)]
-        left = left[np.concatenate(there)]
-        if not len(left):
-            break
-        found[left] = 1.0 if step == 1 else 0.75 * 2.0**step
-    return found
-
-
-def log_probabilities(words: np.ndarray) -> np.ndarray:
-    """log10 P(class | the classes before) for every n-gram of the full order."""
-    p = np.full(ngrams.CLASSES, 1 / ngrams.CLASSES)
-    for order in range(1, ngrams.ORDER + 1):
-        n = probed_counts(words, order).reshape(-1, ngrams.CLASSES)
-        lower = np.tile(p.reshape(-1, ngrams.CLASSES), (len(n) // (len(p) // ngrams.CLASSES), 1))
-        p = ((n + SMOOTHING * lower) / (n.sum(axis=1, keepdims=True) + SMOOTHING)).ravel()
-    return np.log10(p).astype(np.float32)
-
-
-def letters(n: np.ndarray) -> np.ndarray:
-    """log10 P(character | its class) of every code point, from the counts of code points; a-z are their classes."""
-    size = np.bincount(ngrams.TABLE, minlength=ngrams.CLASSES)
-    per_class = np.bincount(ngrams.TABLE, n, minlength=ngrams.CLASSES)
-    p = (n + 0.5) / (per_class + 0.5 * size)[ngrams.TABLE]
-    p[97:123] = p[10] = 1.0
-    return np.log10(p).astype(np.float32)
-
-
-def counted(training: DataFrame) -> DataFrame:
-    """(grams, code, n) of the full order, and (0, code point, n); the end of a text counts as an empty word."""
-
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total, characters = np.zeros(ngrams.UNIVERSE), np.zeros(0x110000)
-        for batch in batches:
-            for start in range(0, batch.num_rows, 1024):
-                rows = batch.slice(start, 1024)
-                words = Counter({b"": rows.num_rows})
-                for own in byte_words(rows.column(0)):
-                    words.update(own)
-                code, word, found = spelled_grams(list(words))
-                weight = np.fromiter(words.values(), np.float64, len(words))[word]
-                total += np.bincount(code, weight, ngrams.UNIVERSE)
-                own = np.bincount(found, weight)
-                characters[: len(own)] += own
-        for kind, n in ((ngrams.ORDER, total), (0, characters)):
-            seen = np.flatnonzero(n)
-            columns = [np.full(len(seen), kind, np.int32), seen, n[seen].astype(np.int64)]
-            yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["grams", "code", "n"])
-
-    rows = training.select("text").mapInArrow(count, "grams int, code long, n long")
-    return rows.groupBy("grams", "code").agg(F.sum("n").alias("n"))
-
-
-def train(training: DataFrame) -> tuple[np.ndarray, np.ndarray]:
-    """The filter and the character table."""
-    rows = materialised(counted(training), "grams")
-    full = rows.filter(F.col("grams") == ngrams.ORDER)
-    counts = full
-    for k in range(1, ngrams.ORDER):
-        shorter = full.groupBy(F.expr(f"code % {ngrams.CLASSES**k}").alias("code")).agg(F.sum("n").alias("n"))
-        counts = counts.unionByName(shorter.withColumn("grams", F.lit(k)))
-    found = rows.filter(F.col("grams") == 0).toPandas()  # at most one row per code point
-    n = np.zeros(0x110000)
-    n[found["code"].to_numpy(np.int64)] = found["n"].to_numpy()
-    return build_filter(counts), letters(n)
 
+def block_tokens(batch: pa.RecordBatch, at: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(token hashes, where texts start, their sizes) of a block."""
+    words = np.frombuffer(batch.column("words")[at].as_py(), np.uint64)
+    sizes = batch.column("n_tokens")[at].values.to_numpy()
+    return words[unsqueezed(batch.column("places")[at].as_py())], sizes.cumsum() - sizes, sizes
 
-BLOCK = (
-    "block long, doc_id array<long>, held array<boolean>, n_tokens array<long>,"
-    " entries binary, uses binary, spelled binary, hash array<long>, training array<long>"
-)
 
+def shard_cuts(keys: np.ndarray, size: int, shards: int) -> np.ndarray:
+    """Where each shard's slice of the rising ``keys`` begins, and their number at the end."""
+    bits = np.uint64(32 if size == 1 else 16)
+    shard = ((keys >> bits) * np.uint64(shards)) >> np.uint64(32)
+    return np.searchsorted(shard, np.arange(shards + 1, dtype=np.uint64))
 
-def folded(documents: DataFrame, model: tuple[np.ndarray, np.ndarray]) -> DataFrame:
-    """Blocks of documents: which distinct words of the block each uses how often, and how likely each is spelled."""
-    shared = documents.sparkSession.sparkContext.broadcast(model)
-    ready: dict[str, np.ndarray] = {}
-
-    def block(keys: list, held: list, texts: list) -> list:
-        index: dict[bytes, int] = {}
-        entries, uses, sizes, tokens, training = [], [], [], [], Counter()
-        for raw, apart in zip(byte_words(pa.array(texts, pa.string())), held, strict=True):
-            counts = Counter(raw)
-            own = [index.setdefault(w, len(index)) for w in counts]
-            entries += own
-            uses += counts.values()
-            sizes.append(len(own))
-            tokens.append(len(raw) + 1)
-            if not apart:
-                for k, n in zip(own, counts.values(), strict=True):
-                    training[k] += n
-        code, word, found = spelled_grams([*index, b""])
-        spelled = np.bincount(word, ready["p"][code].astype(np.float64) + shared.value[1][found])
-        hashes = [xxhash.xxh3_64_intdigest(w) >> 1 for w in index] + [END]
-        trained = [training[k] for k in range(len(index))] + [held.count(False)]
-        packed = np.asarray(sizes + entries, np.int32).tobytes()
-        times = np.asarray(uses, np.int32).tobytes()
-        return [uuid.uuid4().int >> 65, keys, held, tokens, packed, times, spelled.tobytes(), hashes, trained]
-
-    def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        if "p" not in ready:
-            ready["p"] = log_probabilities(shared.value[0])
-        schema = pa.schema(
-            [("block", pa.int64()), ("doc_id", pa.list_(pa.int64())), ("held", pa.list_(pa.bool_())),
-             ("n_tokens", pa.list_(pa.int64())), ("entries", pa.binary()), ("uses", pa.binary()),
-             ("spelled", pa.binary()), ("hash", pa.list_(pa.int64())), ("training", pa.list_(pa.int64()))]
-        )
-        keys, held, texts, size = [], [], [], 0
-
-        def flush() -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays(
-                [pa.array([v], f.type) for v, f in zip(block(keys, held, texts), schema, strict=True)], schema=schema
-            )
-
-        for batch in batches:
-            for key, apart, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                keys.append(key), held.append(apart), texts.append(text)
-                size += len(text or "") + 1
-                if size >= BLOCK_BYTES:
-                    yield flush()
-                    keys, held, texts, size = [], [], [], 0
-        if keys:
-            yield flush()
-
-    slim = documents.select(F.col("doc_id").cast("long"), held_out().alias("held"), "text")
-    return slim.mapInArrow(fold, BLOCK)
 
+def entries(blocks: DataFrame, shards: int) -> DataFrame:
+    """(shard, block, size, n, keys, uses): the distinct n-grams of every block with their uses in its training texts."""
 
-RESULT = "doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, score double"
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(batch.num_rows):
+                tokens, starts, sizes = block_tokens(batch, at)
+                trained = np.repeat(~np.array(batch.column("held")[at].as_py()), sizes)
+                for size, keys in enumerate(gram_keys(tokens, starts), start=1):
+                    found, place = np.unique(keys, return_inverse=True)
+                    uses = np.bincount(place, trained, len(found)).astype(np.int32)
+                    cuts = shard_cuts(found, size, shards)
+                    used = np.flatnonzero(np.diff(cuts))
+                    spans = [slice(cuts[k], cuts[k + 1]) for k in used]
+                    columns = [
+                        pa.array(used.astype(np.int32)),
+                        pa.array(np.full(len(used), batch.column("block")[at].as_py())),
+                        pa.array(np.full(len(used), size, np.int32)),
+                        pa.array(np.diff(cuts)[used].astype(np.int32)),
+                        pa.array([squeezed_keys(found[s]) for s in spans], pa.binary()),
+                        pa.array([squeezed(uses[s]) for s in spans], pa.binary()),
+                    ]
+                    yield pa.RecordBatch.from_arrays(columns, names(ENTRY))
+
+    return blocks.select("block", "held", "n_tokens", "places", "words").mapInArrow(run, ENTRY)
+
+
+# --- the filter ----------------------------------------------------------------------------------
 
 
-def scores(documents: DataFrame) -> DataFrame:
+def steps(counts: np.ndarray) -> np.ndarray:
+    """Quantised log2 counts: 0 for 0, 1 for 1, 2 for 2 and 3, 3 for 4 to 7, and so on."""
+    return np.frexp(counts)[1]
+
+
+def expected(step: np.ndarray) -> np.ndarray:
+    """The middle of the counts of a step."""
+    return np.where(step > 0, 0.75 * 2.0**step - 0.5, 0.0)
+
+
+class LogFilter:
+    """A Bloom filter of (key, step) for every step up to the key's quantised count."""
+
+    def __init__(self, keys: np.ndarray, counts: np.ndarray, key_bits: int = KEY_BITS) -> None:
+        last = steps(counts)
+        self.bits = np.uint64(max(64, key_bits * int(last.sum())))
+        self.table = np.zeros(int(self.bits) // 8 + 1, np.uint8)
+        for step in range(1, int(last.max(initial=0)) + 1):
+            for place in self.places(keys[last >= step], step):
+                np.bitwise_or.at(self.table, place >> np.uint64(3), self.mask(place))
+
+    @staticmethod
+    def mask(place: np.ndarray) -> np.ndarray:
+        return np.uint8(1) << (place & np.uint64(7)).astype(np.uint8)
+
+    def places(self, keys: np.ndarray, step: int) -> Iterator[np.ndarray]:
+        one = mixed(keys + np.uint64(step * 0x9E3779B97F4A7C15 % (1 << 64)))
+        two = mixed(one) | np.uint64(1)
+        for _ in range(HASHES):
+            yield one % self.bits
+            one = one + two
+
+    def probed(self, keys: np.ndarray) -> np.ndarray:
+        """The number of steps that are there, one after the other."""
+        found = np.zeros(len(keys), np.uint8)
+        alive = np.arange(len(keys))
+        step = 1
+        while len(alive):
+            own, there = keys[alive], np.ones(len(alive), bool)
+            for place in self.places(own, step):
+                there &= (self.table[place >> np.uint64(3)] & self.mask(place)) > 0
+            alive = alive[there]
+            found[alive] = step
+            step += 1
+        return found
+
+
+def answered(rows: DataFrame, key_bits: int = KEY_BITS) -> DataFrame:
+    """(shard, block, size, n, answer): counts of tokens, probed steps of longer n-grams; kinds of tokens in rows without a block."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        shard, waiting = None, []
+        for batch in batches:
+            for row in batch.to_pylist():
+                if row["shard"] != shard and waiting:
+                    yield shard_answers(shard, waiting)
+                    waiting = []
+                shard = row["shard"]
+                waiting.append((row["block"], row["size"], unsqueezed_keys(row["keys"]), unsqueezed(row["uses"])))
+        if waiting:
+            yield shard_answers(shard, waiting)
+
+    def shard_answers(shard: int, waiting: list[tuple]) -> pa.RecordBatch:
+        kinds, out, longer = 0, [], []
+        for size in range(1, ORDER + 1):
+            own = [w for w in waiting if w[1] == size]
+            if not own:
+                continue
+            keys, place = np.unique(np.concatenate([w[2] for w in own]), return_inverse=True)
+            total = np.bincount(place, np.concatenate([w[3] for w in own]), len(keys)).astype(np.int64)
+            ends = np.cumsum([len(w[2]) for w in own])[:-1]
+            if size == 1:
+                kinds = int((total > 0).sum())
+                out += [(w[0], 1, part.tobytes()) for w, part in zip(own, np.split(total[place], ends), strict=True)]
+            else:
+                longer.append((size, own, tagged(keys, size), total, place, ends))
+        if longer:
+            keys, total = (np.concatenate([x[k] for x in longer]) for k in (2, 3))
+            shared = LogFilter(keys[total > 0], total[total > 0], key_bits)
+            for size, own, keys, _, place, ends in longer:
+                parts = np.split(shared.probed(keys)[place], ends)
+                out += [(w[0], size, part.tobytes()) for w, part in zip(own, parts, strict=True)]
+        n = [len(x[2]) // (8 if x[1] == 1 else 1) for x in out] + [kinds]
+        columns = [
+            pa.array([shard] * len(n), pa.int32()),
+            pa.array([x[0] for x in out] + [None], pa.int64()),
+            pa.array([x[1] for x in out] + [0], pa.int32()),
+            pa.array(n, pa.int64()),
+            pa.array([pa.compress(x[2], codec="zstd", asbytes=True) for x in out] + [None], pa.binary()),
+        ]
+        return pa.RecordBatch.from_arrays(columns, names(ANSWER))
+
+    return rows.repartition("shard").sortWithinPartitions("shard").mapInArrow(run, ANSWER)
+
+
+def tagged(keys: np.ndarray, size: int) -> np.ndarray:
+    return keys | np.uint64(size << 48)
+
+
+# --- scores --------------------------------------------------------------------------------------
+
+
+def after_history(count: np.ndarray, history: np.ndarray, shorter: np.ndarray) -> np.ndarray:
+    """The relative frequency after a history, mixed with the probability after the shorter one."""
+    weight = history / (history + 1)
+    return np.where(history > 0, weight * np.minimum(count, history) / np.maximum(history, 1), 0) + (1 - weight) * shorter
+
+
+def scores(documents: DataFrame, key_bits: int = KEY_BITS) -> DataFrame:
     """Per document: doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score.
 
-    A null or empty text is its end token alone. ``score`` is the log10 probability of the lower-cased words and
-    the end; with nothing to learn from it is a uniform spelling's. A null id counts as training. Every input row gives one row, repeated or not. Words are told apart by 63 bits of a hash.
+    A null or empty text is its end token alone; texts of any length are scored whole. ``score`` is the log10 probability of the
+    lower-cased words and the end, each after the words before it; with nothing to learn from it is the base. A null id counts
+    as training. Every input row gives one row, repeated or not; other columns are not looked at; an empty table
+    gives no rows. Tokens are told apart by 64 bits of a hash.
     """
-    blocks = materialised(folded(documents, train(documents.filter(~held_out()))), "blocks")
-    entries = blocks.select("block", F.posexplode_outer(F.arrays_zip("hash", "training")).alias("entry", "x")).select(
-        "block", "entry", F.col("x.hash").alias("hash"), F.col("x.training").alias("training")
-    )
-    counts = entries.filter(F.col("training") > 0).groupBy("hash").agg(F.sum("training").alias("c"))
-    counts = materialised(counts, "counts")
-    total = counts.agg(F.coalesce(F.sum("c"), F.lit(0)).alias("tokens"), F.count(F.lit(1)).alias("kinds"), F.count_if(F.col("c") == 1).alias("once")).first()
-    new = min(max(total.once / total.tokens, 1e-6), 1 - 1e-6) if total.tokens else 1.0
-    floor = total.tokens + 0.5 * (total.kinds + 1)
-    known = (
-        entries.select("block", "entry", "hash")
-        .join(counts, "hash")
-        .groupBy("block")
-        .agg(F.collect_list("entry").alias("entry"), F.collect_list("c").alias("c"))
+    blocks = folded(documents)
+    sums = [F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("tokens", "train_tokens", "train_docs")]
+    size = blocks.agg(*sums).first()
+    shards = max(1, -(-ORDER * size.tokens // SHARD_ENTRIES))
+    answers = materialised(answered(entries(blocks, shards), key_bits), "answers")
+    kinds = answers.filter(F.col("block").isNull()).agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    floor = size.train_tokens + 0.5 * (kinds + 1)
+    # one row per n-gram length and shard that a block asks
+    back = answers.filter(F.col("block").isNotNull()).groupBy("block").agg(
+        F.collect_list(F.struct("size", "shard", "n", "answer")).alias("found")
     )
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for at in range(batch.num_rows):  # one block at a time, its arrays without Python objects
-                row = {k: batch.column(k)[at] for k in batch.schema.names}
-                n = len(row["doc_id"])
-                c = np.zeros(row["kinds"].as_py())
-                if row["entry"].is_valid:
-                    places = row["entry"].values.to_numpy(zero_copy_only=False)
-                    c[places] = row["c"].values.to_numpy(zero_copy_only=False)
-                packed = np.frombuffer(row["entries"].as_buffer(), np.int32)
-                sizes, entries = packed[:n], packed[n:]
-                uses = np.frombuffer(row["uses"].as_buffer(), np.int32)
-                owner = np.repeat(np.arange(n), sizes)
-                logs = np.log10((c + 0.5) / floor)
-                base = np.bincount(owner, uses * logs[entries], n) + logs[-1]
-                spelled = np.frombuffer(row["spelled"].as_buffer())
-                with np.errstate(divide="ignore"):
-                    mixed = np.logaddexp(
-                        np.log((1 - new) * c / max(total.tokens, 1)), spelled * np.log(10) + np.log(new)
-                    ) / np.log(10)
-                own = np.bincount(owner, uses * mixed[entries], n) + mixed[-1]
-                seen = np.bincount(owner, uses * (c[entries] > 0), n) + (c[-1] > 0)
+            for at in range(batch.num_rows):
+                tokens, starts, sizes = block_tokens(batch, at)
+                found = sorted(batch.column("found")[at].as_py(), key=lambda f: (f["size"], f["shard"]))
+                counts = []
+                for order, keys in enumerate(gram_keys(tokens, starts), start=1):
+                    width = 8 if order == 1 else 1
+                    raw = b"".join(pa.decompress(f["answer"], f["n"] * width, codec="zstd", asbytes=True) for f in found if f["size"] == order)
+                    answer = np.frombuffer(raw, np.int64).astype(float) if order == 1 else expected(np.frombuffer(raw, np.uint8).astype(int))
+                    counts.append(answer[np.unique(keys, return_inverse=True)[1]])
+                base = (counts[0] + 0.5) / floor
+                p = after_history(counts[1], before(counts[0], starts, size.train_docs), base)
+                p = after_history(counts[2], before(counts[1], starts, size.train_docs), p)
+                owner = np.repeat(np.arange(len(sizes)), sizes)
+                total = lambda x: pa.array(np.bincount(owner, x, len(sizes)))  # noqa: E731, B023
                 yield pa.RecordBatch.from_arrays(
                     [
-                        row["doc_id"].values,
-                        row["held"].values,
-                        row["n_tokens"].values,
-                        pa.array(seen.astype(np.int64)),
-                        pa.array(base),
-                        pa.array(own),
+                        batch.column("doc_id")[at].values,
+                        batch.column("held")[at].values,
+                        pa.array(sizes),
+                        total(counts[0] > 0).cast(pa.int64()),
+                        total(np.log10(base)),
+                        total(np.log10(p)),
                     ],
-                    [c.split()[0] for c in RESULT.split(", ")],
+                    names(RESULT),
                 )
 
-    slim = blocks.select("block", "doc_id", "held", "n_tokens", "entries", "uses", "spelled", F.size("hash").alias("kinds"))
-    joined = slim.join(known, "block", "left").drop("block")
-    return joined.mapInArrow(score, RESULT).select(
-        "doc_id", "held_out", "n_tokens", "n_known", F.lit(total.tokens).cast("long").alias("train_tokens"), "base_score", "score"
+    asked = blocks.select("block", "doc_id", "held", "n_tokens", "places", "words")
+    return asked.join(back, "block").drop("block").mapInArrow(score, RESULT).select(
+        "doc_id", "held_out", "n_tokens", "n_known", F.lit(size.train_tokens).cast("long").alias("train_tokens"), "base_score", "score"
     )

@@ -11,7 +11,6 @@ start with a marked piece. Words and places travel compressed, about a tenth and
 from __future__ import annotations
 
 import re
-import uuid
 from bisect import bisect_left
 from collections.abc import Callable, Iterator
 from functools import lru_cache
@@ -25,8 +24,8 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from asofkit.llm.blocks import bucketed, squeezed, unsqueezed
 from asofkit.llm.vectors import fresh
-from asofkit.session import shared_dir
 
 MARK = "▁"
 BLOCK_BYTES = 8 << 20
@@ -59,16 +58,6 @@ def processor(model: str) -> sentencepiece.SentencePieceProcessor:
     return found
 
 
-def squeezed(numbers: np.ndarray) -> bytes:
-    """32-bit numbers compressed, their lowest bytes first, then the second ones and so on."""
-    return zstandard.ZstdCompressor().compress(np.ascontiguousarray(numbers.astype("<i4").view(np.uint8).reshape(-1, 4).T).tobytes())
-
-
-def unsqueezed(raw: bytes) -> np.ndarray:
-    planes = np.frombuffer(zstandard.ZstdDecompressor().decompress(raw), np.uint8).reshape(4, -1)
-    return np.ascontiguousarray(planes.T).view("<i4").ravel()
-
-
 def packed(items: pa.Array) -> bytes:
     """A binary array without nulls, compressed."""
     sizes = pc.binary_length(items).to_numpy(zero_copy_only=False).astype("<i4").tobytes()
@@ -149,18 +138,6 @@ def folded(documents: DataFrame, payload: str, chunks: Chunks) -> DataFrame:
     return bucketed(slim.mapInArrow(slices, BLOCK), "block")
 
 
-def bucketed(df: DataFrame, key: str) -> DataFrame:
-    """``df`` written to the shared folder in buckets of ``key``, so that a join on it leaves these rows where they are."""
-    spark = df.sparkSession
-    name = f"chunk_blocks_{uuid.uuid4().hex}"
-    buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    df.write.bucketBy(buckets, key).option("path", f"{shared_dir(spark)}/{name}").saveAsTable(name)
-    written = spark.table(name)
-    written.schema  # noqa: B018  the files are known from here on, and the name is free again
-    spark.sql(f"DROP TABLE {name}")  # the folder stays
-    return written
-
-
 def range_bounds(blocks: DataFrame) -> list[bytes]:
     """Words that cut the alphabet into ranges of about ``RANGE_ENTRIES`` words of blocks each."""
     entries = blocks.agg(F.sum("kinds")).first()[0] or 0
