@@ -41,7 +41,7 @@ from asofkit.plans.features import (
     with_event_index,
 )
 from asofkit.plans.requests import request_pairs
-from asofkit.plans.retrieval import training_pairs
+from asofkit.plans.retrieval import training_histories
 from asofkit.schema import HISTORY_LEN, HOUR_MS
 
 PROBE_SHIFT_MS = 17 * 60_000 + 1
@@ -124,9 +124,13 @@ def e11_preceding_rows(spark, sf) -> DataFrame:
 def e12_training_targets(spark, sf) -> DataFrame:
     events = clicks(spark, sf)
     frequent = events.groupBy("item_id").count().where("count >= 2").select("item_id")
-    pairs = training_pairs(events, frequent, strict=False)
-    return pairs.groupBy("user_id", "target_pos", "target_item").agg(
-        F.count("*").alias("n"), F.sum("item_id").alias("item_sum")
+    packed = training_histories(events, frequent, strict=False)
+    return packed.select(
+        "user_id",
+        "target_pos",
+        "target_item",
+        F.size("hist").cast("long").alias("n"),
+        F.aggregate("hist.item_id", F.lit(0).cast("long"), lambda a, x: a + x).alias("item_sum"),
     )
 
 

@@ -35,6 +35,7 @@ from asofkit.operators.topk import exact_top_k
 from asofkit.plans.baselines import Popularity
 from asofkit.plans.evaluation import build_eval_set, list_recall, score, score_with_novel
 from asofkit.plans.experiments import run_ranking
+from asofkit.plans.pairwise import PairwiseRanker
 from asofkit.plans.ranking import (
     Ranker,
     RankerConfig,
@@ -362,6 +363,37 @@ def t28_ranker(spark, sf) -> DataFrame:
     return Ranker.load(spark, path).rerank(frame, 10)
 
 
+def t28_pairwise_ranker(spark, sf) -> DataFrame:
+    """Learned from pairs at the declared size, saved and loaded; what holds for every request's list."""
+    frame = _labelled(spark, sf)
+    train, valid = split_requests(frame, requests(spark, sf).frame.count())
+    ranker = PairwiseRanker()
+    losses = ranker.fit(train, valid)
+    if min(v for _, v in losses) >= losses[0][1]:
+        raise RuntimeError("no step made the validation pairs better ordered")
+    path = scratch_path(spark, "pairwise")
+    ranker.save(path)
+    found = PairwiseRanker.load(spark, path).rerank(frame, 10)
+    before = F.lag("score").over(Window.partitionBy("request_id").orderBy("rank"))
+    ordered = found.withColumn("fine", F.coalesce(before, F.col("score")) >= F.col("score"))
+    return ordered.groupBy("request_id").agg(
+        F.count_distinct("item_id").alias("n_items"), F.max("rank").alias("last_rank"), F.bool_and("fine").alias("ordered")
+    )
+
+
+def t18_declared_vectors(spark, sf) -> DataFrame:
+    """Vectors of the declared size with popularity correction; what holds for every user's list."""
+    split = weekly_split(spark, sf)
+    model = ItemVectors(VectorConfig())
+    model.fit(split.train_val)
+    found = model.recommend(split.train_val.select("user_id").distinct(), 10)
+    before = F.lag("score").over(Window.partitionBy("user_id").orderBy("rank"))
+    ordered = found.withColumn("fine", F.coalesce(before >= F.col("score"), F.lit(True)))
+    sizes = model.targets.agg(F.min(F.size("vec")).alias("dim"), F.bool_and(F.abs(dot(F.col("vec"), F.col("vec")) - 1) < 1e-6).alias("unit"))
+    per_user = ordered.groupBy("user_id").agg(F.count_distinct("item_id").alias("n_items"), F.bool_and("fine").alias("ordered"))
+    return per_user.crossJoin(F.broadcast(sizes))  # one row
+
+
 def t30_feature_pruning(spark, sf) -> DataFrame:
     """Gain share of every feature and whether the lean ranker keeps it."""
     frame = _labelled(spark, sf)
@@ -416,7 +448,7 @@ QUERIES = {
         t24_candidates, t25_user_item_features, t26_ranker_table, t27_labels, c7_joined_attributes,
         d17_last_positions, d18_with_positives, d20_candidate_recall, d22_request_volume,
         d26_group_sizes, t29_request_split, f3_rerank, f4_rerank_one_each,
-        t34_fixed_ranker_metrics, t28_ranker, t30_feature_pruning, t32_recommend, t32_latest, t19_empty_histories, t34_methods,
+        t34_fixed_ranker_metrics, t28_ranker, t28_pairwise_ranker, t18_declared_vectors, t30_feature_pruning, t32_recommend, t32_latest, t19_empty_histories, t34_methods,
     )
 }
 
@@ -548,6 +580,10 @@ ORACLES = {
     + f"SELECT * FROM ({metrics_sql('lists', 'rrel', 'request_id')}),"
     f" ({metrics_sql('rnewrecs', 'rnewrel', 'request_id', prefix='new_')})",
     "t32_recommend": _serve(),
+    "t28_pairwise_ranker": with_(*_C)
+    + "SELECT request_id, least(10, count(*)) AS n_items, least(10, count(*)) - 1 AS last_rank, true AS ordered FROM cand GROUP BY 1",
+    "t18_declared_vectors": with_(EV, SPLIT)
+    + "SELECT DISTINCT user_id, 10::BIGINT AS n_items, true AS ordered, 64::INTEGER AS dim, true AS unit FROM ev, b WHERE ts_ms < test_start",
     "t32_latest": _serve("(SELECT max(ts_ms) + 1 FROM ev WHERE ts_ms < test_start)"),
     "t19_empty_histories": with_(*_BASE, _VOCAB.format(n=55))
     + f"""SELECT request_id, 50::BIGINT AS length, count(*) AS events, sum(coalesce(item_index, 1))::BIGINT AS index_sum

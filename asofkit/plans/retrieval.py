@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from asofkit.functions.columns import dot, event_weight, l2_normalised
 from asofkit.operators.order import dense_index, top_per_group
 from asofkit.operators.skew import HOT_ROWS
-from asofkit.operators.timeline import as_history, preceding_events, ranked_positions
+from asofkit.operators.timeline import as_history, preceding_arrays, preceding_events, ranked_positions
 from asofkit.operators.topk import BLOCK_ROWS, block_top_k, exact_top_k
 from asofkit.plans.baselines import Popularity, ranked_lists
 from asofkit.plans.evaluation import list_recall
@@ -106,10 +106,23 @@ def training_pairs(
     strict: bool = True,
     hot_rows: int | None = HOT_ROWS,
 ) -> DataFrame:
-    """Targets with their history, long: (user_id, target_pos, target_item, pos, item_id, event).
+    """``training_histories`` in long form: (user_id, target_pos, target_item, end, pos, ts_ms, item_id, event)."""
+    found = training_histories(events, vocab, length, strict, hot_rows)
+    return found.select(*[c for c in found.columns if c != "hist"], F.inline("hist"))
+
+
+def training_histories(
+    events: DataFrame,
+    vocab: DataFrame,
+    length: int = HISTORY_LEN,
+    strict: bool = True,
+    hot_rows: int | None = HOT_ROWS,
+) -> DataFrame:
+    """One row per target with its packed history: (user_id, target_pos, target_item, end, hist).
 
     A target is an in-vocabulary event with an earlier event. ``strict`` leaves events of the same
-    millisecond out of the history; otherwise every earlier row counts.
+    millisecond out of the history; otherwise every earlier row counts. Events are folded into blocks once, and a history is cut from
+    at most two of them, so nothing is copied per event but the array itself.
     """
     placed = checkpointed(ranked_positions(events, hot_rows))
     end = F.col("n_before") if strict else F.col("pos") - 1
@@ -119,7 +132,7 @@ def training_pairs(
         F.col("pos").alias("target_pos"),
         F.col("item_id").alias("target_item"),
     )
-    return preceding_events(placed, targets, ["target_pos", "target_item"], length)
+    return preceding_arrays(placed, targets, ["target_pos", "target_item"], length)
 
 
 def last_positions(events: DataFrame) -> DataFrame:
@@ -139,6 +152,7 @@ class VectorConfig:
     regularisation: float = 0.05
     alpha: float = 10.0
     recency: float = 0.9
+    correction: float = 0.25
     seed: int = 42
 
 
@@ -180,7 +194,7 @@ class ItemVectors:
             seed=cfg.seed,
             checkpointInterval=5,
         )
-        model = als.fit(checkpointed(self.transitions(history, vocab)))
+        model = als.fit(checkpointed(self.corrected(self.transitions(history, vocab), history, vocab)))
 
         def by_item(factors: DataFrame) -> DataFrame:
             ids = factors.select(F.col("id").cast("long").alias("item_index"), "features")
@@ -193,6 +207,20 @@ class ItemVectors:
         )
         self.contexts = checkpointed(by_item(model.userFactors))
 
+    def corrected(self, pairs: DataFrame, history: DataFrame, vocab: DataFrame) -> DataFrame:
+        """Weights divided by the target's frequency to the power ``correction``, 1 for the most frequent item.
+
+        Popular items follow everything; without this their counts drown what follows a particular item.
+        """
+        frequency = log_q(history, vocab).join(vocab, "item_index")  # without the special indexes
+        top = frequency.agg(F.max("log_q")).first()[0]
+        if top is None or not self.config.correction:
+            return pairs
+        factor = F.exp(F.lit(self.config.correction) * (F.lit(top) - F.col("log_q")))
+        return pairs.join(frequency.select(F.col("item_index").cast("int").alias("target"), factor.alias("_f")), "target").select(
+            "context", "target", (F.col("weight") * F.col("_f")).alias("weight")
+        )
+
     def transitions(self, history: DataFrame, vocab: DataFrame) -> DataFrame:
         """(context, target, weight): how often an item follows another within ``span`` events.
 

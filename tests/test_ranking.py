@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from asofkit.definitions import ITEM_FEATURES, RANKER_FEATURES, USER_FEATURES
 from asofkit.plans.baselines import Popularity
 from asofkit.plans.experiments import run_ranking
+from asofkit.plans.pairwise import PairwiseRanker
 from asofkit.plans.ranking import (
     Ranker,
     RankerConfig,
@@ -170,3 +171,31 @@ def test_ranking_experiment(spark):
     found = {r.method: r for r in result.methods.collect()}
     assert len(found) == 6 and all(0 <= r.recall_at_50 <= 1 for r in found.values())
     assert set(result.importance) == set(RANKER_FEATURES)
+
+
+def test_pairwise_ranker_learns_the_planted_order(spark, tmp_path):
+    """Relevance follows a signal within each request, whose level differs wildly between requests."""
+    rng = random.Random(31)
+    rows = []
+    for request in range(120):
+        level = 10 ** rng.uniform(0, 4)
+        signals = [level * rng.uniform(1, 3) for _ in range(15)]
+        best = sorted(signals)[-3]
+        for item, signal in enumerate(signals):
+            missing = rng.random() < 0.1
+            rows.append((request, item, None if missing else float(signal), rng.random() * 100, None if item % 2 else 1.0, int(signal >= best and not missing)))
+    frame = spark.createDataFrame(rows, "request_id long, item_id long, signal double, noise double, flag double, label int")
+    train, valid = split_requests(frame, 120)
+    ranker = PairwiseRanker(features=["signal", "noise", "flag"])
+    losses = ranker.fit(train, valid)
+    assert losses[0][1] == pytest.approx(0.6931, abs=1e-3) and min(v for _, v in losses) < 0.35
+    assert next(iter(ranker.importance())) == "signal" and sum(ranker.importance().values()) == pytest.approx(1)
+    top = ranker.rerank(valid, 3).join(frame, ["request_id", "item_id"]).agg(F.avg("label")).first()[0]
+    # a missing signal makes an item irrelevant, so some requests have fewer than three to find
+    reachable = valid.where("label = 1").count() / (3 * 24)
+    assert top > 0.93 * reachable
+    ranker.save(str(tmp_path / "pairwise"))
+    again = PairwiseRanker.load(spark, str(tmp_path / "pairwise"))
+    assert again.rerank(valid, 5).collect() == ranker.rerank(valid, 5).collect()
+    plain = PairwiseRanker(features=["signal"])
+    assert plain.fit(train.where("label = 0"), valid)[0][1] > 0  # nothing to learn from is no error
