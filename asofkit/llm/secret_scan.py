@@ -24,8 +24,10 @@ HEX = r"[0-9a-f]{16,}"
 ASSIGNED_CHARS = 12
 
 RANDOM_CHARS = 24
-RANDOM = r"[A-Za-z0-9+/_=-]{%d,}" % RANDOM_CHARS
-RATE = 0.2
+RANDOM = r"[A-Za-z0-9+/_-]{%d,}={0,2}" % RANDOM_CHARS
+ISSUER = "^[a-z]{2,4}_"  # a short name before the key proper, which is not drawn at random
+RATE = 0.05
+GROUP = 64
 BINS_PER_DECADE = 20
 LAST_BIN = 800
 #: Encoding: (symbols, symbols per class: upper, lower, digit, other).
@@ -33,10 +35,44 @@ ENCODINGS = {"hex": (16, (0, 6, 10, 0)), "HEX": (16, (6, 0, 10, 0)), "base32": (
 SPAN_TYPE = "array<struct<start:int,kind:int,end:int>>"
 
 
-def matches(text: Column, pattern: str, kind: int, keep: Column | None = None, guard: Column | None = None) -> Column:
-    """(start, kind, end) of the leftmost non-overlapping matches, in code points.
+def let(value: Column, body) -> Column:
+    """``body`` of the value, which is worked out once however often the body names it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
 
-    The text between two matches is what splitting on the pattern leaves, which gives the places.
+
+def total(parts: Column) -> Column:
+    return F.aggregate(parts, F.lit(0), lambda a, y: a + y["gap"] + y["match"])
+
+
+def placed(parts: Column, kind: int, token: bool) -> Column:
+    """Adds up the lengths of all parts before each: within groups of ``GROUP``, and over the groups before."""
+    groups = F.transform(
+        F.sequence(F.lit(0), F.floor((F.size(parts) - 1) / GROUP).cast("int")), lambda g: total(F.slice(parts, g * GROUP + 1, F.lit(GROUP)))
+    )
+
+    def span(offsets: Column):
+        def one(x: Column, i: Column) -> Column:
+            group = F.floor(i / GROUP).cast("int")
+            start = F.get(offsets, group) + total(F.slice(parts, group * GROUP + 1, i % GROUP)) + x["gap"]
+            where = F.struct(start.alias("start"), F.lit(kind).alias("kind"), (start + x["match"]).alias("end"))
+            return F.struct(where.alias("span"), x["kept"].alias("kept"), *([x["token"].alias("token")] if token else []))
+
+        return F.transform(parts, one)
+
+    def before(sums: Column) -> Column:
+        numbers = F.sequence(F.lit(0), F.size(sums) - 1)
+        return F.transform(numbers, lambda g: F.aggregate(F.slice(sums, F.lit(1), g), F.lit(0), lambda a, y: a + y))
+
+    return let(groups, lambda sums: let(before(sums), span))
+
+
+def matches(
+    text: Column, pattern: str, kind: int, keep: Column | None = None, guard: Column | None = None, token: bool = False
+) -> Column:
+    """(start, kind, end) of the leftmost non-overlapping matches, in code points; with ``token`` (span, kept, token).
+
+    The text between two matches is what splitting on the pattern leaves, which gives the places. Texts are searched once, and the
+    work grows with the number of matches.
     """
     found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
     kept = F.transform(found, lambda _: F.lit(True)) if keep is None else keep
@@ -49,23 +85,13 @@ def matches(text: Column, pattern: str, kind: int, keep: Column | None = None, g
             F.length(x["gap"]).alias("gap"),
             F.coalesce(F.length(x["match"]), F.lit(0)).alias("match"),
             F.coalesce(x["kept"], F.lit(False)).alias("kept"),
+            *([x["match"].alias("token")] if token else []),
         ),
     )
-    spans = F.transform(
-        sized,
-        lambda x, i: F.struct(
-            (F.aggregate(F.slice(sized, 1, i), F.lit(0), lambda a, y: a + y["gap"] + y["match"]) + x["gap"]).alias(
-                "start"
-            ),
-            F.lit(kind).alias("kind"),
-            x["match"].alias("length"),
-            x["kept"].alias("kept"),
-        ),
-    )
-    result = F.transform(
-        F.filter(spans, lambda s: s["kept"]),
-        lambda s: F.struct(s["start"], s["kind"], (s["start"] + s["length"]).alias("end")),
-    )
+    spans = F.filter(let(sized, lambda s: placed(s, kind, token)), lambda s: s["kept"])
+    if token:
+        return spans
+    result = F.transform(spans, lambda s: s["span"])
     none = F.array().cast(SPAN_TYPE)
     return result if guard is None else F.when(guard, result).otherwise(none)
 
@@ -121,7 +147,7 @@ def symbol_index(c: Column) -> Column:
 
 def tested(candidates: DataFrame) -> DataFrame:
     """Adds ``encoding``, ``length`` and the combined ``p`` to rows with a ``token``."""
-    body = F.rtrim(F.col("token"), F.lit("="))
+    body = F.regexp_replace(F.rtrim(F.col("token"), F.lit("=")), ISSUER, "")
     both = body.rlike("[0-9]") & body.rlike("[A-Za-z]")
     encoding = (
         F.when(both & body.rlike("^[0-9a-f]+$"), "hex")
@@ -213,8 +239,8 @@ def secrets(documents: DataFrame, rate: float = RATE) -> DataFrame:
     text = F.col("text")
     candidates = (
         docs.filter(text.rlike(RANDOM))
-        .select("doc_id", "row_key", "text", F.explode_outer(matches(text, RANDOM, 3)).alias("span"))
-        .select("doc_id", "row_key", "span", F.substring(text, F.col("span.start") + 1, F.col("span.end") - F.col("span.start")).alias("token"))
+        .select("doc_id", "row_key", F.explode_outer(matches(text, RANDOM, 3, token=True)).alias("found"))
+        .select("doc_id", "row_key", "found.span", "found.token")
         .filter(F.col("span").isNotNull())
     )
     found = (
