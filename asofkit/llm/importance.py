@@ -13,7 +13,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from asofkit.llm.common import byte_words, materialised
@@ -22,6 +22,9 @@ BUCKETS = 1 << 17
 TARGET_DOCS = 20_000
 SMOOTHING = 0.5
 CACHED_WORDS = 500_000
+RANGES = 4_096  # per pass of the search for the edge of the sample
+PASSES = 8
+EDGE_ROWS = 100_000
 
 
 class Features:
@@ -111,19 +114,39 @@ def sampled(documents: DataFrame, labels: DataFrame, share: float | None = None,
         good = (F.col("quality") == 1) & (F.coalesce("toxic", F.lit(0)) == 0)
         share = labels.agg(F.avg(good.cast("double"))).first()[0]
         share = 1.0 if share is None else share
-    # Global ranks without a global window: rows are counted per range of the weight, ranked inside their range.
-    bound = rows.agg(F.min("noisy").alias("low"), F.max("noisy").alias("high"), F.count(F.lit(1)).alias("n")).first()
-    wanted = round(share * (bound.n or 0))
-    width = max((bound.high or 0) - (bound.low or 0), 1e-9) / 65_536
-    ranged = rows.withColumn("range", F.floor((F.lit(bound.high or 0.0) - F.col("noisy")) / width))
-    sizes = ranged.groupBy("range").agg(F.count(F.lit(1)).alias("n"))  # at most 65,537 rows
-    before = F.sum("n").over(Window.orderBy("range").rowsBetween(Window.unboundedPreceding, -1))
-    edges = sizes.withColumn("before", F.coalesce(before, F.lit(0)))
-    edge = edges.filter((F.col("before") < wanted) & (F.col("before") + F.col("n") >= wanted)).first()
-    if edge is None:
-        kept = F.lit(wanted > 0)
-        return ranged.drop("range").withColumn("kept", kept)
-    order = Window.partitionBy("range").orderBy(F.desc("noisy"), "doc_id")
-    inside = ranged.filter(F.col("range") == edge["range"]).withColumn("kept", F.row_number().over(order) <= wanted - edge["before"])
-    rest = ranged.filter(F.col("range") != edge["range"]).withColumn("kept", F.col("range") < edge["range"])
-    return rest.unionByName(inside).drop("range")
+    n = rows.count()
+    wanted = min(n, round(share * n))
+    if wanted in (0, n):
+        return rows.withColumn("kept", F.lit(wanted > 0))
+    kept, edge, left = narrowed(rows, wanted)
+    order = Window.partitionBy(F.lit(0)).orderBy(F.desc("noisy"), "doc_id")  # the few rows at the edge
+    inside = rows.filter(edge).withColumn("kept", F.row_number().over(order) <= left)
+    return rows.filter(~edge).withColumn("kept", kept).unionByName(inside)
+
+
+def narrowed(rows: DataFrame, wanted: int, edge_rows: int = EDGE_ROWS) -> tuple[Column, Column, int]:
+    """(surely among the first ``wanted``, at the edge, how many of the edge's rows are wanted).
+
+    Rows go by falling ``noisy``, then by doc_id. A pass counts the rows at the edge in ``RANGES`` equal ranges of the key and
+    goes on inside the range that holds the edge, until that has at most ``edge_rows`` rows or one value; then the next key is taken. So
+    no value, however far out, and no number of ties puts the rows into one range.
+    """
+    kept, edge, left = F.lit(False), F.lit(True), wanted
+    for key in (-F.col("noisy"), F.coalesce(F.col("doc_id").cast("double"), F.lit(-1e300))):
+        for _ in range(PASSES):
+            ends = rows.filter(edge).agg(F.min(key).alias("low"), F.max(key).alias("high"), F.count(F.lit(1)).alias("n")).first()
+            if left == ends.n:  # all of them
+                return kept | edge, F.lit(False), 0
+            if ends.n <= edge_rows:
+                return kept, edge, left
+            if ends.low == ends.high:
+                break
+            # halves are taken before the difference, which could overflow
+            place = F.least(F.floor((key / 2 - ends.low / 2) / (ends.high / 2 - ends.low / 2) * RANGES), F.lit(RANGES - 1))
+            sizes = sorted((r.at, r.n) for r in rows.filter(edge).groupBy(place.alias("at")).agg(F.count(F.lit(1)).alias("n")).collect())
+            for at, size in sizes:  # at most RANGES rows
+                if left <= size:
+                    break
+                left -= size
+            kept, edge = kept | (edge & (place < at)), edge & (place == at)
+    return kept, edge, left  # equal rows

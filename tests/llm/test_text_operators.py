@@ -349,3 +349,27 @@ def test_importance_prefers_the_target(spark, corpus, documents, nothing):
     assert min(mean[True]) > max(mean[False])
     assert importance.sampled(nothing, labels).count() == 0
     assert importance.sampled(documents, labels.limit(0)).filter("not kept").count() == 0
+
+
+@pytest.mark.parametrize("wanted", [1, 7, 150, 151, 333, 599])
+def test_the_edge_of_the_sample_is_found_among_outliers_and_ties(spark, wanted):
+    """The first rows by weight and id, as sorting gives them, with no more than a few rows in one task."""
+    rng = random.Random(14)
+    rows = [(i, rng.choice((0.0, 1.0, rng.gauss(0, 1)))) for i in range(590)] + [(900, 1e300), (901, -1e308)]
+    rows += [(None, 0.5)] + [(77, 3.25)] * 7
+    frame = spark.createDataFrame(rows, "doc_id long, noisy double").repartition(5)
+    kept, edge, left = importance.narrowed(frame, wanted, edge_rows=3)
+    sure = [tuple(r) for r in frame.filter(kept).collect()]
+    near = [tuple(r) for r in frame.filter(edge).collect()]
+    want = sorted(rows, key=lambda r: (-r[1], -1 if r[0] is None else r[0]))[:wanted]
+    assert len(sure) + left == wanted and left <= len(near)
+    assert len(near) <= 3 or len(set(near)) == 1
+    chosen = sorted(near, key=lambda r: (-r[1], -1 if r[0] is None else r[0]))[:left]
+    assert sorted(map(str, sure + chosen)) == sorted(map(str, want))
+
+
+def test_kept_rows_equal_a_sort(spark, documents, corpus):
+    labels = spark.createDataFrame([(d, d % 2, 0) for d in range(60)], "doc_id long, quality int, toxic int")
+    found = importance.sampled(documents, labels, share=0.3).collect()
+    first = sorted(found, key=lambda r: (-r.noisy, r.doc_id))[: round(0.3 * len(found))]
+    assert sorted((r.doc_id, r.noisy) for r in found if r.kept) == sorted((r.doc_id, r.noisy) for r in first)
