@@ -13,6 +13,8 @@ from pyspark.sql import functions as F
 from asofkit.session import shared_dir
 
 TASK_BYTES = 4 << 20
+BATCH_BYTES, ARROW_DEFAULT = 8 << 20, "67108864b"
+SLICE_ROWS = 128
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -27,6 +29,16 @@ def materialised(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def bounded_batches(spark: SparkSession) -> None:
+    """Hand whole texts to Python in batches of ``BATCH_BYTES`` instead of Spark's 64 MB, unless the session says otherwise.
+
+    A task holds a batch several times over: as it is filled, sent, received and taken apart.
+    """
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if spark.conf.get(key) == ARROW_DEFAULT:
+        spark.conf.set(key, f"{BATCH_BYTES}b")
+
+
 def ascii_lower(text: Column) -> Column:
     """A-Z become a-z; all other characters stay, unlike with ``lower``, which does for pure ASCII only."""
     plain = F.length(text) == F.octet_length(text)
@@ -45,8 +57,9 @@ def byte_words(texts: pa.ChunkedArray | pa.Array) -> Iterator[list[bytes]]:
 
     ``bytes.lower`` and ``bytes.split`` know exactly these letters and these six separators.
     """
-    for raw in texts.cast(pa.binary()).to_pylist():
-        yield raw.lower().split() if raw else []
+    for at in range(0, len(texts), SLICE_ROWS):  # few texts at a time as Python objects
+        for raw in texts.slice(at, SLICE_ROWS).cast(pa.binary()).to_pylist():
+            yield raw.lower().split() if raw else []
 
 
 def broadcast_if_small(df: DataFrame, rows: int = 100_000) -> DataFrame:

@@ -13,15 +13,18 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from asofkit.llm.common import bounded_batches
+
 SAMPLE_DOCS = 64
 SAMPLE_CHARS = 1_000
 TOTAL_CHARS = 1_000_000
 DENSE = 96
 BLOCK = 256
-BATCH_CHARS = 2_000_000
+BATCH_CHARS = 500_000
 FOLD = 4
 HELD_OUT = 2
 REJECT_RATE = 0.6
@@ -227,19 +230,20 @@ def languages(documents: DataFrame, learn_from: DataFrame | None = None) -> Data
     A text without a letter, a null one, and any text when nothing was learned are ``und`` with score 0.
     Every input row gives one row, repeated or not. ``learn_from`` needs text, lang and doc_id.
     """
+    bounded_batches(documents.sparkSession)
     model = fit(documents if learn_from is None else learn_from)
     shared = documents.sparkSession.sparkContext.broadcast(model)
 
     def label(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            keys, held, texts = (c.to_pylist() for c in batch.columns)
+            sizes = pc.fill_null(pc.utf8_length(batch.column(2)), 0).to_pylist()
             at = 0
-            while at < len(keys):
+            while at < len(sizes):
                 end, size = at, 0
-                while end < len(keys) and (end == at or size + len(texts[end] or "") <= BATCH_CHARS):
-                    size += len(texts[end] or "")
+                while end < len(sizes) and (end == at or size + sizes[end] <= BATCH_CHARS):
+                    size += sizes[end]
                     end += 1
-                columns = judged(keys[at:end], held[at:end], texts[at:end], shared.value)
+                columns = judged(*(c.to_pylist() for c in batch.slice(at, end - at).columns), shared.value)
                 types = (pa.int64(), pa.bool_(), pa.string(), pa.float64(), pa.float64())
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(c, t) for c, t in zip(columns, types, strict=True)],

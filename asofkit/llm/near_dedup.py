@@ -24,7 +24,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from asofkit.llm.common import byte_words, materialised
+from asofkit.llm.common import bounded_batches, byte_words, materialised
 
 COORDINATES = 64
 MATCHES = 32
@@ -32,7 +32,7 @@ PERCENT = 80
 BLOCK = 512
 CLUSTER_ROWS, CLUSTER_BYTES = 4096, 16 << 20  # texts and bytes of shingles that a task holds of a cluster
 FILTER_BITS = 1 << 26
-CACHED_WORDS = 500_000
+CACHED_WORDS = 200_000
 
 _random = np.random.default_rng(20_240_607)
 FACTORS = _random.integers(1, 1 << 63, COORDINATES, dtype=np.uint64) | np.uint64(1)
@@ -151,8 +151,11 @@ def full_sets(documents: DataFrame, ids: DataFrame, size: int) -> DataFrame:
 
 
 def runs(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
+    """Rows as dictionaries, one at a time; sets of shingles stay where they are."""
     for batch in batches:
-        yield from batch.to_pylist()
+        columns = list(zip(batch.schema.names, batch.columns, strict=True))
+        for at in range(batch.num_rows):
+            yield {n: c[at].as_buffer() if n == "shingles" else c[at].as_py() for n, c in columns}
 
 
 def linked(x: np.ndarray, others: list[np.ndarray], percent: int) -> np.ndarray:
@@ -181,7 +184,7 @@ def confirmed(stars: DataFrame, documents: DataFrame, size: int, percent: int) -
             for row in runs([batch]):
                 own = np.frombuffer(row["shingles"], np.uint64)
                 if not row["side"]:
-                    block, head = row["block"], own
+                    block, head = row["block"], own.copy()
                 elif row["block"] == block and percent * max(len(head), len(own)) <= 100 * min(len(head), len(own)):
                     if linked(own, [head], percent)[0]:
                         links.append((row["doc"], row["y"]))
@@ -347,7 +350,7 @@ def cluster_links(clusters: DataFrame, links: DataFrame, documents: DataFrame, s
                     block, held, table = (row["cluster"], row["m"], row["p"]), [], None
                 own = np.frombuffer(row["shingles"], np.uint64)
                 if not row["side"]:
-                    held.append((row["doc"], row["home"], row["heads"], own))
+                    held.append((row["doc"], row["home"], row["heads"], own.copy()))
                     continue
                 table = table or (indexed(held) if held else None)
                 if table is not None:
@@ -418,6 +421,7 @@ def near_duplicates(documents: DataFrame, percent: int = PERCENT, size: int = 2)
     whole. Rows are expected to have distinct ids; of repeated ids, rows with equal texts get equal results. Other columns
     are not looked at.
     """
+    bounded_batches(documents.sparkSession)
     sketch = materialised(sketches(documents, size), "sketches")
     filled = sketch.filter(F.col("set_key").isNotNull() & F.col("doc_id").isNotNull())
     classes = materialised(filled.groupBy("set_key").agg(F.min("doc_id").alias("class_id")), "classes")

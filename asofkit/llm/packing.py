@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from asofkit.llm.common import materialised
+from asofkit.llm.common import bounded_batches, materialised
 
 CAPACITY = 4096
 END_ID = 1
@@ -189,6 +189,7 @@ def pack(
     A null or empty text is the end id alone. Repeated rows and ids are packed as often as they occur; columns
     other than doc_id and text are not looked at; an empty table gives no sequence.
     """
+    bounded_batches(documents.sparkSession)
     cut = materialised(pieces(documents, tokenizer or default_tokenizer(), capacity), "pieces")
     shards = max(1, -(-cut.count() // shard_pieces))
     shard = F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.lit(shards))

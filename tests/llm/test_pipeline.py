@@ -62,3 +62,28 @@ def test_near_duplicates_share_five_words(spark, tmp_path):
 def test_empty_tables_pass(spark, tmp_path):
     _, folder = tables(spark, tmp_path, [], [])
     assert corpus_pipeline.run(spark, folder).count() == 0
+
+
+def test_texts_of_one_id_are_judged_apart_and_names_may_clash(spark, tmp_path):
+    rng = random.Random(2)
+    leaked, clean, other, key = (prose(rng, "en", 60) for _ in range(4))
+    key += ' token = "abcdefabcdef1234"'
+    learned = [(i, prose(rng, "en", 120), "en") for i in range(10, 40)]
+    rows = [*learned, (1, leaked, "en"), (1, clean, "en"), (2, other, "en"), (2, clean + " more", "en"), (2, "12 34", "en"), (3, key, "en"), (3, key, "en"), (3, "Ж щ", None)]
+    _, folder = tables(spark, tmp_path, [(9, "x", "en")], [(1, leaked)])
+    extra = ("all_spans", "hit_id", "hit_key", "row_key", "doc", "decided", "block", "component", "class_id", "kept", "words", "a.b")
+    schema = DOCUMENTS + ", " + ", ".join(f"`{c}` string" for c in extra)
+    docs = spark.createDataFrame([(d, t, lang, "s", len(t), *extra) for d, t, lang in rows], schema)
+    kept = {}
+    out = docs
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        out = corpus_pipeline.materialised(stage(spark, out, folder), name)
+        assert out.columns == docs.columns
+        kept[name] = sorted((r.doc_id, r.text) for r in out.filter("doc_id < 10").collect())
+    assert kept["language"] == sorted((d, t) for d, t, _ in rows if d < 10 and t not in ("12 34", "Ж щ"))
+    twins = {(1, clean), (2, clean + " more")}
+    assert len(kept["near_dedup"]) == 4 and len(twins & set(kept["near_dedup"])) == 1
+    assert set(kept["near_dedup"]) - twins == {(1, leaked), (2, other), (3, key)}
+    assert set(kept["near_dedup"]) - set(kept["decontamination"]) == {(1, leaked)}
+    assert {t for _, t in kept["secrets"]} >= {other} and sum("[SECRET]" in t for _, t in kept["secrets"]) == 1
+    assert all(r["a.b"] == "a.b" and r.hit_id == "hit_id" for r in out.select("`a.b`", "hit_id").collect())
